@@ -85,7 +85,7 @@ TEXTS_SQL = """(SELECT o_orderkey,
  CASE WHEN o_orderkey % 79 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:30:00'
   ELSE strftime(o_orderdate, '%Y-%m-%d') END AS stamp,
  CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS flag,
- '₹' || CAST(o_custkey AS VARCHAR) || ',000.50' AS money,
+ '₹' || CAST(o_custkey % 1000 AS VARCHAR) || ',000.50' AS money,
  CASE WHEN o_orderkey % 73 = 0 THEN ' ' || o_orderpriority || ' ' WHEN o_orderkey % 71 = 0 THEN lower(o_orderpriority)
   ELSE o_orderpriority END AS label,
  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS mixed_day,
@@ -109,7 +109,7 @@ def texts(t) -> DataFrame:
         F.when(every(83), "not priced").otherwise(p.cast("string")).alias("price"),
         F.when(every(79), F.concat(iso, F.lit(" 10:30:00"))).otherwise(iso).alias("stamp"),
         F.when(every(2), "true").otherwise("false").alias("flag"),
-        F.concat(F.lit("₹"), c, F.lit(",000.50")).alias("money"),
+        F.concat(F.lit("₹"), (F.col("o_custkey") % 1000).cast("string"), F.lit(",000.50")).alias("money"),
         F.when(every(73), F.concat(F.lit(" "), pr, F.lit(" "))).when(every(71), F.lower(pr))
         .otherwise(pr).alias("label"),
         F.when(every(2), F.date_format(d, "dd/MM/yyyy")).otherwise(iso).alias("mixed_day"),

@@ -83,23 +83,31 @@ def _pattern(fmt: str) -> str:
         "HH:mm:ss", "H:mm:ss")
 
 
-def read_dates(c: Column, order: str | None) -> Column:
-    """Text in any of the known formats as a timestamp; numeric orders only once settled.
+DATE_START = r"^([-+0-9]|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))"
 
-    A two-digit year from 69 on is in the twentieth century.
-    """
-    v = F.trim(c)
-    first = {"day": DAY_FIRST, "month": MONTH_FIRST, None: ()}[order]
+
+def _parsed(v: Column, formats) -> Column:
+    """The first format that reads trimmed text; each is only tried on text of its shape."""
     got = []
-    for fmt in (*first, *GENERAL):
-        pattern = _pattern(fmt)
+    for fmt in formats:
         # names of months read in any case
         text = F.initcap(v) if "MMM" in fmt else v
-        ts = F.try_to_timestamp(F.when(v.rlike(_shape(fmt)), text), F.lit(pattern)).cast("timestamp_ntz")
+        ts = F.try_to_timestamp(F.when(v.rlike(_shape(fmt)), text), F.lit(_pattern(fmt))).cast(
+            "timestamp_ntz")
         if fmt.endswith("yy") and not fmt.endswith("yyyy"):
             ts = F.when(F.year(ts) % 100 >= PIVOT, ts - F.expr("INTERVAL 100 YEAR")).otherwise(ts)
         got.append(ts)
-    return F.coalesce(*got)
+    # nothing that opens otherwise can be a date, so labels and codes skip every format
+    return F.when(v.rlike(DATE_START), F.coalesce(*got))
+
+
+def read_dates(c: Column, order: str | None) -> Column:
+    """Text in any of the known formats as a timestamp; numeric orders only once settled.
+
+    A two-digit year from 69 on is in the twentieth century.
+    """
+    first = {"day": DAY_FIRST, "month": MONTH_FIRST, None: ()}[order]
+    return _parsed(F.trim(c), (*first, *GENERAL))
 
 
 def accounting(c: Column) -> Column:
@@ -243,42 +251,56 @@ def lost_sample(df: DataFrame, a: Action, tokens=MISSING, limit: int = 5) -> Dat
 
 # --- proposing -----------------------------------------------------------------------------------
 
-def _readings(h: DataFrame) -> Column:
-    """Every share a proposal decides on, over (v, n): one aggregate per text column."""
-    v, n = F.col("v"), F.col("n")
-    t = accounting(v)
+def _readings(h: DataFrame) -> DataFrame:
+    """Every share a proposal decides on, over (v, n): one aggregate per text column.
+
+    The readings are columns of their own first, so that each is evaluated once per value however
+    many shares use it.
+    """
+    v = F.col("v")
+    bare = F.regexp_replace(v, CURRENCY, "")
+    read = h.select("v", "n", F.trim(v).alias("t"), accounting(v).alias("a"), v.try_cast("double").alias("d"),
+                    v.try_cast("decimal(18,2)").alias("cents"), bare.try_cast("double").alias("money"),
+                    bare.try_cast("decimal(18,2)").alias("m_cents"),
+                    F.when(v.rlike(DATE_SHAPE), F.trim(v)).try_cast("timestamp_ntz").alias("stamp"),
+                    *[number_text(v, r).try_cast("double").alias(f"x_{r}") for r in ("us", "eu", "percent")])
+    t, a = F.col("t"), F.col("a")
+    read = read.withColumns({
+        "general": _parsed(t, GENERAL), "day_order": _parsed(t, DAY_FIRST), "month_order": _parsed(t, MONTH_FIRST),
+        "is_us": a.rlike(US_NUMBER), "is_eu": a.rlike(EU_NUMBER), "is_percent": a.rlike(PERCENT),
+        "p1": F.regexp_extract(t, NUMERIC_DATE, 1).try_cast("int"),
+        "p2": F.regexp_extract(t, NUMERIC_DATE, 2).try_cast("int")})
+    read = read.withColumns({"dates_none": F.col("general"), "dates_day": F.coalesce("day_order", "general"),
+                             "dates_month": F.coalesce("month_order", "general")})
+    n, d, money, stamp = F.col("n"), F.col("d"), F.col("money"), F.col("stamp")
+    us, eu = F.col("is_us"), F.col("is_eu")
 
     def s(cond: Column, name: str) -> Column:
         return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).alias(name)
 
-    d = v.try_cast("double")
-    cents = v.try_cast("decimal(18,2)")
-    us, eu = t.rlike(US_NUMBER), t.rlike(EU_NUMBER)
-    money = F.regexp_replace(v, CURRENCY, "").try_cast("double")
-    m_cents = F.regexp_replace(v, CURRENCY, "").try_cast("decimal(18,2)")
-    stamp = F.when(v.rlike(DATE_SHAPE), F.trim(v)).try_cast("timestamp_ntz")
-    part = [F.regexp_extract(F.trim(v), NUMERIC_DATE, i).try_cast("int") for i in (1, 2)]
+    def off(x: Column, exact: Column) -> Column:
+        return x.isNotNull() & (exact.isNull() | (exact.cast("double") != x))
+
+    def timed(ts: Column) -> Column:
+        return ts.isNotNull() & (ts != F.date_trunc("day", ts).cast("timestamp_ntz"))
+
     exprs = [F.coalesce(F.sum(n), F.lit(0)).alias("total"),
-             s(v.rlike(LEADING_ZERO), "padded"), s(F.upper(F.trim(v)).isin(*BOOLEAN_WORDS), "boolean"),
+             s(v.rlike(LEADING_ZERO), "padded"), s(F.upper(t).isin(*BOOLEAN_WORDS), "boolean"),
              s(d.isNotNull(), "double"), s(d.isNotNull() & (d != F.floor(d)), "fraction"),
-             s(d.isNotNull() & (cents.isNull() | (cents.cast("double") != d)), "off_cents"),
-             s(stamp.isNotNull(), "stamp"),
-             s(stamp.isNotNull() & (F.date_format(stamp, "HH:mm:ss.SSSSSS") != "00:00:00.000000"), "timed"),
-             s(t.rlike(PERCENT), "percent"), s(us, "us"), s(eu, "eu"), s(us & ~eu, "only_us"),
+             s(off(d, F.col("cents")), "off_cents"), s(stamp.isNotNull(), "stamp"), s(timed(stamp), "timed"),
+             s(F.col("is_percent"), "percent"), s(us, "us"), s(eu, "eu"), s(us & ~eu, "only_us"),
              s(eu & ~us, "only_eu"), s(v.rlike("[₹$€£¥,]"), "marked"), s(money.isNotNull(), "money"),
-             s(money.isNotNull() & (m_cents.isNull() | (m_cents.cast("double") != money)), "money_off"),
-             s(F.trim(v).rlike(r"^\d+$"), "digits"), s(part[0] > 12, "day_first"),
-             s(part[1] > 12, "month_first"), s(F.upper(F.trim(v)).isin(*MISSING), "missing"),
-             s(v != F.trim(v), "untrimmed")]
+             s(off(money, F.col("m_cents")), "money_off"), s(t.rlike(r"^\d+$"), "digits"),
+             s(F.col("p1") > 12, "day_first"), s(F.col("p2") > 12, "month_first"),
+             s(F.upper(t).isin(*MISSING), "missing"), s(v != t, "untrimmed")]
     for order in ("none", "day", "month"):
-        ts = read_dates(v, None if order == "none" else order)
-        exprs += [s(ts.isNotNull(), f"dates_{order}"),
-                  s(ts.isNotNull() & (F.date_format(ts, "HH:mm:ss") != "00:00:00"), f"dates_timed_{order}")]
+        ts = F.col(f"dates_{order}")
+        exprs += [s(ts.isNotNull(), f"dates_{order}"), s(timed(ts), f"dates_timed_{order}")]
     for reading in ("us", "eu", "percent"):
-        x = number_text(v, reading).try_cast("double")
+        x = F.col(f"x_{reading}")
         exprs += [s(x.isNotNull() & (x != F.floor(x)), f"frac_{reading}"),
                   s(x.isNotNull() & (F.round(x, 2) != x), f"off_{reading}")]
-    return h.agg(*exprs)
+    return read.agg(*exprs)
 
 
 def _number_type(fraction: int, off_cents: int) -> str:

@@ -171,9 +171,11 @@ def top_n(scope: Scope, dimension: str, measure: str, n: int = 10, period=None,
 
 def group_compare(scope: Scope, dimension: str, measure: str) -> DataFrame:
     """Seven statistics, total and share per group, with an all-rows row from the same pass."""
-    m = row_values_needed(scope.contract.measure(measure))
+    m = scope.contract.measure(measure)
     scope = scope.for_measure(measure, [dimension])
     check_groups(scope, dimension)
+    if m.agg == "ratio":
+        return _ratio_compare(scope, dimension, m)
     df = scope.df.withColumn("__x", finite(scope.df, measure).cast("double"))
     x = "__x"
     aggs = [F.count("*").alias("rows"), F.count(x).alias("n"), F.min(x).alias("min"),
@@ -208,6 +210,19 @@ def group_compare(scope: Scope, dimension: str, measure: str) -> DataFrame:
                       "total", _share(basis).alias("share"))
 
 
+def _ratio_compare(scope: Scope, dimension: str, m) -> DataFrame:
+    """A ratio has no value per row, so only its counts and totals are shown."""
+    both = F.col(m.name)["n"].isNotNull() & F.col(m.name)["d"].isNotNull()
+    narrow = scope.df.select(F.col(dimension).alias("member"), m.name)
+    out = narrow.groupingSets([[F.col("member")], []], F.col("member")).agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("rows"), F.count_if(both).alias("n"),
+        declared(m).alias("total"))
+    none = F.lit(None).cast("double")
+    return out.select(F.when(F.col("gid") == 0, "group").otherwise("all").alias("level"), "member",
+                      "rows", "n", *[none.alias(c) for c in ("min", "max", "mean", "median", "stddev")],
+                      "total", none.alias("share"))
+
+
 def cross_tab(scope: Scope, rows: str, columns: str, measure: str | None = None) -> DataFrame:
     """Cells and margins in long form; margins are aggregates of rows, never sums of cells."""
     for d in (rows, columns):

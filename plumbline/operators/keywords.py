@@ -70,27 +70,40 @@ def _deletions(word: str) -> list[str]:
     return sorted(out)
 
 
+def _edits(length: int) -> int:
+    """Most letters two words of ratio >= 0.8 can differ by, when one has this length."""
+    return math.floor((1 - MERGE_RATIO) * (2 * length + 2) + 1e-9)
+
+
 def _pieces(word: str) -> list[str]:
-    """Overlapping pieces short enough that one survives whatever a similar word changed.
+    """Neighbouring letter pairs, one more than the possible edits: one of them survives."""
+    return sorted({word[2 * i:2 * i + 2] for i in range(_edits(len(word)) + 1)})
 
-    With d edits and d + 1 pieces one piece is untouched; it may have moved, so pieces of the
-    matched length are taken at every position.
-    """
-    edits = math.floor((1 - MERGE_RATIO) * (2 * len(word) + 2))
-    size = max(1, (len(word) - 2) // (edits + 1))
-    return sorted({word[i:i + size] for i in range(len(word) - size + 1)})
+
+def _all_pairs_of(word: str) -> list[str]:
+    return sorted({word[i:i + 2] for i in range(len(word) - 1)})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _rare_keys(words: pd.Series) -> pd.Series:
+    """Keys of a word that may be a typo: first letter and deletions, or for a long word its
+    length and pieces."""
+    def keys(w: str) -> list[str]:
+        if len(w) <= DELETION_LENGTH:
+            return [f"{w[0]}d{s}" for s in _deletions(w)]
+        return [f"{w[0]}{len(w)}{p}" for p in _pieces(w)]
+    return words.map(keys)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _signatures(words: pd.Series) -> pd.Series:
-    """Keys two similar words share at least one of: first letter with deletions or pieces."""
+def _anchor_keys(words: pd.Series) -> pd.Series:
+    """Keys under which a frequent word is found by every word it may be mistyped as."""
     def keys(w: str) -> list[str]:
         out = []
         if len(w) <= DELETION_LENGTH + 2:
             out += [f"{w[0]}d{s}" for s in _deletions(w)]
-        if len(w) > DELETION_LENGTH - 2:
-            out += [f"{w[0]}p{s}" for s in _pieces(w)]
-        return out
+        lengths = [n for n in range(len(w) - 2, len(w) + 3) if n > DELETION_LENGTH]
+        return out + [f"{w[0]}{n}{p}" for n in lengths for p in _all_pairs_of(w)]
     return words.map(keys)
 
 
@@ -110,8 +123,8 @@ def txt_spelling(keywords: DataFrame, protected: list[str] = ()) -> DataFrame:
         anchors = anchors.unionByName(listed).distinct()
     rare = counts.where((F.col("n") < 2) & ~guard & (F.length("token") >= 4)).select("token")
     a = anchors.where(F.length("token") >= 2).select(F.col("token").alias("anchor"), F.explode(
-        _signatures("token")).alias("key"))
-    r = rare.select("token", F.explode(_signatures("token")).alias("key"))
+        _anchor_keys("token")).alias("key"))
+    r = rare.select("token", F.explode(_rare_keys("token")).alias("key"))
     pairs = r.join(a, "key").where(F.abs(F.length("token") - F.length("anchor")) <= 2)
     # a pair may share many keys; it is compared once
     pairs = pairs.select("token", "anchor").distinct()

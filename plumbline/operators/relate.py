@@ -114,6 +114,20 @@ def bivariate(scope: Scope, measure: str, against: str, bins: int = 10) -> DataF
         F.avg("y").alias("mean_y")], {"median_y": ("y", 0.5)})
 
 
+def rate_by_bins(scope: Scope, measure: str, against: str, bins: int = 10) -> DataFrame:
+    """A ratio of sums across the range of another measure, binned over its distinct values."""
+    m = scope.contract.measure(measure)
+    if m.agg != "ratio":
+        raise Refused("NOT_A_RATIO", f"{measure} is agg={m.agg}; bivariate reads row values")
+    row_values_needed(scope.contract.measure(against))
+    df = scope.df.withColumn("x", finite(scope.df, against).cast("double")).where(
+        F.col("x").isNotNull())
+    tops = ntile_bounds(df, "x", bins)
+    return df.groupBy((bucket_of("x", tops) + 1).alias("bin")).agg(
+        F.min("x").alias("x_from"), F.max("x").alias("x_to"), F.count("*").alias("rows"),
+        declared(m).alias("rate"))
+
+
 def driver_analysis(scope: Scope, measure: str) -> DataFrame:
     """Share of a measure's variance lying between the groups of each declared dimension.
 

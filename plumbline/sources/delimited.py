@@ -51,7 +51,9 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 
 def head_lines(spark: SparkSession, path: str, n: int = PREVIEW_LINES) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(n).collect()]
+    """The first lines of the first file, in file order."""
+    first = min(spark.read.text(path).inputFiles())
+    return [r[0] for r in spark.read.text(first).limit(n).collect()]
 
 
 def raw(spark: SparkSession, path: str, delimiter: str, width: int, encoding: str = "UTF-8") -> DataFrame:
