@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..functions.aggs import FLOATING, is_kind
+from ..functions.staging import stage
 from ..functions.words import MISSING
 from .profile import DATE_SHAPE, countable, full_row_counts, prof_duplicates, text_columns
 
@@ -199,7 +200,7 @@ def header_row(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, hits) >= need
 
 
-def impact(df: DataFrame, a: Action, tokens=MISSING) -> DataFrame:
+def impact(df: DataFrame, a: Action, tokens=MISSING, hist: DataFrame | None = None) -> DataFrame:
     """One row: id, kind, column, affected, lost, from the action's own expression."""
     head = [F.lit(a.id).alias("id"), F.lit(a.kind).alias("kind"),
             F.lit(a.column).cast("string").alias("column"),
@@ -215,26 +216,30 @@ def impact(df: DataFrame, a: Action, tokens=MISSING) -> DataFrame:
     if a.kind == "exclude_column":
         return df.agg(F.count("*").alias("n"), F.count(c).alias("k")).select(
             *head, F.col("n").alias("affected"), F.col("k").alias("lost"))
-    if a.kind == "convert_type":
-        # the cast depends on the value alone: tried once per distinct value, weighted by its rows
-        h = df.groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-        v, n = F.col("v"), F.col("n")
-        return h.agg(F.coalesce(F.sum(F.when(v.isNotNull(), n)), zero).alias("affected"),
-                     F.coalesce(F.sum(F.when(lost_value(v, a.options, tokens), n)), zero).alias("lost")
-                     ).select(*head, "affected", "lost")
+    if a.kind == "non_finite":
+        bad = F.count_if(F.isnan(c) | (F.abs(c) == float("inf")))
+        return df.agg(bad.alias("n")).select(*head, F.col("n").alias("affected"), F.col("n").alias("lost"))
+    # what happens to a text value depends on the value alone: judged once, weighted by its rows
+    h = (hist.where(F.col("column") == a.column).select("v", "n") if hist is not None
+         else df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")))
+    v, n = F.col("v"), F.col("n")
+
+    def weigh(cond: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n)), zero).alias(name)
+
     if a.kind == "case":
-        new = F.lower(F.col("v")) if a.options.get("mode") == "lower" else F.upper(F.col("v"))
-        h = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
+        new = F.lower(v) if a.options.get("mode") == "lower" else F.upper(v)
         folded = h.groupBy(new.alias("k")).agg(F.count("*").alias("ways"), F.sum(
-            F.when(F.col("v") != new, F.col("n"))).alias("changed"))
+            F.when(v != new, n)).alias("changed"))
         return folded.agg(F.coalesce(F.sum("changed"), zero).alias("affected"),
                           F.coalesce(F.sum(F.col("ways") - 1), zero).alias("lost")).select(
             *head, "affected", "lost")
-    change = {"normalise_missing": F.upper(F.trim(c)).isin(*tokens),
-              "trim": c != F.trim(c),
-              "non_finite": F.isnan(c) | (F.abs(c) == float("inf"))}[a.kind]
-    lost = F.count_if(change) if a.kind == "non_finite" else zero
-    return df.agg(F.count_if(change).alias("affected"), lost.alias("lost")).select(*head, "affected", "lost")
+    if a.kind == "convert_type":
+        exprs = [weigh(v.isNotNull(), "affected"), weigh(lost_value(v, a.options, tokens), "lost")]
+    else:
+        change = {"normalise_missing": F.upper(F.trim(v)).isin(*tokens), "trim": v != F.trim(v)}[a.kind]
+        exprs = [weigh(change, "affected"), zero.alias("lost")]
+    return h.agg(*exprs).select(*head, "affected", "lost")
 
 
 def lost_sample(df: DataFrame, a: Action, tokens=MISSING, limit: int = 5) -> DataFrame:
@@ -252,14 +257,14 @@ def lost_sample(df: DataFrame, a: Action, tokens=MISSING, limit: int = 5) -> Dat
 # --- proposing -----------------------------------------------------------------------------------
 
 def _readings(h: DataFrame) -> DataFrame:
-    """Every share a proposal decides on, over (v, n): one aggregate per text column.
+    """Every share a proposal decides on, over (column, v, n): one row per text column.
 
     The readings are columns of their own first, so that each is evaluated once per value however
     many shares use it.
     """
     v = F.col("v")
     bare = F.regexp_replace(v, CURRENCY, "")
-    read = h.select("v", "n", F.trim(v).alias("t"), accounting(v).alias("a"), v.try_cast("double").alias("d"),
+    read = h.select("column", "v", "n", F.trim(v).alias("t"), accounting(v).alias("a"), v.try_cast("double").alias("d"),
                     v.try_cast("decimal(18,2)").alias("cents"), bare.try_cast("double").alias("money"),
                     bare.try_cast("decimal(18,2)").alias("m_cents"),
                     F.when(v.rlike(DATE_SHAPE), F.trim(v)).try_cast("timestamp_ntz").alias("stamp"),
@@ -300,7 +305,13 @@ def _readings(h: DataFrame) -> DataFrame:
         x = F.col(f"x_{reading}")
         exprs += [s(x.isNotNull() & (x != F.floor(x)), f"frac_{reading}"),
                   s(x.isNotNull() & (F.round(x, 2) != x), f"off_{reading}")]
-    return read.agg(*exprs)
+    return read.groupBy("column").agg(*exprs)
+
+
+def histograms(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, v, n`` of every text column from one scan; a value is judged once, not per row."""
+    cells = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, "column", "v")
+    return cells.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
 
 
 def _number_type(fraction: int, off_cents: int) -> str:
@@ -352,40 +363,61 @@ def _conversions(r) -> list[dict]:
     return []
 
 
-def detect(df: DataFrame, tokens=MISSING) -> list[Action]:
-    """Every action the table supports, table-level first, then in column order."""
+def _detect(df: DataFrame, tokens, hist: DataFrame | None, columns: list[str]) -> list[Action]:
     out = []
     if prof_duplicates(df).first()["duplicates"]:
         out.append(Action("drop_duplicates"))
     if len(df.columns) >= 2 and not df.where(header_row(df)).isEmpty():
         out.append(Action("drop_header_rows"))
-    for c in text_columns(df):
-        h = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(
-            F.count("*").alias("n"))
-        r = _readings(h).first()
+    shares, merged = {}, set()
+    if hist is not None:
+        # one row per text column
+        shares = {r["column"]: r for r in _readings(hist).collect()}
+        folded = hist.groupBy("column", F.upper("v").alias("k")).agg(F.count("*").alias("ways"))
+        merged = {r[0] for r in folded.where("ways > 1").select("column").distinct().collect()}
+    for c in columns:
+        r = shares.get(c)
+        if r is None:
+            continue
         out += [Action("convert_type", c, {k: v for k, v in o.items() if v}) for o in _conversions(r)]
         if tokens and r["missing"]:
             out.append(Action("normalise_missing", c))
         if r["untrimmed"]:
             out.append(Action("trim", c))
-        merged = h.groupBy(F.upper("v")).agg(F.count("*").alias("k")).where("k > 1")
-        if not merged.isEmpty():
+        if c in merged:
             out.append(Action("case", c, {"mode": "upper"}))
-    for c in countable(df):
-        if is_kind(df, c, FLOATING):
-            x = F.col(f"`{c}`")
-            if not df.where(F.isnan(x) | (F.abs(x) == float("inf"))).isEmpty():
-                out.append(Action("non_finite", c))
+    floats = [c for c in countable(df) if is_kind(df, c, FLOATING)]
+    if floats:
+        bad = df.agg(*[F.count_if(F.isnan(f"`{c}`") | (F.abs(f"`{c}`") == float("inf")))
+                       for c in floats]).first()
+        out += [Action("non_finite", c) for c, n in zip(floats, bad, strict=True) if n]
     return out
 
 
+def _staged_histograms(df: DataFrame) -> tuple[DataFrame | None, list[str]]:
+    columns = text_columns(df)
+    return (stage(histograms(df, columns)) if columns else None), columns
+
+
+def detect(df: DataFrame, tokens=MISSING) -> list[Action]:
+    """Every action the table supports, table-level first, then in column order."""
+    hist, columns = _staged_histograms(df)
+    return _detect(df, tokens, hist, columns)
+
+
 def cln_detect(df: DataFrame, tokens=MISSING) -> DataFrame:
-    """The plan: one row per action with the rows it affects and what it loses."""
-    actions = detect(df, tokens)
+    """The plan: one row per action with the rows it affects and what it loses.
+
+    The table is scanned once for all its text columns; readings and losses come from the staged
+    value counts.
+    """
+    hist, columns = _staged_histograms(df)
+    actions = _detect(df, tokens, hist, columns)
     if not actions:
         return df.sparkSession.createDataFrame(
             [], "id string, kind string, column string, options string, affected long, lost long")
-    return reduce(DataFrame.unionByName, [impact(df, a, tokens) for a in actions])
+    parts = [impact(df, a, tokens, hist) for a in actions]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def conflicts(actions: list[Action]) -> list[str]:
