@@ -39,6 +39,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small scan out to every core before work that costs much more than moving it.
+
+    Input that already arrives in at least as many partitions as there are cores, as any large
+    table does, is returned as it is; so is anything behind a shuffle.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_row(df: DataFrame):
     """The only row of a global aggregate."""
     return df.first()

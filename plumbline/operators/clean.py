@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..functions.aggs import FLOATING, is_kind
-from ..functions.staging import stage
+from ..functions.staging import spread, stage
 from ..functions.words import MISSING
 from .profile import DATE_SHAPE, countable, full_row_counts, prof_duplicates, text_columns
 
@@ -256,6 +256,15 @@ def lost_sample(df: DataFrame, a: Action, tokens=MISSING, limit: int = 5) -> Dat
 
 # --- proposing -----------------------------------------------------------------------------------
 
+# What a number cast can read at all; text that fails this is not cast, which is far cheaper than a
+# cast that fails.
+CASTABLE = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def _as_number(text: Column, kind: str = "double") -> Column:
+    return F.when(text.rlike(CASTABLE), text).try_cast(kind)
+
+
 def _readings(h: DataFrame) -> DataFrame:
     """Every share a proposal decides on, over (column, v, n): one row per text column.
 
@@ -264,11 +273,11 @@ def _readings(h: DataFrame) -> DataFrame:
     """
     v = F.col("v")
     bare = F.regexp_replace(v, CURRENCY, "")
-    read = h.select("column", "v", "n", F.trim(v).alias("t"), accounting(v).alias("a"), v.try_cast("double").alias("d"),
-                    v.try_cast("decimal(18,2)").alias("cents"), bare.try_cast("double").alias("money"),
-                    bare.try_cast("decimal(18,2)").alias("m_cents"),
+    read = h.select("column", "v", "n", F.trim(v).alias("t"), accounting(v).alias("a"), _as_number(v).alias("d"),
+                    _as_number(v, "decimal(18,2)").alias("cents"), _as_number(bare).alias("money"),
+                    _as_number(bare, "decimal(18,2)").alias("m_cents"),
                     F.when(v.rlike(DATE_SHAPE), F.trim(v)).try_cast("timestamp_ntz").alias("stamp"),
-                    *[number_text(v, r).try_cast("double").alias(f"x_{r}") for r in ("us", "eu", "percent")])
+                    *[_as_number(number_text(v, r)).alias(f"x_{r}") for r in ("us", "eu", "percent")])
     t, a = F.col("t"), F.col("a")
     read = read.withColumns({
         "general": _parsed(t, GENERAL), "day_order": _parsed(t, DAY_FIRST), "month_order": _parsed(t, MONTH_FIRST),
@@ -396,7 +405,7 @@ def _detect(df: DataFrame, tokens, hist: DataFrame | None, columns: list[str]) -
 
 def _staged_histograms(df: DataFrame) -> tuple[DataFrame | None, list[str]]:
     columns = text_columns(df)
-    return (stage(histograms(df, columns)) if columns else None), columns
+    return (spread(stage(histograms(df, columns))) if columns else None), columns
 
 
 def detect(df: DataFrame, tokens=MISSING) -> list[Action]:

@@ -9,7 +9,7 @@ from ..contract import ADDITIVE
 from ..errors import Refused
 from ..functions.aggs import (INTEGRAL, declared, finite, is_kind, non_finite_count,
                               row_values_needed, text_of, total_needed)
-from ..functions.quantiles import fits, grouped, null_safe_join, percentile
+from ..functions.quantiles import grouped, null_safe_join
 from ..functions.staging import ranked, running, stage
 from .scope import Scope, in_window
 
@@ -188,18 +188,12 @@ def group_compare(scope: Scope, dimension: str, measure: str) -> DataFrame:
     cols = [F.col(dimension).alias("member"), F.col(x)]
     if m.agg in ("count", "count_distinct"):
         cols.append(F.col(measure))
-    narrow = df.select(*cols)
-    if fits(narrow, [x]):
-        sets = narrow.groupingSets([[F.col("member")], []], F.col("member"))
-        out = sets.agg(F.grouping_id().alias("gid"), *aggs, percentile(x, 0.5).alias("median"))
-        out = out.select(F.when(F.col("gid") == 0, "group").otherwise("all").alias("level"),
-                         "*").drop("gid")
-    else:
-        per = grouped(narrow, ["member"], aggs, {"median": (x, 0.5)}, limit=0)
-        whole = grouped(narrow, [], aggs, {"median": (x, 0.5)}, limit=0)
-        out = per.withColumn("level", F.lit("group")).unionByName(
-            whole.withColumn("member", F.lit(None).cast(narrow.schema["member"].dataType))
-            .withColumn("level", F.lit("all")))
+    # every row counts once in its group and once in the row for all
+    levels = F.array(F.struct(F.lit("group").alias("level"), F.col("member")),
+                     F.struct(F.lit("all").alias("level"),
+                              F.lit(None).cast(df.schema[dimension].dataType).alias("member")))
+    both = df.select(*cols).select(F.inline(levels), *[c for c in ("__x", measure) if c == x or len(cols) > 2])
+    out = grouped(both, ["level", "member"], aggs, {"median": (x, 0.5)})
     if m.agg == "median":
         out = out.withColumn("total", F.col("median"))
     if m.agg in (None, "none"):

@@ -15,7 +15,7 @@ from ..errors import Refused
 from ..functions import dist
 from ..functions.aggs import additive_needed, declared, text_of
 from ..functions.quantiles import null_safe_join
-from ..functions.staging import running, stage
+from ..functions.staging import running, spread, stage
 from .infer import _result
 from .periods import trunc_to
 from .scope import Scope
@@ -197,7 +197,8 @@ def text_ngrams(scope: Scope, column: str, measure: str, n: int = 1, limit: int
     if n not in (1, 2, 3):
         raise Refused("BAD_N", "n is 1, 2 or 3")
     additive_needed(scope.contract.measure(measure))
-    rows = scope.df.select(words_of(column).alias("w"), F.col(measure).alias("v"))
+    rows = spread(scope.df.select(F.col(column), F.col(measure).alias("v")))
+    rows = rows.select(words_of(column).alias("w"), "v")
     grams = rows.select(F.explode(F.array_distinct(ngrams_of(F.col("w"), n))).alias("ngram"), "v")
     return (grams.groupBy("ngram").agg(F.sum("v").cast("double").alias("total"),
                                        F.count("*").alias("rows"))

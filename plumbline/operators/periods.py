@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..functions.aggs import declared
-from ..functions.quantiles import fits, null_safe_join, percentile, selected
+from ..functions.quantiles import grouped
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 STEP = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH",
@@ -93,12 +93,9 @@ def measured_per_period(scope, measure: str, grain: str, keys: list[str] = ()) -
         return per_period(scope, [declared(m).alias("value"), F.count("*").alias("rows")],
                           grain, keys)
     c = scope.contract.require_date()
-    dated = scope.df.where(F.col(c).isNotNull()).withColumn("period", trunc_to(grain, F.col(c)))
-    counted = dated.groupBy("period", *keys)
-    if fits(dated, [measure]):
-        return counted.agg(percentile(measure, 0.5).alias("value"), F.count("*").alias("rows"))
-    med = selected(dated, ["period", *keys], measure, {"value": 0.5})
-    return null_safe_join(counted.agg(F.count("*").alias("rows")), med, ["period", *keys], "left")
+    dated = scope.df.where(F.col(c).isNotNull()).select(trunc_to(grain, F.col(c)).alias("period"),
+                                                        *keys, measure)
+    return grouped(dated, ["period", *keys], [F.count("*").alias("rows")], {"value": (measure, 0.5)})
 
 
 def on_calendar(scope, frame: DataFrame, grain: str) -> DataFrame:

@@ -24,11 +24,12 @@ def skewed(spark):
     return spark.createDataFrame(data, "id int, g string, x double").repartition(7)
 
 
+@pytest.mark.parametrize("slices, sort_rows", [(16, 100), (2048, 5_000_000), (4, 0)])
 @pytest.mark.parametrize("keys", [[], ["g"]])
-def test_selected_quantiles_are_exact(skewed, keys):
+def test_selected_quantiles_are_exact(skewed, keys, slices, sort_rows):
     want = {"a": ("x", 0.0), "b": ("x", 0.25), "c": ("x", 0.5), "d": ("x", 0.731), "e": ("x", 1.0)}
     small = quantiles.grouped(skewed, keys, [F.count("x").alias("n")], want)
-    large = quantiles.grouped(skewed, keys, [F.count("x").alias("n")], want, limit=0, buckets=16)
+    large = quantiles.grouped(skewed, keys, [F.count("x").alias("n")], want, limit=0, slices=slices, sort_rows=sort_rows)
     a = {r["g"] if keys else 0: r for r in small.collect()}
     b = {r["g"] if keys else 0: r for r in large.collect()}
     assert a.keys() == b.keys()
@@ -71,13 +72,25 @@ def test_ntile_bounds_across_partitions(skewed):
     assert relate.ntile_bounds(df, "x", 9) == tops
 
 
+def test_selected_columns_together(skewed):
+    df = skewed.withColumns({"y": -F.col("x") * 3 + F.col("id"), "z": F.lit(4.0)})
+    want = {"mx": ("x", .5), "qy": ("y", .1), "my": ("y", .5), "mz": ("z", .9)}
+    a = {r["g"]: r for r in quantiles.grouped(df, ["g"], [], want).collect()}
+    b = {r["g"]: r for r in quantiles.grouped(df, ["g"], [], want, limit=0, slices=32, sort_rows=50).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in want:
+            assert b[k][c] == pytest.approx(a[k][c]), (k, c)
+
+
 def test_group_compare_beyond_the_limit(skewed, monkeypatch):
     s = Scope(skewed.withColumn("g", F.when(F.col("g") == "hot", "hot").otherwise("rest")),
               Contract("t", measures=(Measure("x", "median"),), dimensions=("g",)))
-    small = {r["member"]: tuple(r) for r in describe.group_compare(s, "g", "x").collect()}
-    monkeypatch.setattr(describe, "fits", lambda *a, **k: False)
-    large = {r["member"]: tuple(r) for r in describe.group_compare(s, "g", "x").collect()}
-    assert small.keys() == large.keys()
+    small = {(r["level"], r["member"]): tuple(r) for r in describe.group_compare(s, "g", "x").collect()}
+    plain = quantiles.grouped
+    monkeypatch.setattr(describe, "grouped", lambda *a, **k: plain(*a, **{**k, "limit": 0}))
+    large = {(r["level"], r["member"]): tuple(r) for r in describe.group_compare(s, "g", "x").collect()}
+    assert set(small) == set(large) == {("group", "hot"), ("group", "rest"), ("all", None)}
     for k in small:
         assert large[k] == pytest.approx(small[k])
 
