@@ -241,7 +241,7 @@ def _dot(a: Column, b: Column) -> Column:
                        * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``text, label``: the least member of each connected component.
 
     Every round takes the least label among a node and its neighbours, then follows labels once
@@ -251,7 +251,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"),
                                                                  F.col("a").alias("b"))).distinct())
     labels = stage(nodes.select("text", F.col("text").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["text"]).groupBy("a").agg(
             F.min("label").alias("near"))
         step = labels.join(near, labels["text"] == near["a"], "left").select(
@@ -263,7 +263,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
         labels = new.select("text", F.col("new").alias("label"))
         if not changed:
             return labels
-    return labels
 
 
 def txt_cluster(texts: DataFrame, column: str = "topic", threshold: float = THRESHOLD) -> DataFrame:
@@ -274,8 +273,10 @@ def txt_cluster(texts: DataFrame, column: str = "topic", threshold: float = THRE
     vec = stage(weights.groupBy("text").agg(F.map_from_entries(F.collect_list(
         F.struct("gram", "weight"))).alias("v")))
     band = vec.select("text", F.explode(_bands(F.map_keys("v"))).alias("band"))
-    centre = band.groupBy("band").agg(F.min("text").alias("centre"))
-    star = band.join(centre, "band").where(F.col("text") != F.col("centre")).select(
+    # two centres to a band, its first and last text: twice the chance to be near one, still linear
+    centre = band.groupBy("band").agg(F.array(F.min("text"), F.max("text")).alias("ends"))
+    star = band.join(centre, "band").select("text", F.explode("ends").alias("centre"))
+    star = star.where(F.col("text") != F.col("centre")).select(
         "text", "centre").distinct()
     va = vec.select("text", "v")
     vb = vec.select(F.col("text").alias("centre"), F.col("v").alias("vc"))

@@ -203,6 +203,9 @@ METHODS = ("tukey", "z", "mad")
 
 def outlier_bounds(scope: Scope, measure: str, dimension: str | None = None) -> DataFrame:
     row_values_needed(scope.contract.measure(measure))
+    if dimension:
+        # the statistics of every group are broadcast below
+        check_groups(scope, dimension)
     df = _valued(scope, measure, dimension)
     return _with_bounds(_stats_and_mad(df, ["member"] if dimension else []))
 
@@ -246,7 +249,6 @@ def outlier_agreement(scope: Scope, measure: str) -> DataFrame:
 
 def outlier_within(scope: Scope, measure: str, dimension: str) -> DataFrame:
     """The three methods inside each group; NULL is a group; small groups get no bounds."""
-    check_groups(scope, dimension)
     bounds = stage(outlier_bounds(scope, measure, dimension))
     df = null_safe_join(_valued(scope, measure, dimension), F.broadcast(bounds), ["member"])
     per = df.groupBy("member").agg(*[F.count_if(_outside(m)).alias(f"{m}_flagged")

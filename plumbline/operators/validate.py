@@ -128,22 +128,45 @@ def val_expectation(df: DataFrame, rule: str, key: list[str] = ()) -> DataFrame:
     return _result(counts, "expectation", rule, shown)
 
 
+def _row_checks(df: DataFrame, checks: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """Checks that look at one row at a time, all in one scan: (check, subject, fails, unchecked)."""
+    aggs = [F.count("*").alias("n")]
+    for i, (_, _, fails, skipped) in enumerate(checks):
+        aggs += [F.count_if(fails).alias(f"f{i}"), F.count_if(skipped).alias(f"s{i}")]
+    n = F.col("n")
+    return df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), n.alias("rows"),
+                 (n - F.col(f"f{i}") - F.col(f"s{i}")).alias("passed"), F.col(f"f{i}").alias("failed"),
+                 F.col(f"s{i}").alias("not_checked"), F.lit("").alias("examples"))
+        for i, (check, subject, _, _) in enumerate(checks)])))
+
+
 def val_report(df: DataFrame, contract: Contract, today: str | dt.date,
                parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """Every check the contract declares, one row each."""
-    checks = []
+    never = F.lit(False)
+    single, grouped = [], []
     key = list(contract.key)
     if key:
-        checks += [val_key_unique(df, key), val_key_complete(df, key)]
+        grouped.append(val_key_unique(df, key))
+        gone = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+        single.append(("key.complete", " + ".join(key), gone, never))
     c = contract.date_column
     if c:
-        checks += [val_date_present(df, c), val_date_not_future(df, c, today)]
+        d, null = F.col(c), F.col(c).isNull()
+        single += [("date.present", c, null, never),
+                   ("date.not_future", c, d.cast("date") > F.lit(as_date(today)), null)]
         if contract.window:
-            checks.append(val_date_in_window(df, c, contract.window.start, contract.window.end))
+            single.append(("date.in_window", c, ~in_window(c, contract.window.start, contract.window.end), null))
     if contract.row_count is not None:
-        checks.append(val_row_count(df, contract.row_count))
-    for fk in contract.foreign_keys:
-        checks.append(val_reference(df, parents[fk.parent], fk))
-    checks += [val_domain(df, c, list(v)) for c, v in contract.domains.items()]
-    checks += [val_expectation(df, e.rule, key) for e in contract.expectations]
-    return reduce(DataFrame.unionByName, checks)
+        grouped.append(val_row_count(df, contract.row_count))
+    grouped += [val_reference(df, parents[fk.parent], fk) for fk in contract.foreign_keys]
+    grouped += [val_domain(df, col, list(v)) for col, v in contract.domains.items()]
+    for e in contract.expectations:
+        if key:
+            grouped.append(val_expectation(df, e.rule, key))
+        else:
+            cond = checked_predicate(df, e.rule)
+            single.append(("expectation", e.rule, ~cond, cond.isNull()))
+    parts = ([_row_checks(df, single)] if single else []) + grouped
+    return reduce(DataFrame.unionByName, parts)
