@@ -26,7 +26,7 @@ def _stat(name, column, total):
     "SELECT 'discount_rate', count(disc_value + l_extendedprice), "
     "count(*) - count(disc_value + l_extendedprice), 0, sum(disc_value) / nullif(sum(l_extendedprice), 0), "
     f"NULL, NULL, NULL, NULL, NULL FROM {LINES_SQL}"]),
-    "total min max mean median stddev", 2)
+    "total min max mean median stddev", 4)
 def _(t):
     return d.summary_stats(lines(t))
 
@@ -70,7 +70,7 @@ WITH s AS (SELECT 'group' AS level, l_returnflag AS member, count(*) AS n, min(l
  FROM lineitem)
 SELECT level, member, n AS "rows", n AS n, lo AS min, hi AS max, m AS mean, med AS median, sd AS stddev,
  tot AS total, tot / (SELECT sum(tot) FROM s WHERE level = 'group') AS share FROM s""",
-       "min max mean median stddev total share", 2)
+       "min max mean median stddev total share", 4)
 def _(t):
     return d.group_compare(lines(t), "l_returnflag", "price")
 

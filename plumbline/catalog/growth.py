@@ -76,7 +76,7 @@ WITH d AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS s, count(o_orde
  z AS (SELECT CAST(band AS INT) AS band, days, lo, hi, avg_spend, avg_outcome, cost,
  CASE WHEN dd > 0 THEN ds / dd END AS marginal FROM y)
 SELECT *, coalesce(band = (SELECT min(band) FROM z WHERE band > 1 AND (marginal IS NULL OR marginal > 200000)),
- false) AS crosses_target FROM z""", "lo hi avg_spend avg_outcome cost marginal", 3)
+ false) AS crosses_target FROM z""", "lo hi avg_spend avg_outcome cost marginal", 5)
 def _(t):
     return g.marginal_returns(orders(t), "revenue", "orders", 5, 200_000)
 
@@ -150,7 +150,7 @@ WITH t AS (SELECT o_orderdate::DATE AS d, sum(o_totalprice) AS v FROM orders GRO
  (SELECT avg(v) FROM t WHERE d >= DATE '1998-06-01' - 28 - 364 AND d < DATE '1998-06-01' - 364) AS ly_pre)
 SELECT pre_mean, pre_n, post_mean, post_n, projected, post_mean / projected - 1 AS vs_projection, ly_post,
  ly_post / ly_pre AS ly_lift, post_mean / (pre_mean * ly_post / ly_pre) - 1 AS vs_last_year FROM a""",
-       "pre_mean post_mean projected vs_projection ly_post ly_lift vs_last_year", 3)
+       "pre_mean post_mean projected vs_projection ly_post ly_lift vs_last_year", 5)
 def _(t):
     from .base import ORDERS
     return g.before_after_baseline(Scope(t("orders").withColumn("revenue", F.col("o_totalprice")), ORDERS),
@@ -173,7 +173,7 @@ WITH o AS (SELECT o_custkey AS c, date_trunc('month', o_orderdate)::DATE AS mo,
 SELECT co AS cohort, n AS customers, cac, rev AS revenue_per_customer, CAST(pay AS INT) AS payback_month,
  rev / cac AS ltv_to_cac, CAST(date_diff('month', co, (SELECT max(mo) FROM o)) + 1 AS INT) AS months_observed,
  date_diff('month', co, (SELECT max(mo) FROM o)) + 1 < 3 OR (cac IS NOT NULL AND pay IS NULL) AS immature
-FROM g""", "cac revenue_per_customer ltv_to_cac", 3)
+FROM g""", "cac revenue_per_customer ltv_to_cac", 6)
 def _(t):
     return g.unit_economics(orders(t), "o_custkey", "revenue", SPEND)
 

@@ -349,18 +349,18 @@ WITH e AS (SELECT customer AS e, 100 * sum(conversions) AS n, sum(opens) AS d, s
 SELECT e AS entity, bk AS bucket, p AS position, n / d AS rate, x.rate AS expected, d AS weight, (x.rate - n / d) * d AS shortfall
 FROM b JOIN x USING (bk) WHERE d >= 100 AND n / d < x.rate ORDER BY shortfall DESC, e LIMIT 30""")
 preset("marketing.campaign_impact", lambda t: t("orders"), {"order_revenue": "o_totalprice", "date": "o_orderdate"}, {"start": "1998-06-01"},
-       single=True, sql=g.book["before_after_baseline"][1], digits=3)
+       single=True, sql=g.book["before_after_baseline"][1], digits=5)
 preset("marketing.delivered_roas", ads, pick(ADS_BOUND, "order_revenue", "gst", "spend", payment_method="device", cancelled="cancelled",
                                              rto="rto"), steps=[
     ("Delivered ROAS", s_group(f"(SELECT * FROM {ADS_SQL} WHERE NOT cancelled AND NOT rto)", "device",
                                Ratio(ratio("order_revenue - gst", "spend"))), RATE)])
 KEPT = {"customer_id": "o_custkey", "order_revenue": "o_totalprice", "date": "o_orderdate"}
-preset("marketing.cac_payback", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, sql=g.book["unit_economics"][1], digits=3)
-preset("marketing.ltv_to_cac", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, digits=3,
+preset("marketing.cac_payback", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, sql=g.book["unit_economics"][1], digits=6)
+preset("marketing.ltv_to_cac", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, digits=6,
        sql=g.book["unit_economics"][1].replace("+ 1 < 3 OR", "+ 1 < 6 OR"))
 preset("marketing.diminishing_returns", lambda t: orders(t, ORDERS).df.withColumn("conversions", F.lit(1)), {
     "spend": "o_totalprice", "conversions": "conversions", "date": "o_orderdate"}, {"target_cpa": 200_000}, single=True,
-       sql=g.book["marginal_returns"][1], digits=3)
+       sql=g.book["marginal_returns"][1], digits=5)
 preset("marketing.keyword_grouping", kw.parts, {"query": "kw"}, single=True)
 SOLD = {"query": "p_type", "page": "p_brand", "clicks": "l_quantity", "date": "l_shipdate"}
 SALES = g.SALES_SQL

@@ -137,19 +137,14 @@ def _(t):
     return p.prof_date_coverage(t("orders").where("o_totalprice > 400000"), "o_orderdate")
 
 
-@entry(book, "prof_roles", """SELECT * FROM (
- SELECT 'l_orderkey' AS "column", 'identifier' AS role, count(DISTINCT l_orderkey) AS "distinct", count(*) AS "rows" FROM lineitem
- UNION ALL SELECT 'l_partkey', 'measure', count(DISTINCT l_partkey), count(*) FROM lineitem
- UNION ALL SELECT 'l_suppkey', 'measure', count(DISTINCT l_suppkey), count(*) FROM lineitem
- UNION ALL SELECT 'l_linenumber', 'dimension', count(DISTINCT l_linenumber), count(*) FROM lineitem
- UNION ALL SELECT 'l_quantity', 'measure', count(DISTINCT l_quantity), count(*) FROM lineitem
- UNION ALL SELECT 'l_extendedprice', 'measure', count(DISTINCT l_extendedprice), count(*) FROM lineitem
- UNION ALL SELECT 'l_discount', 'measure', count(DISTINCT l_discount), count(*) FROM lineitem
- UNION ALL SELECT 'l_tax', 'measure', count(DISTINCT l_tax), count(*) FROM lineitem
- UNION ALL SELECT 'l_returnflag', 'dimension', count(DISTINCT l_returnflag), count(*) FROM lineitem
- UNION ALL SELECT 'l_linestatus', 'dimension', count(DISTINCT l_linestatus), count(*) FROM lineitem
- UNION ALL SELECT 'l_shipdate', 'date', count(DISTINCT l_shipdate), count(*) FROM lineitem)""".replace(
-     "'l_orderkey' AS \"column\", 'identifier'", "'l_orderkey' AS \"column\", 'measure'"))
+ROLE = ("SELECT '{c}' AS \"column\", {role} AS role, count(DISTINCT {c}) AS \"distinct\", count(*) AS \"rows\" FROM lineitem")
+FEW = "CASE WHEN count(DISTINCT {c}) <= 12 THEN 'dimension' ELSE 'measure' END"
+ROLES = {"l_shipdate": "'date'", "l_returnflag": "'dimension'", "l_linestatus": "'dimension'",
+         **{c: "'measure'" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}}
+
+
+@entry(book, "prof_roles", " UNION ALL ".join(
+    ROLE.format(c=c, role=ROLES.get(c, FEW.format(c=c))) for c in LINE_COLUMNS))
 def _(t):
     return p.prof_roles(t("lineitem"))
 

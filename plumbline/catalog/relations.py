@@ -105,7 +105,7 @@ def splits(series: str, tag: str) -> str:
 WITH {splits(MONTHLY, 'a_')}
 SELECT period AS split_after, n0 AS before, n1 AS after, m0 AS mean_before, m1 AS mean_after,
  m1 - m0 AS difference, sep AS separation FROM a_c""",
-       "mean_before mean_after difference separation", 3)
+       "mean_before mean_after difference separation", 5)
 def _(t):
     return r.changepoint(gappy(t), "revenue", "month")
 
@@ -124,6 +124,6 @@ WITH {splits(_series('sum(o_totalprice)'), 'a_')}, {splits(_series('avg(o_totalp
 SELECT series, period AS split_after, m1 - m0 AS difference, sep AS separation, k AS candidates,
  CAST(abs((SELECT i FROM x) - (SELECT i FROM y)) AS INT) AS periods_apart,
  abs((SELECT i FROM x) - (SELECT i FROM y)) <= 1 AS same_break, least(1.0, 3.0 / k) AS chance FROM u""",
-       "difference separation chance", 3)
+       "difference separation chance", 5)
 def _(t):
     return r.correlated_shift(gappy(t), "revenue", "avg_price", "month")

@@ -105,7 +105,7 @@ def _season(name, pos, spine, trunc, grain):
 WITH c AS ({sql}) SELECT CAST({pos} AS INT) AS position, avg(value) AS mean,
  avg(value) / (SELECT avg(value) FROM c) AS index, count(value) AS observed,
  count(*) - count(value) AS absent, CAST(sum(n) AS BIGINT) AS "rows" FROM c GROUP BY 1""",
-           "mean index", 4)
+           "mean index", 6)
     def _(t):
         return tm.seasonality(gappy(t), "revenue", grain)
 

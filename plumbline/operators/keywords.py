@@ -276,8 +276,7 @@ def txt_cluster(texts: DataFrame, column: str = "topic", threshold: float = THRE
     # two centres to a band, its first and last text: twice the chance to be near one, still linear
     centre = band.groupBy("band").agg(F.array(F.min("text"), F.max("text")).alias("ends"))
     star = band.join(centre, "band").select("text", F.explode("ends").alias("centre"))
-    star = star.where(F.col("text") != F.col("centre")).select(
-        "text", "centre").distinct()
+    star = star.where(F.col("text") != F.col("centre")).distinct()
     va = vec.select("text", "v")
     vb = vec.select(F.col("text").alias("centre"), F.col("v").alias("vc"))
     linked = star.join(va, "text").join(vb, "centre").where(
