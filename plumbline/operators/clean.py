@@ -7,11 +7,13 @@ from that expression, so the plan cannot say one thing and the run do another.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import Refused
 from ..functions.aggs import FLOATING, is_kind
@@ -134,6 +136,9 @@ def number_text(c: Column, reading: str) -> Column:
     return F.trim(c)
 
 
+#: A column name no number, date or truth value is written like.
+NAME_ONLY = re.compile(r"^(?!(true|false|nan|inf|infinity|e)$)[A-Za-z_]\w*$", re.I)
+
 BOOLEAN_WORDS = ("TRUE", "FALSE")
 
 
@@ -192,12 +197,15 @@ def apply_one(df: DataFrame, a: Action, tokens=MISSING) -> DataFrame:
 def header_row(df: DataFrame) -> Column:
     """A row that repeats at least half of the column names."""
     hits = []
-    for c in df.columns:
+    for f in df.schema.fields:
+        c = f.name
+        if not isinstance(f.dataType, T.StringType) and NAME_ONLY.match(c):
+            continue        # a number or a date never spells a name
         names = sorted({c.lower(), c.lower().replace("_", " ")})
         v = F.lower(F.trim(F.col(f"`{c}`").cast("string")))
         hits.append(F.coalesce(v.isin(*names), F.lit(False)).cast("int"))
     need = max(2, (len(df.columns) + 1) // 2)
-    return reduce(lambda a, b: a + b, hits) >= need
+    return reduce(lambda a, b: a + b, hits, F.lit(0)) >= need
 
 
 def impact(df: DataFrame, a: Action, tokens=MISSING, hist: DataFrame | None = None) -> DataFrame:
@@ -222,24 +230,52 @@ def impact(df: DataFrame, a: Action, tokens=MISSING, hist: DataFrame | None = No
     # what happens to a text value depends on the value alone: judged once, weighted by its rows
     h = (hist.where(F.col("column") == a.column).select("v", "n") if hist is not None
          else df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")))
-    v, n = F.col("v"), F.col("n")
-
-    def weigh(cond: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(cond, n)), zero).alias(name)
-
     if a.kind == "case":
+        v, n = F.col("v"), F.col("n")
         new = F.lower(v) if a.options.get("mode") == "lower" else F.upper(v)
         folded = h.groupBy(new.alias("k")).agg(F.count("*").alias("ways"), F.sum(
             F.when(v != new, n)).alias("changed"))
         return folded.agg(F.coalesce(F.sum("changed"), zero).alias("affected"),
                           F.coalesce(F.sum(F.col("ways") - 1), zero).alias("lost")).select(
             *head, "affected", "lost")
+    affected, lost = _touched(a, tokens)
+    return h.agg(_weigh(affected).alias("affected"), _weigh(lost).alias("lost")).select(
+        *head, "affected", "lost")
+
+
+def _weigh(cond: Column) -> Column:
+    return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0).cast("long"))
+
+
+def _touched(a: Action, tokens) -> tuple[Column, Column]:
+    """Which values (v) an action on one value changes, and which it loses."""
+    v = F.col("v")
     if a.kind == "convert_type":
-        exprs = [weigh(v.isNotNull(), "affected"), weigh(lost_value(v, a.options, tokens), "lost")]
-    else:
-        change = {"normalise_missing": F.upper(F.trim(v)).isin(*tokens), "trim": v != F.trim(v)}[a.kind]
-        exprs = [weigh(change, "affected"), zero.alias("lost")]
-    return h.agg(*exprs).select(*head, "affected", "lost")
+        return v.isNotNull(), lost_value(v, a.options, tokens)
+    change = {"normalise_missing": F.upper(F.trim(v)).isin(*tokens), "trim": v != F.trim(v)}[a.kind]
+    return change, F.lit(False)
+
+
+BY_VALUE = ("convert_type", "normalise_missing", "trim")
+
+
+def _impacts(df: DataFrame, actions: list[Action], tokens, hist: DataFrame | None) -> DataFrame:
+    """Impacts of a whole plan: actions on single values share one pass over the value counts."""
+    single = [a for a in actions if a.kind in BY_VALUE]
+    parts = [impact(df, a, tokens, hist) for a in actions if a.kind not in BY_VALUE]
+    if single:
+        aggs = []
+        for i, a in enumerate(single):
+            mine = F.col("column") == a.column
+            affected, lost = _touched(a, tokens)
+            aggs += [_weigh(mine & affected).alias(f"a{i}"), _weigh(mine & lost).alias(f"l{i}")]
+        wide = hist.where(F.col("column").isin(sorted({a.column for a in single}))).agg(*aggs)
+        parts.append(wide.select(F.inline(F.array(*[F.struct(
+            F.lit(a.id).alias("id"), F.lit(a.kind).alias("kind"), F.lit(a.column).alias("column"),
+            F.lit(", ".join(f"{k}={v}" for k, v in sorted(a.options.items()))).alias("options"),
+            F.col(f"a{i}").alias("affected"), F.col(f"l{i}").alias("lost"))
+            for i, a in enumerate(single)]))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def lost_sample(df: DataFrame, a: Action, tokens=MISSING, limit: int = 5) -> DataFrame:
@@ -265,58 +301,77 @@ def _as_number(text: Column, kind: str = "double") -> Column:
     return F.when(text.rlike(CASTABLE), text).try_cast(kind)
 
 
-def _readings(h: DataFrame) -> DataFrame:
-    """Every share a proposal decides on, over (column, v, n): one row per text column.
+def _share(cond: Column, name: str) -> Column:
+    return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
 
-    The readings are columns of their own first, so that each is evaluated once per value however
-    many shares use it.
-    """
+
+def _number_shares(h: DataFrame) -> DataFrame:
+    """How many values read as numbers under each reading, and with what precision."""
     v = F.col("v")
     bare = F.regexp_replace(v, CURRENCY, "")
-    read = h.select("column", "v", "n", F.trim(v).alias("t"), accounting(v).alias("a"), _as_number(v).alias("d"),
-                    _as_number(v, "decimal(18,2)").alias("cents"), _as_number(bare).alias("money"),
-                    _as_number(bare, "decimal(18,2)").alias("m_cents"),
-                    F.when(v.rlike(DATE_SHAPE), F.trim(v)).try_cast("timestamp_ntz").alias("stamp"),
+    read = h.select("column", "n", _as_number(v).alias("d"), _as_number(v, "decimal(18,2)").alias("cents"),
+                    _as_number(bare).alias("money"), _as_number(bare, "decimal(18,2)").alias("m_cents"),
                     *[_as_number(number_text(v, r)).alias(f"x_{r}") for r in ("us", "eu", "percent")])
-    t, a = F.col("t"), F.col("a")
-    read = read.withColumns({
-        "general": _parsed(t, GENERAL), "day_order": _parsed(t, DAY_FIRST), "month_order": _parsed(t, MONTH_FIRST),
-        "is_us": a.rlike(US_NUMBER), "is_eu": a.rlike(EU_NUMBER), "is_percent": a.rlike(PERCENT),
-        "p1": F.regexp_extract(t, NUMERIC_DATE, 1).try_cast("int"),
-        "p2": F.regexp_extract(t, NUMERIC_DATE, 2).try_cast("int")})
-    read = read.withColumns({"dates_none": F.col("general"), "dates_day": F.coalesce("day_order", "general"),
-                             "dates_month": F.coalesce("month_order", "general")})
-    n, d, money, stamp = F.col("n"), F.col("d"), F.col("money"), F.col("stamp")
-    us, eu = F.col("is_us"), F.col("is_eu")
-
-    def s(cond: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).alias(name)
+    d, money = F.col("d"), F.col("money")
 
     def off(x: Column, exact: Column) -> Column:
         return x.isNotNull() & (exact.isNull() | (exact.cast("double") != x))
 
+    exprs = [_share(d.isNotNull(), "double"), _share(d.isNotNull() & (d != F.floor(d)), "fraction"),
+             _share(off(d, F.col("cents")), "off_cents"), _share(money.isNotNull(), "money"),
+             _share(off(money, F.col("m_cents")), "money_off")]
+    for reading in ("us", "eu", "percent"):
+        x = F.col(f"x_{reading}")
+        exprs += [_share(x.isNotNull() & (x != F.floor(x)), f"frac_{reading}"),
+                  _share(x.isNotNull() & (F.round(x, 2) != x), f"off_{reading}")]
+    return read.groupBy("column").agg(*exprs)
+
+
+def _date_shares(h: DataFrame) -> DataFrame:
+    """How many values read as dates by a plain cast, and by the formats in either numeric order."""
+    v, t = F.col("v"), F.trim("v")
+    read = h.select("column", "n", F.when(v.rlike(DATE_SHAPE), t).try_cast("timestamp_ntz").alias("stamp"),
+                    _parsed(t, GENERAL).alias("general"), _parsed(t, DAY_FIRST).alias("day"),
+                    _parsed(t, MONTH_FIRST).alias("month"))
+    general = F.col("general")
+    readings = {"none": general, "day": F.coalesce("day", general), "month": F.coalesce("month", general)}
+
     def timed(ts: Column) -> Column:
         return ts.isNotNull() & (ts != F.date_trunc("day", ts).cast("timestamp_ntz"))
 
-    exprs = [F.coalesce(F.sum(n), F.lit(0)).alias("total"),
-             s(v.rlike(LEADING_ZERO), "padded"), s(F.upper(t).isin(*BOOLEAN_WORDS), "boolean"),
-             s(d.isNotNull(), "double"), s(d.isNotNull() & (d != F.floor(d)), "fraction"),
-             s(off(d, F.col("cents")), "off_cents"), s(stamp.isNotNull(), "stamp"), s(timed(stamp), "timed"),
-             s(F.col("is_percent"), "percent"), s(us, "us"), s(eu, "eu"), s(us & ~eu, "only_us"),
-             s(eu & ~us, "only_eu"), s(v.rlike("[₹$€£¥,]"), "marked"), s(money.isNotNull(), "money"),
-             s(off(money, F.col("m_cents")), "money_off"), s(t.rlike(r"^\d+$"), "digits"),
-             s(F.col("p1") > 12, "day_first"), s(F.col("p2") > 12, "month_first"),
-             s(F.upper(t).isin(*MISSING), "missing"), s(v != t, "untrimmed")]
-    for order in ("none", "day", "month"):
-        ts = F.col(f"dates_{order}")
-        exprs += [s(ts.isNotNull(), f"dates_{order}"), s(timed(ts), f"dates_timed_{order}")]
-    for reading in ("us", "eu", "percent"):
-        x = F.col(f"x_{reading}")
-        exprs += [s(x.isNotNull() & (x != F.floor(x)), f"frac_{reading}"),
-                  s(x.isNotNull() & (F.round(x, 2) != x), f"off_{reading}")]
+    exprs = [_share(F.col("stamp").isNotNull(), "stamp"), _share(timed(F.col("stamp")), "timed")]
+    for order, ts in readings.items():
+        exprs += [_share(ts.isNotNull(), f"dates_{order}"), _share(timed(ts), f"dates_timed_{order}")]
     return read.groupBy("column").agg(*exprs)
 
 
+def _shape_shares(h: DataFrame) -> DataFrame:
+    """How many values have each written form."""
+    v, t = F.col("v"), F.trim("v")
+    read = h.select("column", "v", "n", t.alias("t"), accounting(v).alias("a"))
+    a, t = F.col("a"), F.col("t")
+    read = read.select("column", "v", "n", "t", a.rlike(US_NUMBER).alias("us"), a.rlike(EU_NUMBER).alias("eu"),
+                       a.rlike(PERCENT).alias("percent"),
+                       *[F.regexp_extract(t, NUMERIC_DATE, i).try_cast("int").alias(f"p{i}") for i in (1, 2)])
+    us, eu = F.col("us"), F.col("eu")
+    return read.groupBy("column").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), _share(v.rlike(LEADING_ZERO), "padded"),
+        _share(F.upper(t).isin(*BOOLEAN_WORDS), "boolean"), _share(F.col("percent"), "percent"),
+        _share(us, "us"), _share(eu, "eu"), _share(us & ~eu, "only_us"), _share(eu & ~us, "only_eu"),
+        _share(v.rlike("[₹$€£¥,]"), "marked"), _share(t.rlike(r"^\d+$"), "digits"),
+        _share(F.col("p1") > 12, "day_first"), _share(F.col("p2") > 12, "month_first"),
+        _share(F.upper(t).isin(*MISSING), "missing"), _share(v != t, "untrimmed"))
+
+
+def _readings(h: DataFrame) -> DataFrame:
+    """Every share a proposal decides on, over (column, v, n): one row per text column.
+
+    Three aggregates instead of one: each compiles to code small enough to be optimised, and the
+    rows they are joined on are the columns of the table.
+    """
+    return _shape_shares(h).join(_number_shares(h), "column").join(_date_shares(h), "column")
+
+
 def histograms(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, v, n`` of every text column from one scan; a value is judged once, not per row."""
     cells = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, "column", "v")
@@ -372,11 +427,21 @@ def _conversions(r) -> list[dict]:
     return []
 
 
+def _may_hold_headers(df: DataFrame, hist: DataFrame | None) -> bool:
+    """Whether enough columns hold their own name as a value; read from the value counts."""
+    if hist is None:
+        return True
+    v, name = F.lower(F.trim("v")), F.lower("column")
+    own = hist.where((v == name) | (v == F.replace(name, F.lit("_"), F.lit(" ")))).select("column").distinct()
+    typed = len(df.columns) - len(text_columns(df))
+    return own.count() + typed >= max(2, (len(df.columns) + 1) // 2)
+
+
 def _detect(df: DataFrame, tokens, hist: DataFrame | None, columns: list[str]) -> list[Action]:
     out = []
     if prof_duplicates(df).first()["duplicates"]:
         out.append(Action("drop_duplicates"))
-    if len(df.columns) >= 2 and not df.where(header_row(df)).isEmpty():
+    if len(df.columns) >= 2 and _may_hold_headers(df, hist) and not df.where(header_row(df)).isEmpty():
         out.append(Action("drop_header_rows"))
     shares, merged = {}, set()
     if hist is not None:
@@ -425,8 +490,7 @@ def cln_detect(df: DataFrame, tokens=MISSING) -> DataFrame:
     if not actions:
         return df.sparkSession.createDataFrame(
             [], "id string, kind string, column string, options string, affected long, lost long")
-    parts = [impact(df, a, tokens, hist) for a in actions]
-    return reduce(DataFrame.unionByName, parts)
+    return _impacts(df, actions, tokens, hist)
 
 
 def conflicts(actions: list[Action]) -> list[str]:
