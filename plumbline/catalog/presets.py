@@ -355,8 +355,8 @@ preset("marketing.delivered_roas", ads, pick(ADS_BOUND, "order_revenue", "gst",
     ("Delivered ROAS", s_group(f"(SELECT * FROM {ADS_SQL} WHERE NOT cancelled AND NOT rto)", "device",
                                Ratio(ratio("order_revenue - gst", "spend"))), RATE)])
 KEPT = {"customer_id": "o_custkey", "order_revenue": "o_totalprice", "date": "o_orderdate"}
-preset("marketing.cac_payback", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, sql=g.book["unit_economics"][1], digits=6)
-preset("marketing.ltv_to_cac", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, digits=6,
+preset("marketing.cac_payback", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, sql=g.book["unit_economics"][1], digits=8)
+preset("marketing.ltv_to_cac", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, digits=8,
        sql=g.book["unit_economics"][1].replace("+ 1 < 3 OR", "+ 1 < 6 OR"))
 preset("marketing.diminishing_returns", lambda t: orders(t, ORDERS).df.withColumn("conversions", F.lit(1)), {
     "spend": "o_totalprice", "conversions": "conversions", "date": "o_orderdate"}, {"target_cpa": 200_000}, single=True,

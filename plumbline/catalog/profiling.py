@@ -84,7 +84,7 @@ def _(t):
  q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper,
  (SELECT count(*) FROM {f} WHERE {c} < q1 - 1.5 * (q3 - q1)) AS below,
  (SELECT count(*) FROM {f} WHERE {c} > q3 + 1.5 * (q3 - q1)) AS above FROM (SELECT quantile_cont({c}, 0.25) AS q1,
- quantile_cont({c}, 0.75) AS q3 FROM {f})""", "lineitem"), "lower upper")
+ quantile_cont({c}, 0.75) AS q3 FROM {f})""", "lineitem"), "lower upper", 6)
 def _(t):
     return p.prof_outliers(t("lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
 

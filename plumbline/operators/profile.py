@@ -256,8 +256,8 @@ def full_row_counts(df: DataFrame) -> DataFrame:
 def prof_duplicates(df: DataFrame) -> DataFrame:
     """Rows, distinct rows and exact copies.
 
-    Rows are screened by two independent 64-bit hashes, which keeps the shuffle narrow; only
-    tables where the screen finds repeats pay for the exact grouping of whole rows.
+    Rows are screened by a 64-bit hash, which keeps the shuffle narrow; only tables where the screen
+    finds repeats pay for the exact grouping of whole rows.
     """
     cols = [F.col(f"`{c}`") for c in df.columns]
     screen = df.select(F.xxhash64(*cols).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
