@@ -18,9 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def nudge(digits: int) -> float:
+    """Moves values off exact halves, where the last bit of a sum would decide how they round."""
+    return 0.37 * 10.0 ** -(digits + 2)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles at a fixed precision, so that summation order cannot show in a comparison."""
-    return df.withColumns({f.name: F.round(F.col(f"`{f.name}`"), digits) for f in df.schema.fields
+    return df.withColumns({f.name: F.round(F.col(f"`{f.name}`") + F.lit(nudge(digits)), digits)
+                           for f in df.schema.fields
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
@@ -35,7 +41,7 @@ def entry(book: dict, name: str, sql: str | None = None, doubles: str = "", digi
         run.__doc__ = fn.__doc__
         text = sql
         if sql and doubles:
-            reps = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}"
+            reps = ", ".join(f"round(CAST({c} AS DOUBLE) + {nudge(digits)!r}, {digits}) + 0.0 AS {c}"
                              for c in doubles.split())
             text = f"SELECT * REPLACE ({reps}) FROM ({sql}) AS q"
         if name in book:

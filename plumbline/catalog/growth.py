@@ -173,7 +173,7 @@ WITH o AS (SELECT o_custkey AS c, date_trunc('month', o_orderdate)::DATE AS mo,
 SELECT co AS cohort, n AS customers, cac, rev AS revenue_per_customer, CAST(pay AS INT) AS payback_month,
  rev / cac AS ltv_to_cac, CAST(date_diff('month', co, (SELECT max(mo) FROM o)) + 1 AS INT) AS months_observed,
  date_diff('month', co, (SELECT max(mo) FROM o)) + 1 < 3 OR (cac IS NOT NULL AND pay IS NULL) AS immature
-FROM g""", "cac revenue_per_customer ltv_to_cac", 8)
+FROM g""", "cac revenue_per_customer ltv_to_cac", 4)
 def _(t):
     return g.unit_economics(orders(t), "o_custkey", "revenue", SPEND)
 

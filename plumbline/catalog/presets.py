@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.runner import Request, figures, run_preset
 from . import growth as g
 from . import keywords as kw
-from .base import EVENTS_SQL, ORDERS, entry, events_table, orders
+from .base import EVENTS_SQL, ORDERS, entry, events_table, nudge, orders
 
 book: dict = {}
 
@@ -169,7 +169,7 @@ def long_sql(steps) -> str:
         label = "concat_ws(' | ', " + ", ".join(f"CAST({x} AS VARCHAR)" for x in labels) + ")" if labels else "''"
         cols = ", ".join(f'CAST("{n}" AS DOUBLE) AS "{n}"' for n in names)
         on = ", ".join(f'"{n}"' for n in names)
-        parts.append(f"SELECT '{title}' AS step, label, figure, round(value, 4) + 0.0 AS value FROM (UNPIVOT (SELECT {label} AS label, {cols} "
+        parts.append(f"SELECT '{title}' AS step, label, figure, round(value + {nudge(4)!r}, 4) + 0.0 AS value FROM (UNPIVOT (SELECT {label} AS label, {cols} "
                      f"FROM ({sql})) ON {on} INTO NAME figure VALUE value)")
     return " UNION ALL ".join(parts)
 
@@ -355,8 +355,8 @@ preset("marketing.delivered_roas", ads, pick(ADS_BOUND, "order_revenue", "gst",
     ("Delivered ROAS", s_group(f"(SELECT * FROM {ADS_SQL} WHERE NOT cancelled AND NOT rto)", "device",
                                Ratio(ratio("order_revenue - gst", "spend"))), RATE)])
 KEPT = {"customer_id": "o_custkey", "order_revenue": "o_totalprice", "date": "o_orderdate"}
-preset("marketing.cac_payback", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, sql=g.book["unit_economics"][1], digits=8)
-preset("marketing.ltv_to_cac", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, digits=8,
+preset("marketing.cac_payback", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, sql=g.book["unit_economics"][1], digits=4)
+preset("marketing.ltv_to_cac", lambda t: orders(t, ORDERS).df, KEPT, {"spend": g.SPEND}, single=True, digits=4,
        sql=g.book["unit_economics"][1].replace("+ 1 < 3 OR", "+ 1 < 6 OR"))
 preset("marketing.diminishing_returns", lambda t: orders(t, ORDERS).df.withColumn("conversions", F.lit(1)), {
     "spend": "o_totalprice", "conversions": "conversions", "date": "o_orderdate"}, {"target_cpa": 200_000}, single=True,
