@@ -9,7 +9,7 @@ from ..functions.aggs import (declared, finite, non_finite_count, row_hash_sum,
 from ..functions.quantiles import grouped, null_safe_join
 from ..operators import presets_filters as pf
 from ..operators.scope import Scope, checked_predicate, scope_counts
-from .base import (EVENTS_SQL, LINES_SQL, ORDERS, ORDERS_SQL, entry, events, events_table, lines,
+from .base import (EVENTS_SQL, LINES_SQL, ORDERS, ORDERS_SQL, entry, events_table, lines,
                    orders)
 
 book: dict = {}
@@ -525,6 +525,3 @@ ORDER BY o_orderdate ASC NULLS LAST, o_orderkey LIMIT 25""")
 def _(t):
     return gaps(t).orderBy(F.asc_nulls_last("o_orderdate"), "o_orderkey").limit(25).select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-
-
-__all__ = ["book", "events"]

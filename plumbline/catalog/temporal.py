@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import periods, temporal as tm
 from ..operators.scope import Scope
-from .base import LINES_SQL, ORDERS, ORDERS_SQL, entry, lines, orders
+from .base import ORDERS_SQL, entry, orders
 
 book: dict = {}
 
@@ -178,6 +178,3 @@ SELECT member, m0 AS baseline_mean, m1 AS period_mean, w0 AS baseline_share, w1
        "baseline_mean period_mean baseline_share period_share rate mix interaction contribution")
 def _(t):
     return tm.mix_shift(orders(t), "avg_price", "o_custkey", "1998", "1997", "year")
-
-
-__all__ = ["book", "LINES_SQL", "ORDERS", "lines"]

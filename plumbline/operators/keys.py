@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..contract import Contract, Measure
 from ..errors import Refused
-from ..functions.words import ENTITY, snake, words_of_name
-from .profile import Column_, distinct_counts, evidence, role_of, rows_frame
+from ..functions.words import ENTITY, words_of_name
+from .profile import Column_, evidence, role_of, rows_frame
 from .scope import compared
 
 MAX_PAIRS = 200
@@ -359,6 +359,3 @@ def draft_check(df: DataFrame, draft: dict) -> DataFrame:
                 strong = strength == "strong"
                 out.append((field_, agg, data if strong else agg, "overruled" if strong else "unproven"))
     return rows_frame(df, out, "field string, drafted string, kept string, status string")
-
-
-__all__ = ["distinct_counts", "snake"]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..functions.aggs import declared, finite, guarded_corr, row_values_needed, total_needed
 from ..functions.quantiles import bucket_of, grouped, null_safe_join
-from ..functions.ranks import midranks
 from ..functions.staging import ranked, stage
 from .describe import check_groups
 from .periods import on_calendar, per_period
@@ -340,7 +339,3 @@ def correlated_shift(scope: Scope, measure: str, against: str, grain: str = "mon
                        apart.scalar().cast("int").alias("periods_apart"),
                        (apart.scalar() <= F.lit(tolerance)).alias("same_break"),
                        chance.alias("chance"))
-
-
-__all__ = ["correlation", "bivariate", "driver_analysis", "outlier_detection", "outlier_within",
-           "outlier_agreement", "changepoint", "correlated_shift", "midranks"]

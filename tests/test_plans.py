@@ -48,8 +48,7 @@ def test_driver_reads_only_what_it_groups(t):
     lambda t: infer.group_moments(Scope.of(lines_table(t), LINES), "l_returnflag", "price"),
     lambda t: people.cohort_retention(Scope.of(t("orders"), ORDERS), "o_custkey"),
     lambda t: validate.val_key_unique(t("orders"), ["o_orderkey"]),
-    lambda t: growth.text_ngrams(Scope.of(t("documents"), EVENTS), "text", "events", 1)
-    if False else growth.key_overlap(Scope.of(lines_table(t), LINES), "l_partkey", "l_suppkey", "quantity"),
+    lambda t: growth.key_overlap(Scope.of(lines_table(t), LINES), "l_partkey", "l_suppkey", "quantity"),
 ])
 def test_raw_rows_never_meet_in_one_partition(t, build):
     """A single-partition exchange may only follow an aggregate, a limit or another shuffle."""
