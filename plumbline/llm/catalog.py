@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, packing, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, entropy=ENTROPY).select(
         "doc_id", "source", mixing.words(F.col("text")).alias("n_tokens"), "mix_pass", "mix_block")
+
+
+@query("op2_secret_links")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("secret_assign").alias("n_assign"), F.col("secret_access").alias("n_access"),
+                        F.col("secret_hex").alias("n_hex"), F.col("secret_base_sha256").alias("base_sha256"),
+                        F.col("secret_spans").alias("spans"))
+
+
+@query("op5_best_two_fit")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
