@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets, toxicity
+from . import chat, mixing, packing, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text scored."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_transcripts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, written as transcripts in several styles, parsed back into turns.
+
+    The model is counted on the conversations that aren't held out (four fifths by checksum of the id).
+    """
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    known = F.when(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % 5 != 0, F.col("role"))
+    return chat.format_chats(chat.transcribed(talks).withColumn("role", known))
