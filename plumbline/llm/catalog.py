@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, secrets, toxicity
+from . import chat, mixing, packing, pages, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     known = F.when(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % 5 != 0, F.col("role"))
     return chat.format_chats(chat.transcribed(talks).withColumn("role", known))
+
+
+@query("op4_host_paths")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    text = pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
