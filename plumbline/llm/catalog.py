@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pages, secrets, toxicity
+from . import chat, jaccard, mixing, packing, pages, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     text = pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_ngram_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: five words, similarity of at least 0.75."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
