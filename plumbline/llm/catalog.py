@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, pages, secrets, toxicity
+from . import chat, jaccard, mixing, packing, pages, secrets, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: five words, similarity of at least 0.75."""
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte covered by a string of 100 bytes that starts earlier goes, over all whole texts."""
+    return suffixes.digests(table(spark, sf_dir, "documents"))
