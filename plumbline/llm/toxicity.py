@@ -2,7 +2,7 @@
 
 Every n-gram of 3 to 6 lower-cased code points is hashed into ``BUCKETS``. From labelled texts come, per bucket, the
 numbers of toxic and clean texts that hold it; the log ratio of their smoothed shares is the feature's scale. A feature
-is that scale times the n-gram's rate in the text, and a logistic regression with an L2 penalty weighs the
+is that scale times the logarithm of the n-gram's count (repetition says little), over the root of the text's length; and a logistic regression with an L2 penalty weighs the
 ``FEATURES`` buckets that separate the classes best. The model is learned from at most ``SAMPLE`` labelled texts (those
 whose ids hash lowest); scoring is one map over all texts.
 
@@ -26,10 +26,10 @@ from ..functions.staging import stage
 SAMPLE = 20_000
 NGRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
-FEATURES = 1 << 15
+FEATURES = 1 << 13
 #: Texts of so many code points are hashed at once; one longer text is a piece of its own.
 CHARS = 1 << 20
-PENALTY, ROUNDS = 1e-4, 400
+PENALTY, ROUNDS = 1e-4, 500
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -75,6 +75,16 @@ def hits(codes: np.ndarray, lengths: np.ndarray, at: np.ndarray | None):
             yield text[:count][keep], feature[keep]
 
 
+def counted(codes: np.ndarray, lengths: np.ndarray, at: np.ndarray):
+    """(text, feature, occurrences) of the features in several texts."""
+    found = list(hits(codes, lengths, at))
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    pair, n = np.unique(np.concatenate([t.astype(np.int64) * FEATURES + f for t, f in found]), return_counts=True)
+    return pair // FEATURES, pair % FEATURES, n
+
+
 def _presence(batches):
     """Per bucket, the toxic and the clean texts of this task that hold it."""
     counts = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -97,21 +107,18 @@ def _rates(at: np.ndarray):
         for frame in batches:
             out = []
             for first, codes, lengths in _chunks(frame["text"]):
-                found = list(hits(codes, lengths, at))
-                text = np.concatenate([t for t, _ in found]) if found else np.zeros(0, int)
-                feature = np.concatenate([f for _, f in found]) if found else np.zeros(0, int)
-                pair, n = np.unique(text.astype(np.int64) * len(at) + feature, return_counts=True)
-                ends = np.searchsorted(pair // len(at), np.arange(len(lengths) + 1))
+                text, feature, n = counted(codes, lengths, at)
+                ends = np.searchsorted(text, np.arange(len(lengths) + 1))
                 for i, length in enumerate(lengths):
                     a, b = ends[i], ends[i + 1]
-                    out.append((int(frame["toxic"].iloc[first + i]), int(length), (pair[a:b] % len(at)).tolist(), n[a:b].tolist()))
+                    out.append((int(frame["toxic"].iloc[first + i]), int(length), feature[a:b].astype("<u2").tobytes(), np.minimum(n[a:b], 65535).astype("<u2").tobytes()))
             yield pd.DataFrame(out, columns=["toxic", "length", "features", "counts"])
     return run
 
 
 def _norm(lengths: np.ndarray) -> np.ndarray:
     """What counts are divided by: a text's size, so that long clean texts don't add up to toxic ones."""
-    return np.sqrt(lengths + 50.0)
+    return np.sqrt(lengths + 50.0) / 8.0
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFrame:
@@ -138,11 +145,12 @@ def fit(rows: DataFrame) -> Model:
     at = np.full(BUCKETS, -1, np.int32)
     at[best["bucket"]] = np.arange(len(best))
     scale = best["ratio"].to_numpy(float)
-    frame = rows.mapInPandas(_rates(at), "toxic int, length long, features array<int>, counts array<int>").toPandas()
-    sizes = frame["features"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(frame)), sizes)
-    feature = np.concatenate([*frame["features"], []]).astype(int) % BUCKETS
-    x = np.concatenate([*frame["counts"], []]).astype(float) / _norm(frame["length"].to_numpy())[row] * scale[feature]
+    # the features of a bounded sample, two bytes each
+    frame = rows.mapInPandas(_rates(at), "toxic int, length long, features binary, counts binary").toPandas()
+    sizes = frame["features"].map(len).to_numpy() // 2
+    row = np.repeat(np.arange(len(frame), dtype=np.int32), sizes)
+    feature = np.frombuffer(b"".join(frame["features"]), dtype="<u2").astype(np.int32)
+    x = np.log1p(np.frombuffer(b"".join(frame["counts"]), dtype="<u2")) * scale[feature] / _norm(frame["length"].to_numpy())[row]
     weight, bias = _logistic(row, feature, x, frame["toxic"].to_numpy(float), len(scale))
     return Model(at, weight * scale, bias)
 
@@ -178,9 +186,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     def of(texts: pd.Series) -> pd.Series:
         m, out = shared.value, np.empty(len(texts))
         for first, codes, lengths in _chunks(texts):
-            sums = np.zeros(len(lengths))
-            for t, f in hits(codes, lengths, m.at):
-                sums += np.bincount(t, m.value[f], len(lengths))
+            text, feature, n = counted(codes, lengths, m.at)
+            sums = np.bincount(text, np.log1p(np.minimum(n, 65535)) * m.value[feature], len(lengths))
             out[first:first + len(lengths)] = sums / _norm(lengths) + m.bias
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
