@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import stage
 from .hashing import mixed, prefix, spans
+from .shared import written
 
 LENGTH, GRAM = 100, 32
 BEFORE = LENGTH - GRAM
@@ -79,10 +80,16 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places, np.concatenate(grams)[first], np.concatenate(around)[first]
 
 
+#: Stands for a null doc_id.
+NOBODY = -(1 << 63)
+
+
 def _documents(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, tag (who it is), text."""
+    """doc, tag (who it is), text. The tag tells texts with one doc_id apart; it is 0 if no doc_id repeats."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
+    repeated = docs.groupBy(doc).count().where("count > 1").limit(1).count()
+    return docs.select(doc.alias("doc"), (F.hash(text) if repeated else F.lit(0)).alias("tag"), text.alias("text"))
 
 
 def _arrow(rows: DataFrame, fn, schema: str, names: tuple[str, ...]) -> DataFrame:
@@ -123,9 +130,9 @@ def _decided(grams: DataFrame) -> DataFrame:
     return rows.where("before IS NOT NULL OR low <> high").select("gram", "doc", "tag", "at", F.expr("before IS NOT NULL").alias("whole"))
 
 
-def _surroundings(docs: DataFrame, edges: DataFrame) -> DataFrame:
+def _surroundings(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """gram, doc, tag, at, before (bytes ahead of the anchor), bytes."""
-    lists = edges.groupBy("doc", "tag").agg(F.collect_list("gram").alias("grams"), F.collect_list("at").alias("ats"))  # one document's
+    lists = marks.where("size(edges) > 0").select("doc", "tag", F.col("edges.gram").alias("grams"), F.col("edges.at").alias("ats"))
     joined = docs.join(lists, ["doc", "tag"])
 
     def of(doc, tag, text, grams, ats):
@@ -311,46 +318,44 @@ def united(n: int, starts, ends) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
 
 
-def intervals(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc, tag, start, end: bytes to remove. ``docs``: doc, tag, text."""
-    marks = stage(_decided(_grams(docs)))
-    edges = marks.where("NOT whole")
-    many = stage(edges.groupBy("gram").count().where(F.col("count") > crowd).select("gram"))
-    around = _surroundings(docs, edges)
-    crowds = many.count()  # at most a crowd'th of the edges
-    if crowds:
-        around = stage(around)
-    found = _sorted_edges(around.join(many, "gram", "left_anti") if crowds else around)
-    if crowds:
-        found = found.unionByName(_crowded_edges(around.join(many, "gram", "left_semi")).select("doc", "tag", "start", "end"))
-    whole = marks.where("whole").select("doc", "tag", F.greatest(F.col("at") - BEFORE, F.lit(0)).alias("start"), (F.col("at") + LENGTH).alias("end"))
-    return whole.unionByName(found)
-
-
 def remove(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) per row of ``docs``."""
     docs = _documents(docs)
-    lists = intervals(docs, crowd).groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))  # one document's
-    rows = docs.join(lists, ["doc", "tag"], "left")
+    marks = written(_decided(_grams(docs)).groupBy("doc", "tag").agg(  # one document's anchors
+        F.collect_list(F.when(F.col("whole"), F.col("at"))).alias("wholes"),
+        F.collect_list(F.when(~F.col("whole"), F.struct("gram", "at"))).alias("edges")))
+    grams = marks.select(F.explode("edges.gram").alias("gram")).groupBy("gram").count()
+    many = stage(grams.where(F.col("count") > crowd).select("gram"))
+    around = _surroundings(docs, marks)
+    if many.count():  # at most a crowd'th of the edges
+        around = written(around)
+        found = _sorted_edges(around.join(many, "gram", "left_anti")).unionByName(
+            _crowded_edges(around.join(many, "gram", "left_semi")).select("doc", "tag", "start", "end"))
+    else:
+        found = _sorted_edges(around)
+    lists = found.groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))  # one document's
+    # the documents are dealt out once for this join and that of the surroundings
+    rows = docs.join(marks.select("doc", "tag", "wholes"), ["doc", "tag"], "left").join(lists, ["doc", "tag"], "left")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out = [[], [], [], [], []]
                 part = batch.slice(at, 64)
-                for key, text, starts, ends in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends"))):
+                for key, text, wholes, starts, ends in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "wholes", "starts", "ends"))):
                     raw = text.encode("utf-8", "surrogatepass")
                     n = len(raw)
                     # a whole surrounding near the end is shorter; one too short for a string holds none
-                    own = [(a, min(b, n)) for a, b in zip(starts or [], ends or []) if min(b, n) - a >= LENGTH]
+                    own = [(max(at_ - BEFORE, 0), min(at_ + LENGTH, n)) for at_ in wholes or []]
+                    own = [(a, b) for a, b in own if b - a >= LENGTH] + list(zip(starts or [], ends or []))
                     gone = united(n, *zip(*own)) if own else []
                     edges = [0, *(x for pair in gone for x in pair), n]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    for column, value in zip(out, (key, n, n - len(kept), len(gone), kept)):
+                    for column, value in zip(out, (None if key == NOBODY else key, n, n - len(kept), len(gone), kept)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts", "ends").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.select("doc", "text", "wholes", "starts", "ends").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
