@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, pages, secrets, suffixes, toxicity
+from . import ann, chat, jaccard, mixing, packing, pages, secrets, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte covered by a string of 100 bytes that starts earlier goes, over all whole texts."""
     return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op7_graph_search")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
