@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, mixing, packing, pages, secrets, suffixes, toxicity
+from . import ann, chat, jaccard, mixing, neardup, packing, pages, secrets, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every hundredth vector, among all others."""
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query("op3_embedding_near_copies")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 and more among all embeddings."""
+    return neardup.near_copies(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
