@@ -181,12 +181,12 @@ def links(docs: DataFrame, found: DataFrame, words: int = WORDS, over: int = OVE
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     units = around.join(crowds, ["leader", "band"]).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = units.select("leader", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node")
-    # one document stands for a node
+    # one document stands for a node, and its text moves once to be joined and once to its units
     wanted = around.select("node").distinct()
     chosen = found.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(chosen, "doc_id")
     key = ["leader", "band", "low", "high"]
-    work = units.join(texts.select("node", "text"), "node").repartition(*key).sortWithinPartitions(*key, "node")
+    work = units.join(chosen, "node").join(docs, "doc_id").select(*key, "node", "text")
+    work = work.repartition(*key).sortWithinPartitions(*key, "node")
 
     def groups(batches):
         held, last = {}, None
@@ -215,7 +215,7 @@ def links(docs: DataFrame, found: DataFrame, words: int = WORDS, over: int = OVE
             b += names[group[other]].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return work.select(*key, "node", "text").mapInArrow(verify, "a long, b long")
+    return work.mapInArrow(verify, "a long, b long")
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
@@ -233,9 +233,14 @@ def near_copies(docs: DataFrame, words: int = WORDS, over: int = OVER, under: in
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each component the document with the smallest id stays, and of its rows one.
+    """``docs`` without near copies: of each component the document with the smallest id stays.
 
-    Documents without words, and those without an id, all stay.
+    Rows that repeat doc_id and text are one document, and one of them stays; rows that share the doc_id alone stay or go
+    together. Documents without words, and those without an id, all stay.
     """
-    groups = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeated:
+        named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+        docs = named.unionByName(docs.where("doc_id IS NULL"))
+    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
