@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from .hashing import mixed, prefix, spans
+from .hashing import BASE, mixed, prefix, spans
 from .shared import written
 
 LENGTH, GRAM = 100, 32
@@ -153,7 +153,9 @@ class Suffixes:
 
     def __init__(self, rows: np.ndarray, sizes: np.ndarray):
         self.rows, self.sizes = rows, sizes
-        powers = np.cumprod(np.concatenate(([1], np.full(rows.shape[1], 0x9E3779B97F4A7C15, dtype=np.uint64))).astype(np.uint64))[:-1]
+        powers = np.full(rows.shape[1], BASE, dtype=np.uint64)
+        powers[:1] = 1
+        powers = np.cumprod(powers)
         self.sums = np.zeros((rows.shape[0], rows.shape[1] + 1), dtype=np.uint64)
         np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * powers, axis=1, out=self.sums[:, 1:])
 
