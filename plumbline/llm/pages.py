@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.staging import stage
 
 #: Part of a host's votes from which a path wins: at most 1 / SHARE paths per host.
-SHARE = 0.1
+SHARE = 0.2
 #: Hosts up to this many are broadcast; beyond it, pages join them by a shuffle.
 BROADCAST_HOSTS = 50_000
 
