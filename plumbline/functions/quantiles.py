@@ -22,6 +22,8 @@ from .staging import stage
 DISTINCT_LIMIT = 20_000
 #: Slices per step, rows the last step may sort, and steps after which a double has no digits left.
 SLICES, SORT_ROWS, DEPTH = 2048, 5_000_000, 5
+#: Slices wanted by all groups and columns up to this many are broadcast; beyond it, rows meet them by a shuffle.
+BROADCAST_SLICES = 200_000
 
 
 @dataclass(frozen=True)
@@ -126,12 +128,16 @@ def selected(df: DataFrame, keys: list[str], quantiles: dict[str, tuple[str, flo
         counted = counted.withColumn("__hi", F.sum("__n").over(upto) + F.col("__base"))
         counted = counted.withColumn("__lo", F.col("__hi") - F.col("__n"))
         need = stage(counted.where(wanted).select(*by, *path, "__total", F.col("__lo").alias("__base"), "__n"))
-        left = need.agg(F.sum("__n")).first()[0] or 0
-        near = null_safe_join(rows.select(*by, *path, "__x", "__y"), need.drop("__n"), [*by, *path])
+        left, slices_wanted = need.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*")).first()
+        # the wanted slices are few: raw rows are filtered where they are, not shuffled by slice
+        side = need.drop("__n")
+        side = F.broadcast(side) if slices_wanted <= BROADCAST_SLICES else side
+        near = null_safe_join(rows.select(*by, *path, "__x", "__y"), side, [*by, *path])
         if left <= sort_rows or len(path) == DEPTH:
             break
-        # the position inside the slice, stretched to the full number of slices
-        rows = near.withColumn("__y", (F.col("__y") - F.col(level)) * F.lit(float(slices)))
+        # the position inside the slice, stretched to the full number of slices; what is left is read
+        # twice below, the source no more
+        rows = stage(near).withColumn("__y", (F.col("__y") - F.col(level)) * F.lit(float(slices)))
 
     # equal values collapse before the sort, so a heavily repeated value is one row
     hist = near.groupBy(*by, *path, "__base", "__total", "__x").agg(F.count("*").alias("__k"))

@@ -101,3 +101,12 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank",
            small_rows: int = SMALL_ROWS) -> DataFrame:
     """``row_number`` over the whole frame, through the same running total."""
     return running(df, order, {name: F.lit(1).cast("long")}, small_rows)
+
+
+#: Rows up to which a staged frame of a few numbers per row is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (staged: it is counted) with a broadcast hint where it is small; a shuffle join otherwise."""
+    return F.broadcast(df) if df.count() <= most else df

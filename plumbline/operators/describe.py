@@ -13,17 +13,6 @@ from ..functions.quantiles import grouped
 from ..functions.staging import ranked, running, stage
 from .scope import Scope, in_window
 
-#: Most groups a per-group table shows; a longer list is a top_n question.
-MAX_GROUPS = 49
-
-
-def check_groups(scope: Scope, dimension: str, limit: int = MAX_GROUPS) -> None:
-    scope.contract.dimension(dimension)
-    seen = scope.df.select(dimension).distinct().limit(limit + 1).count()
-    if seen > limit:
-        raise Refused("TOO_MANY_GROUPS", f"{dimension} has more than {limit} groups; use top_n")
-
-
 def group_totals(scope: Scope, keys: list[str], measure: str, extra: list[Column] = ()) -> DataFrame:
     """``keys, total, rows`` with the declared aggregate, medians included."""
     m = scope.contract.measure(measure)
@@ -173,7 +162,7 @@ def group_compare(scope: Scope, dimension: str, measure: str) -> DataFrame:
     """Seven statistics, total and share per group, with an all-rows row from the same pass."""
     m = scope.contract.measure(measure)
     scope = scope.for_measure(measure, [dimension])
-    check_groups(scope, dimension)
+    scope.contract.dimension(dimension)
     if m.agg == "ratio":
         return _ratio_compare(scope, dimension, m)
     df = scope.df.withColumn("__x", finite(scope.df, measure).cast("double"))
@@ -198,7 +187,7 @@ def group_compare(scope: Scope, dimension: str, measure: str) -> DataFrame:
         out = out.withColumn("total", F.col("median"))
     if m.agg in (None, "none"):
         out = out.withColumn("total", F.lit(None).cast("double"))
-    out = stage(out)      # at most MAX_GROUPS + 1 rows
+    out = stage(out)
     basis = share_basis(scope, measure, out.where(F.col("level") == "group"))
     return out.select("level", "member", "rows", "n", "min", "max", "mean", "median", "stddev",
                       "total", _share(basis).alias("share"))
@@ -220,7 +209,7 @@ def _ratio_compare(scope: Scope, dimension: str, m) -> DataFrame:
 def cross_tab(scope: Scope, rows: str, columns: str, measure: str | None = None) -> DataFrame:
     """Cells and margins in long form; margins are aggregates of rows, never sums of cells."""
     for d in (rows, columns):
-        check_groups(scope, d)
+        scope.contract.dimension(d)
     value = F.count("*") if measure is None else declared(scope.contract.measure(measure))
     df = scope.df.select(F.col(rows).alias("row_member"), F.col(columns).alias("column_member"),
                          *([measure] if measure else []))
@@ -335,7 +324,7 @@ def ranking_shift(scope: Scope, dimension: str, measure: str, before, after) ->
     """Rank of each group in two date ranges; groups of only one range are new or gone."""
     m = scope.contract.measure(measure)
     total_needed(m)
-    check_groups(scope, dimension)
+    scope.contract.dimension(dimension)
     c = scope.contract.require_date()
     sides = []
     for which, (start, end) in (("before", before), ("after", after)):

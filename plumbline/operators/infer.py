@@ -17,7 +17,7 @@ from ..errors import Refused
 from ..functions import dist
 from ..functions.aggs import finite, non_finite_count, sample_kurtosis, sample_skewness
 from ..functions.ranks import rank_sums, tie_term
-from .describe import check_groups
+from ..functions.staging import stage
 from .scope import Scope
 
 
@@ -44,9 +44,19 @@ def set_aside(scope: Scope, dimension: str, measure: str) -> DataFrame:
         "not_finite", bad.agg(non_finite_count(bad, measure)).scalar())
 
 
-def _moments(scope: Scope, dimension: str, measure: str) -> list:
-    check_groups(scope, dimension)
-    return sorted(group_moments(scope, dimension, measure).collect(), key=lambda r: str(r["member"]))
+class Groups:
+    """What the tests need of all groups: their number and sums of squares; the groups themselves only if they are two."""
+
+    def __init__(self, scope: Scope, dimension: str, measure: str):
+        g = stage(group_moments(scope, dimension, measure))
+        t = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"),
+                  F.count_if(F.col("n") < 2).alias("single"), F.count_if(F.col("variance").isNull()).alias("flat"),
+                  F.sum((F.col("n") - 1) * F.coalesce("variance", F.lit(0.0))).alias("within")).first()
+        self.k, self.n, self.single, self.flat = t["k"], t["n"] or 0, t["single"], t["flat"]
+        self.within = t["within"] or 0.0
+        off = F.col("mean") - F.lit((t["s"] or 0.0) / max(self.n, 1))
+        self.between = g.agg(F.sum(F.col("n") * off * off)).first()[0] or 0.0
+        self.pair = sorted(g.collect(), key=lambda r: str(r["member"])) if self.k == 2 else None
 
 
 def welch(a, b):
@@ -58,20 +68,11 @@ def welch(a, b):
     return t, df, 2.0 * dist.t_sf(abs(t), df)
 
 
-def sums_of_squares(groups):
-    total = sum(g["n"] for g in groups)
-    grand = sum(g["n"] * g["mean"] for g in groups) / total
-    between = sum(g["n"] * (g["mean"] - grand) ** 2 for g in groups)
-    within = sum((g["n"] - 1) * (g["variance"] or 0.0) for g in groups)
-    return between, within, total
-
-
-def anova(groups):
-    between, within, total = sums_of_squares(groups)
-    d1, d2 = len(groups) - 1, total - len(groups)
-    if within == 0:
+def anova(groups: Groups):
+    d1, d2 = groups.k - 1, groups.n - groups.k
+    if groups.within == 0:
         raise Refused("NO_VARIANCE", "no group varies")
-    f = (between / d1) / (within / d2)
+    f = (groups.between / d1) / (groups.within / d2)
     return f, d1, d2, dist.f_sf(f, d1, d2)
 
 
@@ -83,45 +84,47 @@ def hedges_g(a, b):
     return (a["mean"] - b["mean"]) / pooled * (1 - 3 / (4 * dof - 1))
 
 
-def eta_squared(groups):
-    between, within, _ = sums_of_squares(groups)
-    return between / (between + within) if between + within else 0.0
+def eta_squared(groups: Groups):
+    whole = groups.between + groups.within
+    return groups.between / whole if whole else 0.0
 
 
-def chi_square(cells: dict):
-    """Statistic, df, p, smallest expected count and plain (uncorrected) chi-square."""
-    rows = sorted({a for a, _ in cells}, key=str)
-    cols = sorted({b for _, b in cells}, key=str)
-    if len(rows) < 2 or len(cols) < 2:
+def chi_square(cells: DataFrame) -> dict:
+    """Statistic, df, p, smallest expected count and plain (uncorrected) chi-square of ``a, b, n`` (cells with rows)."""
+    cells = stage(cells)
+    rows, cols = (stage(cells.groupBy(d).agg(F.sum("n").alias(f"t{d}"))) for d in ("a", "b"))
+    r = rows.agg(F.count("*").alias("k"), F.sum("ta").alias("n"), F.min("ta").alias("low")).first()
+    c = cols.agg(F.count("*").alias("k"), F.min("tb").alias("low")).first()
+    if r["k"] < 2 or c["k"] < 2:
         raise Refused("TABLE_TOO_SMALL", "independence needs two values of each dimension")
-    total = sum(cells.values())
-    rt = {a: sum(cells.get((a, b), 0) for b in cols) for a in rows}
-    ct = {b: sum(cells.get((a, b), 0) for a in rows) for b in cols}
-    yates = len(rows) == 2 and len(cols) == 2
-    stat = plain = 0.0
-    smallest = math.inf
-    for a in rows:
-        for b in cols:
-            expected = rt[a] * ct[b] / total
-            smallest = min(smallest, expected)
-            gap = abs(cells.get((a, b), 0) - expected)
-            plain += gap ** 2 / expected
-            # the correction never moves a cell past its expectation
-            moved = gap - min(0.5, gap) if yates else gap
-            stat += moved ** 2 / expected
-    df = (len(rows) - 1) * (len(cols) - 1)
-    v = math.sqrt(plain / total / (min(len(rows), len(cols)) - 1))
-    return {"statistic": stat, "df": df, "p": dist.chi2_sf(stat, df), "smallest": smallest,
+    total = r["n"]
+    expected = F.col("ta") * F.col("tb") / F.lit(float(total))
+    # an empty cell adds what is expected in it, and all expectations add up to the total
+    plain = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.col("n") * F.col("n") / expected)).first()[0] - total
+    stat = plain
+    if r["k"] == 2 and c["k"] == 2:
+        held = {(x["a"], x["b"]): x["n"] for x in cells.collect()}
+        ra, cb = ({x[d]: x[f"t{d}"] for x in f.collect()} for f, d in ((rows, "a"), (cols, "b")))
+        stat = 0.0
+        for i, ti in ra.items():
+            for j, tj in cb.items():
+                e = ti * tj / total
+                gap = abs(held.get((i, j), 0) - e)
+                # the correction never moves a cell past its expectation
+                stat += (gap - min(0.5, gap)) ** 2 / e
+    df = (r["k"] - 1) * (c["k"] - 1)
+    v = math.sqrt(max(plain, 0.0) / total / (min(r["k"], c["k"]) - 1))
+    return {"statistic": stat, "df": df, "p": dist.chi2_sf(stat, df), "smallest": r["low"] * c["low"] / total,
             "plain": plain, "cramers_v": v, "n": total}
 
 
-def _contingency(scope: Scope, a: str, b: str) -> dict:
+def _contingency(scope: Scope, a: str, b: str) -> DataFrame:
     if a == b:
         raise Refused("SAME_DIMENSION", "a dimension cannot be tested against itself")
     for d in (a, b):
-        check_groups(scope, d)
+        scope.contract.dimension(d)
     df = scope.df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return {(r[0], r[1]): r[2] for r in df.groupBy(a, b).count().collect()}
+    return df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
 def _result(scope: Scope, **values) -> DataFrame:
@@ -136,9 +139,9 @@ def _result(scope: Scope, **values) -> DataFrame:
 
 def mann_whitney(scope: Scope, dimension: str, measure: str) -> DataFrame:
     df = _ranked_values(scope, dimension, measure)
-    sums = sorted(rank_sums(df, "x", "member").collect(), key=lambda r: str(r["member"]))
+    sums = sorted(rank_sums(df, "x", "member").limit(3).collect(), key=lambda r: str(r["member"]))
     if len(sums) != 2:
-        raise Refused("NOT_TWO_GROUPS", f"{dimension} has {len(sums)} groups")
+        raise Refused("NOT_TWO_GROUPS", f"{dimension} has {'more' if len(sums) > 2 else len(sums)} groups")
     ties, n = tie_term(df, "x")
     n1, n2 = sums[0]["n"], sums[1]["n"]
     u = float(sums[0]["rank_sum"]) - n1 * (n1 + 1) / 2.0
@@ -152,23 +155,23 @@ def mann_whitney(scope: Scope, dimension: str, measure: str) -> DataFrame:
 
 def kruskal_wallis(scope: Scope, dimension: str, measure: str) -> DataFrame:
     df = _ranked_values(scope, dimension, measure)
-    sums = rank_sums(df, "x", "member").collect()
+    r2 = F.col("rank_sum").cast("double")
+    k, spread = rank_sums(df, "x", "member").agg(F.count("*"), F.sum(r2 * r2 / F.col("n"))).first()
     ties, n = tie_term(df, "x")
-    k = len(sums)
     if k < 2 or n < 2:
         raise Refused("NOT_ENOUGH_GROUPS", "a rank test needs two groups and two values")
-    h = 12.0 / (n * (n + 1)) * sum(float(r["rank_sum"]) ** 2 / r["n"] for r in sums) - 3.0 * (n + 1)
+    h = 12.0 / (n * (n + 1)) * spread - 3.0 * (n + 1)
     correction = 1.0 - ties / (float(n) ** 3 - n)
     if correction <= 0:
         raise Refused("ALL_TIED", "every value is tied")
     h /= correction
-    effect = eta_squared(_moments(scope, dimension, measure))
+    effect = eta_squared(Groups(scope, dimension, measure))
     return _result(scope, test="kruskal_wallis", statistic=h, df1=float(k - 1), df2=None,
                    p=dist.chi2_sf(h, k - 1), effect=effect)
 
 
 def _ranked_values(scope: Scope, dimension: str, measure: str) -> DataFrame:
-    check_groups(scope, dimension)
+    scope.contract.dimension(dimension)
     return scope.df.select(F.col(dimension).alias("member"),
                            finite(scope.df, measure).cast("double").alias("x")).where(
         F.col("member").isNotNull() & F.col("x").isNotNull())
@@ -187,19 +190,19 @@ def hypothesis_test(scope: Scope, dimension: str, measure: str | None = None,
         c = chi_square(_contingency(scope, dimension, second_dimension))
         return _result(scope, test="chi_square", statistic=c["statistic"], df1=float(c["df"]),
                        df2=None, p=c["p"], effect=c["cramers_v"])
-    groups = _moments(scope, dimension, measure)
-    if len(groups) < 2:
-        raise Refused("NOT_ENOUGH_GROUPS", f"{dimension} has {len(groups)} group(s)")
-    single = any(g["n"] < 2 for g in groups)
+    groups = Groups(scope, dimension, measure)
+    if groups.k < 2:
+        raise Refused("NOT_ENOUGH_GROUPS", f"{dimension} has {groups.k} group(s)")
+    single = bool(groups.single)
     if method == "rank" or (method == "auto" and single):
-        fn = mann_whitney if len(groups) == 2 else kruskal_wallis
+        fn = mann_whitney if groups.k == 2 else kruskal_wallis
         return fn(scope, dimension, measure)
     if single:
         raise Refused("NO_VARIANCE", "a group holds one row, so it has no variance")
-    if len(groups) == 2:
-        t, df, p = welch(*groups)
+    if groups.k == 2:
+        t, df, p = welch(*groups.pair)
         return _result(scope, test="welch", statistic=t, df1=df, df2=None, p=p,
-                       effect=hedges_g(*groups))
+                       effect=hedges_g(*groups.pair))
     f, d1, d2, p = anova(groups)
     return _result(scope, test="anova", statistic=f, df1=float(d1), df2=float(d2), p=p,
                    effect=eta_squared(groups))
@@ -225,13 +228,13 @@ def effect_size(scope: Scope, dimension: str, measure: str | None = None,
         kind, value = "cramers_v", chi_square(_contingency(scope, dimension, second_dimension))[
             "cramers_v"]
     else:
-        groups = _moments(scope, dimension, measure)
-        if len(groups) < 2:
-            raise Refused("NOT_ENOUGH_GROUPS", f"{dimension} has {len(groups)} group(s)")
-        if len(groups) == 2:
-            if any(g["variance"] is None for g in groups):
+        groups = Groups(scope, dimension, measure)
+        if groups.k < 2:
+            raise Refused("NOT_ENOUGH_GROUPS", f"{dimension} has {groups.k} group(s)")
+        if groups.k == 2:
+            if groups.flat:
                 raise Refused("NO_VARIANCE", "a group holds one row")
-            kind, value = "hedges_g", hedges_g(*groups)
+            kind, value = "hedges_g", hedges_g(*groups.pair)
         else:
             kind, value = "eta_squared", eta_squared(groups)
     return _result(scope, kind=kind, value=float(value), band=band(kind, value))
@@ -278,10 +281,10 @@ def confidence_interval(scope: Scope, dimension: str | None = None, measure: str
 def sample_adequacy(scope: Scope, dimension: str, measure: str, power: float = 0.8,
                     alpha: float = 0.05) -> DataFrame:
     """What two groups of this size could have detected, beside what was observed."""
-    groups = _moments(scope, dimension, measure)
-    if len(groups) != 2 or any(g["n"] < 2 for g in groups):
+    groups = Groups(scope, dimension, measure)
+    if groups.k != 2 or groups.single:
         raise Refused("NOT_TWO_GROUPS", "two groups of two rows or more are needed")
-    a, b = groups
+    a, b = groups.pair
     dof = a["n"] + b["n"] - 2
     pooled = math.sqrt(((a["n"] - 1) * a["variance"] + (b["n"] - 1) * b["variance"]) / dof)
     d = dist.detectable_effect(a["n"], b["n"], alpha, power)

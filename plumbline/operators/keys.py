@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contract import Contract, Measure
 from ..errors import Refused
@@ -14,17 +15,18 @@ from ..functions.words import ENTITY, words_of_name
 from .profile import Column_, evidence, role_of, rows_frame
 from .scope import compared
 
-MAX_PAIRS = 200
+#: Pairs of columns counted in one pass.
+PAIR_BATCH = 100
 KEY_ROLES = ("identifier", "dimension", "date", "flag")
 KEY_SCHEMA = "columns string, distinct long, rows long, null_bearing string, caution boolean"
 
 
 def key_candidates(df: DataFrame, columns: list[Column_] | None = None,
-                   max_pairs: int = MAX_PAIRS) -> DataFrame:
+                   batch: int = PAIR_BATCH) -> DataFrame:
     """Single columns and pairs of columns that are unique over the whole table.
 
-    Pairs are pruned by role, minimality and by distinct_a * distinct_b >= rows. One pass of
-    approximate counts refutes most of the rest; only near-unique pairs are counted exactly.
+    Pairs are pruned by role, minimality and by distinct_a * distinct_b >= rows. All others are tested,
+    ``batch`` at a time: approximate counts refute most, the near-unique ones are counted exactly.
     """
     ev = columns or evidence(df)
     n = ev[0].rows if ev else 0
@@ -34,13 +36,13 @@ def key_candidates(df: DataFrame, columns: list[Column_] | None = None,
     pairs = [(a, b) for a, b in itertools.combinations(usable, 2) if a.distinct * b.distinct >= n]
     pairs.sort(key=lambda p: (not any(role_of(c) == "identifier" for c in p),
                               min(c.distinct for c in p)))
-    pairs = pairs[:max_pairs]
-    if pairs and n:
-        both = [F.struct(F.col(a.name), F.col(b.name)) for a, b in pairs]
+    for at in range(0, len(pairs) if n else 0, batch):
+        some = pairs[at:at + batch]
+        both = [F.struct(F.col(a.name), F.col(b.name)) for a, b in some]
         near = df.agg(*[F.approx_count_distinct(s, 0.02).alias(f"p{i}")
                         for i, s in enumerate(both)]).first()
         # five standard errors below the row count cannot be unique
-        kept = [p for i, p in enumerate(pairs) if near[i] >= 0.9 * n]
+        kept = [p for i, p in enumerate(some) if near[i] >= 0.9 * n]
         if kept:
             parts = [df.select(F.col(a.name), F.col(b.name)).distinct().agg(
                 F.count("*").alias("d")).select(F.lit(i).alias("i"), "d")
@@ -132,16 +134,12 @@ def per_unit_find(df: DataFrame, measures: list[str]) -> DataFrame:
                       "measure string, unit string, units long")
 
 
-VOCABULARY = 12
-
-
-def domain_values(df: DataFrame) -> DataFrame:
-    """The values of every low-cardinality text column: what is there, not what is allowed."""
+def domain_values(df: DataFrame, most: int = 12) -> DataFrame:
+    """The values of every text column with at most ``most`` of them: what is there, not what is allowed."""
     cols = [c for c in evidence(df) if c.text and not c.unique and not c.constant and c.non_null
-            and c.distinct <= VOCABULARY]
+            and c.distinct <= most]
     if not cols:
         return rows_frame(df, [], "column string, values string, distinct long")
-    # at most VOCABULARY values per column
     parts = [df.select(F.col(c.name).alias("v")).where(F.col("v").isNotNull()).distinct().agg(
         F.array_join(F.array_sort(F.collect_list("v")), " | ").alias("values"),
         F.count("*").alias("distinct")).select(F.lit(c.name).alias("column"), "*") for c in cols]
@@ -255,7 +253,7 @@ OPERATORS = {"=": "=", "==": "=", "!=": "<>", "<>": "<>", "<": "<", "<=": "<=",
 def parse_claim(claim: str, columns: list[str]) -> tuple[str, dict]:
     """A written claim as (kind, parts); kind 'unchecked' when it is not of a countable shape."""
     import re
-    counts = re.findall(r"\b(\d[\d,]*)\s+(?:\w+\s+)?(?:rows?|records?|values?)\b", claim)
+    counts = re.findall(r"\b(\d[\d,]*)\s+(?:[\w-]+\s+){0,3}?(?:rows?|records?|values?|lines?|entries|entry|cases?)\b", claim)
     if len(counts) != 1:
         return "unchecked", {}
     claimed = int(counts[0].replace(",", ""))
@@ -282,8 +280,11 @@ def caveat_check(df: DataFrame, claims: list[str]) -> DataFrame:
     """Written claims against measured counts, every claim in one scan."""
     parsed = [parse_claim(c, df.columns) for c in claims]
     aggs = [F.count("*").alias("__rows")]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     for i, (kind, p) in enumerate(parsed):
-        if kind == "compare":
+        if kind == "compare" and not isinstance(kinds[p["column"]], T.NumericType):
+            parsed[i] = ("unchecked", p)
+        elif kind == "compare":
             c = F.col(p["column"])
             v = F.lit(p["value"])
             cond = {"=": c == v, "<>": c != v, "<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[p["op"]]

@@ -67,9 +67,6 @@ def blank(df: DataFrame, c: str) -> Column:
     return null
 
 
-EXPLAIN_MAX = 12
-
-
 def dq_blank(df: DataFrame, explain: list[str] | None = None, columns: list[str] | None = None
              ) -> DataFrame:
     """Blank columns; those blank on the same rows together; the one value that explains them."""
@@ -212,13 +209,10 @@ def dq_coordinates(df: DataFrame) -> DataFrame:
                                   for i, (c, _, kind) in enumerate(checks)])
 
 
-SPELLING_MAX = 500
-
-
 def dq_spellings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Values that differ only in case or padding, with the rows they cover."""
     parts = []
-    for c in columns or [e.name for e in evidence(df) if e.text and 1 < e.distinct <= SPELLING_MAX]:
+    for c in columns or [e.name for e in evidence(df) if e.text and e.distinct > 1]:
         per = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
         folded = per.groupBy(F.lower(F.trim("v")).alias("k")).agg(
             F.sum("n").alias("rows"), F.count("*").alias("ways"),
@@ -249,10 +243,13 @@ def dq_over_whole(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _findings(wide, "M9", named)
 
 
-def dq_split_id(df: DataFrame) -> DataFrame:
-    """Event identifiers that fall under several values of a text dimension, for at most 30%."""
+def dq_split_id(df: DataFrame, most: int = 12) -> DataFrame:
+    """Event identifiers that fall under several values of a text dimension, for at most 30%.
+
+    A dimension has 2 to ``most`` values.
+    """
     ev = evidence(df)
-    dims = [c for c in ev if c.text and 2 <= c.distinct <= 12 and c.non_null >= 0.5 * c.rows]
+    dims = [c for c in ev if c.text and 2 <= c.distinct <= most and c.non_null >= 0.5 * c.rows]
     parts = []
     for c in ev:
         if not (words_of_name(c.name) & ENTITY and 1 < c.distinct < c.rows <= 3 * c.distinct):

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..functions.aggs import declared, finite, guarded_corr, row_values_needed, total_needed
 from ..functions.quantiles import bucket_of, grouped, null_safe_join
-from ..functions.staging import ranked, stage
-from .describe import check_groups
+from ..functions.staging import ranked, small_side, stage
 from .periods import on_calendar, per_period
 from .scope import Scope
 
@@ -167,8 +166,7 @@ def _stats_and_mad(df: DataFrame, keys: list[str]):
                                      F.stddev_samp("__x").alias("sd")],
                           {"q1": ("__x", .25), "med": ("__x", .5), "q3": ("__x", .75)}))
     if keys:
-        # one row per group, and the caller has checked the number of groups
-        near = null_safe_join(df, F.broadcast(stats.select(*keys, "med")), keys, "left")
+        near = null_safe_join(df, small_side(stats.select(*keys, "med")), keys, "left")
     else:
         near = df.withColumn("med", F.lit(stats.first()["med"]))
     dev = near.withColumn("__dev", F.abs(F.col("__x") - F.col("med")))
@@ -203,8 +201,7 @@ METHODS = ("tukey", "z", "mad")
 def outlier_bounds(scope: Scope, measure: str, dimension: str | None = None) -> DataFrame:
     row_values_needed(scope.contract.measure(measure))
     if dimension:
-        # the statistics of every group are broadcast below
-        check_groups(scope, dimension)
+        scope.contract.dimension(dimension)
     df = _valued(scope, measure, dimension)
     return _with_bounds(_stats_and_mad(df, ["member"] if dimension else []))
 
@@ -249,7 +246,7 @@ def outlier_agreement(scope: Scope, measure: str) -> DataFrame:
 def outlier_within(scope: Scope, measure: str, dimension: str) -> DataFrame:
     """The three methods inside each group; NULL is a group; small groups get no bounds."""
     bounds = stage(outlier_bounds(scope, measure, dimension))
-    df = null_safe_join(_valued(scope, measure, dimension), F.broadcast(bounds), ["member"])
+    df = null_safe_join(_valued(scope, measure, dimension), small_side(bounds), ["member"])
     per = df.groupBy("member").agg(*[F.count_if(_outside(m)).alias(f"{m}_flagged")
                                      for m in METHODS])
     out = null_safe_join(bounds.select("member", "n", "tukey_lo", "tukey_hi"), per, ["member"])

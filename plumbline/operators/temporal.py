@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..functions.aggs import additive_needed, declared, total_needed
 from ..functions.staging import stage
-from .describe import check_groups
 from .periods import (bounds, checked_grain, empty_months, label_start, measured_per_period,
                       numbered, on_calendar, per_period, spine_array, trunc_to)
 from .scope import Scope
 
-MAX_MEMBERS = 47
-
 
 def calendar_coverage(scope: Scope, grain: str = "month") -> DataFrame:
     """One row per period with its row count; an empty period is a row, not an absence."""
@@ -30,8 +27,8 @@ def trend(scope: Scope, measure: str, grain: str = "month", dimension: str | Non
     if dimension is None:
         out = on_calendar(scope, measured_per_period(scope, measure, grain), grain)
         return out.select("period", F.col("value").cast("double").alias("value"), "rows")
-    check_groups(scope, dimension, MAX_MEMBERS)
-    # at most MAX_MEMBERS members times the periods of the calendar
+    scope.contract.dimension(dimension)
+    # one row per member and period that has rows
     cells = stage(measured_per_period(scope, measure, grain, [dimension]))
     members = cells.select(dimension).distinct()
     lo, hi = bounds(scope)
