@@ -62,6 +62,34 @@ def _(t):
     return d.null_token_counts(raw, NULLS)
 
 
+def _texts(t, text, name: str, **options) -> DataFrame:
+    """documents.text written as a delimited file with quotes and read back."""
+    df = t("documents").select("doc_id", text.alias("text"))
+    path = r.scratch(df.sparkSession, name)
+    (df.write.option("header", "true").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(path))
+    return d.load(df.sparkSession, path, d.Layout(na_values=(), dtypes={"doc_id": "bigint"}, **options))
+
+
+@entry(book, "src_csv_quoted", """SELECT doc_id, CASE WHEN length(text) > 0 THEN replace(replace(text, chr(10), ' "" '), chr(13), ' ') END AS text FROM documents""")
+def _(t):
+    return _texts(t, F.regexp_replace(F.regexp_replace("text", "\n", ' "" '), "\r", " "), "quoted")
+
+
+@entry(book, "src_csv_multiline", """SELECT doc_id, CASE WHEN length(text) > 0 THEN replace(text, chr(13), ' ') END AS text FROM documents""")
+def _(t):
+    return _texts(t, F.regexp_replace("text", "\r", " "), "multiline", multiline=True)
+
+
+@entry(book, "src_csv_ragged", """
+SELECT doc_id, n_chars, CASE WHEN doc_id % 100 = 99 THEN 'x' || doc_id END AS column_3 FROM documents""")
+def _(t):
+    df = t("documents")
+    path = r.scratch(df.sparkSession, "ragged")
+    df.select(F.concat_ws(",", "doc_id", "n_chars", F.when(F.col("doc_id") % 100 == 99, F.concat(F.lit("x"), "doc_id"))).alias("value")).write.text(path)
+    return d.load(df.sparkSession, path, d.Layout(header_rows=0, names=("doc_id", "n_chars"), dtypes={"doc_id": "bigint", "n_chars": "bigint"}))
+
+
 def _ordered(t) -> DataFrame:
     return t("orders").select("o_orderkey", "o_custkey", "o_totalprice").repartitionByRange(4, "o_orderkey").sortWithinPartitions(
         "o_orderkey")

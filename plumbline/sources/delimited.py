@@ -1,6 +1,7 @@
 """Delimited files: everything is read as text first, then named, cleared of null tokens and typed.
 
-Only the head of a file is ever looked at on the driver; rows stay distributed.
+The head of a file names its columns and, if no Layout is given, suggests one; the table's width is that of its widest
+row, found over all rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Refused
+from ..functions.staging import small_side, stage
 from ..functions.words import snake
 
 PREVIEW_LINES = 200
@@ -27,7 +29,11 @@ PERIOD = re.compile(r"^((19|20)\d{2}([-_ ]?(0?[1-9]|1[0-2]|q[1-4]))?|(jan|feb|ma
 
 @dataclass(frozen=True)
 class Layout:
-    """How a file is laid out; ``skip`` leading title rows come before the header rows."""
+    """How a file is laid out; ``skip`` leading title rows come before the header rows.
+
+    ``multiline``: quoted cells may hold line breaks. A file is then read by one task, as no break can be told from the
+    end of a row without its beginning.
+    """
 
     delimiter: str = ","
     header_rows: int = 1
@@ -39,6 +45,7 @@ class Layout:
     footer: int = 0
     dtypes: dict = field(default_factory=dict)
     encoding: str = "UTF-8"
+    multiline: bool = False
 
 
 def sniff_delimiter(lines: list[str]) -> str:
@@ -56,15 +63,30 @@ def head_lines(spark: SparkSession, path: str, n: int = PREVIEW_LINES) -> list[s
     return [r[0] for r in spark.read.text(first).limit(n).collect()]
 
 
-def raw(spark: SparkSession, path: str, delimiter: str, width: int, encoding: str = "UTF-8") -> DataFrame:
-    """Every line as text columns _0.. with its place in the input."""
+def cells(spark: SparkSession, path: str, layout: Layout, width: int) -> DataFrame:
+    """Every row as text columns _0.. : quoted cells with their delimiters, doubled quotes and, if so laid out, line breaks."""
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    df = (spark.read.option("sep", delimiter).option("encoding", encoding).option("header", "false")
-          .option("enforceSchema", "true").option("ignoreLeadingWhiteSpace", "false")
-          .schema(schema).csv(path))
-    return df.select("*", F.col("_metadata.file_path").alias("__file"),
-                     F.col("_metadata.file_block_start").alias("__block"),
-                     F.monotonically_increasing_id().alias("__row"))
+    return (spark.read.option("sep", layout.delimiter).option("encoding", layout.encoding).option("header", "false")
+            .option("quote", '"').option("escape", '"').option("multiLine", str(layout.multiline).lower())
+            .option("enforceSchema", "true").option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false").schema(schema).csv(path))
+
+
+def table_width(spark: SparkSession, path: str, layout: Layout, guess: int = 32) -> int:
+    """Cells of the widest row, by one pass over all rows (again with more columns if they all were in use)."""
+    while True:
+        df = cells(spark, path, layout, guess)
+        last = df.agg(F.max(F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), i) for i in reversed(range(guess))]))).first()[0]
+        if last is None or last < guess - 1:
+            return (last if last is not None else 0) + 1
+        guess *= 4
+
+
+def raw(spark: SparkSession, path: str, layout: Layout, width: int) -> DataFrame:
+    """``cells`` with their place in the input."""
+    return cells(spark, path, layout, width).select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__row"))
 
 
 def split_line(line: str, delimiter: str) -> list[str]:
@@ -112,51 +134,69 @@ def guess_layout(lines: list[str]) -> Layout:
     header rows are the filled text rows just above it; anything higher is a title.
     """
     d = sniff_delimiter(lines)
+    # a line with an open quote goes on in the next one
+    broken = any(line.count('"') % 2 for line in lines)
     rows = [split_line(line, d) for line in lines]
     width = max((len([c for c in r if c.strip()]) for r in rows), default=0)
     first = next((i for i, r in enumerate(rows)
                   if any(looks_like_value(c) for c in r)
                   and len([c for c in r if c.strip()]) >= max(2, width // 2)), None)
     if first is None:
-        return Layout(delimiter=d, header_rows=1)
+        return Layout(delimiter=d, header_rows=1, multiline=broken)
     top = first
     while top > 0 and len([c for c in rows[top - 1] if c.strip()]) >= 2 and not any(
             looks_like_value(c) for c in rows[top - 1]):
         top -= 1
-    return Layout(delimiter=d, header_rows=first - top, skip=top, fill_header=first - top > 1)
+    return Layout(delimiter=d, header_rows=first - top, skip=top, fill_header=first - top > 1, multiline=broken)
 
 
 def load(spark: SparkSession, path: str, layout: Layout | None = None, on_error: str = "fail") -> DataFrame:
-    """The file as a typed table. ``on_error='null'`` turns an unreadable cell into NULL."""
-    lines = head_lines(spark, path)
-    if not lines:
-        raise Refused("EMPTY_FILE", path)
-    layout = layout or guess_layout(lines)
-    head = [split_line(x, layout.delimiter) for x in lines[:layout.skip + layout.header_rows]]
-    widest = max(len(split_line(x, layout.delimiter)) for x in lines)
-    df = raw(spark, path, layout.delimiter, widest, layout.encoding)
+    """The file as a typed table. ``on_error='null'`` turns an unreadable cell into NULL.
+
+    A row wider than the header gets its surplus cells in columns named by their place; a narrower one ends in NULLs.
+    """
+    if layout is None:
+        lines = head_lines(spark, path)
+        if not lines:
+            raise Refused("EMPTY_FILE", path)
+        layout = guess_layout(lines)
+    width = table_width(spark, path, layout)
+    top = layout.skip + layout.header_rows
+    head = []
+    if top:
+        first = min(spark.read.text(path).inputFiles(), default=None)
+        if first is None:
+            raise Refused("EMPTY_FILE", path)
+        head = [[c or "" for c in r] for r in cells(spark, first, layout, width).limit(top).collect()]
+        if not head:
+            raise Refused("EMPTY_FILE", path)
+    df = raw(spark, path, layout, width)
     if layout.names:
         names = list(layout.names)
     elif layout.header_rows:
         names = header_names(head[layout.skip:], layout.join, layout.fill_header)
     else:
-        names = [f"column_{i + 1}" for i in range(widest)]
-    names += [f"column_{i + 1}" for i in range(len(names), widest)]
-    df = _without(df, head, widest)
+        names = [f"column_{i + 1}" for i in range(width)]
+    names += [f"column_{i + 1}" for i in range(len(names), width)]
+    if head:
+        df = _without(df, head, width)
     if layout.footer:
         df = drop_footer(df, layout.footer)
-    df = df.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
+    df = df.select(*[F.col(f"_{i}").alias(n) if i < width else F.lit(None).cast("string").alias(n) for i, n in enumerate(names)])
     df = null_tokens(df, layout.na_values)
     return typed(df, layout.dtypes, on_error)
 
 
 def _without(df: DataFrame, head: list[list[str]], width: int) -> DataFrame:
-    """Drop title and header lines at the start of a file (they repeat where each part has one)."""
-    for cells in head:
-        same = [F.coalesce(F.col(f"_{i}"), F.lit("")) == F.lit(cells[i] if i < len(cells) else "")
-                for i in range(width)]
-        df = df.where(~((F.col("__block") == 0) & reduce(lambda a, b: a & b, same)))
-    return df
+    """Drop title and header rows where a file begins with them (each part may); rows like them further down stay."""
+    # one row per file: where its first rows are
+    starts = stage(df.where(F.col("__block") == 0).groupBy("__file").agg(F.min("__row").alias("__first")))
+    placed = df.join(small_side(starts), "__file", "left").withColumn("__nth", F.col("__row") - F.col("__first"))
+    drop = F.lit(False)
+    for i, row in enumerate(head):
+        same = [F.coalesce(F.col(f"_{k}"), F.lit("")) == F.lit(row[k]) for k in range(width)]
+        drop = drop | ((F.col("__block") == 0) & (F.col("__nth") == i) & reduce(lambda a, b: a & b, same))
+    return placed.where(~F.coalesce(drop, F.lit(False))).drop("__first", "__nth")
 
 
 def drop_footer(df: DataFrame, n: int) -> DataFrame:
