@@ -83,6 +83,12 @@ def words_of_name(name: str) -> set[str]:
     return {w for part in snake(name).split("_") for w in re.findall(r"[a-z]+", part)}
 
 
+def joined_words(name: str) -> set[str]:
+    """Neighbouring words of a name written as one: qty_on_hand holds onhand."""
+    words = [w for w in snake(name).split("_") if w]
+    return {a + b for a, b in zip(words, words[1:])}
+
+
 def pii_class(name: str) -> str | None:
     norm = snake(name)
     parts = norm.split("_")

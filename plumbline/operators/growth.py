@@ -209,6 +209,8 @@ def key_overlap(scope: Scope, key: str, member: str, measure: str, min_share: fl
                 limit: int = 30) -> DataFrame:
     """Keys whose measure is split between members that each hold at least ``min_share`` of it.
 
+    A share means something of a total above 0 only, and a member holds one if its value is above 0.
+
     ``members`` lists those members, largest first: at most 1 / min_share of them, so one key
     never gathers an unbounded list.
     """
@@ -217,7 +219,7 @@ def key_overlap(scope: Scope, key: str, member: str, measure: str, min_share: fl
     g = stage(g)
     totals = g.groupBy("key").agg(F.sum("v").alias("total"), F.max("v").alias("top"))
     near = null_safe_join(g, totals, ["key"])
-    big = near.where(F.col("v") >= F.lit(float(min_share)) * F.col("total"))
+    big = near.where((F.col("total") > 0) & (F.col("v") > 0) & (F.col("v") >= F.lit(float(min_share)) * F.col("total")))
     out = big.groupBy("key").agg(
         F.count("*").alias("splitters"), F.first("total").alias("total"),
         F.try_divide(F.first("top"), F.first("total")).alias("top_share"),

@@ -30,8 +30,8 @@ def test_hedges_correction():
     assert infer.hedges_g(a, b) == pytest.approx(0.957746, abs=1e-6)
 
 
-def test_chi_square_two_by_two_is_corrected():
-    c = infer.chi_square({("a", "x"): 30, ("a", "y"): 20, ("b", "x"): 15, ("b", "y"): 35})
+def test_chi_square_two_by_two_is_corrected(spark):
+    c = infer.chi_square(spark.createDataFrame([("a", "x", 30), ("a", "y", 20), ("b", "x", 15), ("b", "y", 35)], "a string, b string, n long"))
     gap = abs(30 * 35 - 20 * 15) - 50
     assert c["statistic"] == pytest.approx(100 * gap ** 2 / (50 * 50 * 45 * 55))
     assert c["plain"] == pytest.approx(100 * (30 * 35 - 20 * 15) ** 2 / (50 * 50 * 45 * 55))
@@ -203,3 +203,65 @@ def test_window_keeps_the_last_second(spark):
         "d", F.col("d").cast("timestamp_ntz"))
     c = Contract("t", date_column="d", window=Window("2024-01-01", "2024-12-31"))
     assert Scope.of(df, c).df.count() == 1
+
+
+def test_claims_with_words_between_and_other_units(spark):
+    from plumbline.operators.keys import caveat_check
+    df = spark.createDataFrame([(1, -1, "x")] * 3 + [(2, 5, "y"), (3, 6, "z")], "k int, a int, t string")
+    got = {r["claim"]: (r["status"], r["measured"]) for r in caveat_check(df, [
+        "2 exact duplicate rows", "3 lines where a < 0", "3 of the entries where a < 0", "4 entries where a > 9", "2 rows where t < 4"]).collect()}
+    assert got["2 exact duplicate rows"] == ("agrees", 2)
+    assert got["3 lines where a < 0"] == ("agrees", 3) == got["3 of the entries where a < 0"]
+    assert got["4 entries where a > 9"] == ("differs", 0)
+    assert got["2 rows where t < 4"] == ("unchecked", None)  # text and a number don't compare
+
+
+def test_names_are_read_joined_too():
+    from plumbline.functions.words import joined_words
+    assert "onhand" in joined_words("stockOnHand") and "onhand" in joined_words("qty_on_hand")
+
+
+def test_ratio_search_does_not_depend_on_the_order_of_rows(spark):
+    from plumbline.operators.suggest import ratio_search
+    rows = [(i / 7.0 if i % 60 else -1.0, float(i), 7.0, 3.0 + i % 5) for i in range(1, 601)]
+    schema = "r double, a double, b double, c double"
+    wrong_first = sorted(rows, key=lambda r: r[0] != -1.0)
+    for some in (rows, wrong_first, rows[::-1]):
+        found = ratio_search(spark.createDataFrame(some, schema), "r", ["a", "b", "c"])
+        assert found and found[0] == "a / b"
+
+
+def test_more_groups_than_a_page_holds(spark):
+    from plumbline import Contract, Measure, Scope
+    from plumbline.operators import describe, infer, temporal
+    from plumbline.contract import Window
+    df = spark.range(3000).selectExpr("id", "id % 75 AS g", "id % 60 AS h", "CAST((id * 7919) % 1000 AS double) AS v", "date_add(DATE'2024-01-01', CAST(id % 90 AS int)) AS d")
+    scope = Scope.of(df, Contract(name="t", key=("id",), date_column="d", window=Window("2024-01-01", "2024-12-31"),
+                                  measures=(Measure("v", "sum"),), dimensions=("g", "h")))
+    assert describe.group_compare(scope, "g", "v").count() == 76
+    assert describe.cross_tab(scope, "g", "h").where("kind = 'row_total'").count() == 75
+    assert temporal.trend(scope, "v", "month", "g").select("member").distinct().count() == 76
+    assert infer.hypothesis_test(scope, "g", "v", method="rank").first()["df1"] == 74
+    c = infer.hypothesis_test(scope, "g", second_dimension="h").first()
+    from collections import Counter
+    cells = Counter((i % 75, i % 60) for i in range(3000))
+    expected = sum((cells[a, b] - 40 * 50 / 3000) ** 2 / (40 * 50 / 3000) for a in range(75) for b in range(60))
+    assert abs(c["statistic"] - expected) < 1e-6
+
+
+def test_a_negative_total_has_no_shares(spark):
+    from plumbline import Contract, Measure, Scope
+    from plumbline.operators.growth import key_overlap
+    df = spark.createDataFrame([("k", f"m{i}", 1.0) for i in range(50)] + [("k", "back", -100.0), ("n", "a", 3.0), ("n", "b", 4.0)], "k string, m string, v double")
+    got = key_overlap(Scope.of(df, Contract(name="t", key=("k",), measures=(Measure("v", "sum"),), dimensions=("k", "m"))), "k", "m", "v").collect()
+    assert [(r["key"], r["splitters"]) for r in got] == [("n", 2)]
+
+
+def test_csv_rows_like_the_header_and_wide_rows_stay(spark, tmp_path):
+    from plumbline.sources import delimited as d
+    path = tmp_path / "x.csv"
+    path.write_text("id,name\n" + "".join(f'{i},"say ""hi"", you"\n' for i in range(300)) + 'id,name\n7,"two\nlines",extra\n')
+    df = d.load(spark, str(path), d.Layout(multiline=True))
+    rows = df.collect()
+    assert df.columns == ["id", "name", "column_3"] and len(rows) == 302
+    assert rows[0]["name"] == 'say "hi", you' and rows[300]["id"] == "id" and rows[301]["name"] == "two\nlines" and rows[301]["column_3"] == "extra"
