@@ -133,7 +133,8 @@ SELECT lo AS first, hi AS last, (SELECT count(*) FROM a) AS days_in_span, n AS p
  (SELECT count(*) FROM g) AS missing, coalesce((SELECT max(c) FROM (SELECT count(*) AS c FROM g GROUP BY k)), 0)
  AS longest_gap FROM s""")
 def _(t):
-    return p.prof_date_coverage(t("orders").where("o_totalprice > 400000"), "o_orderdate")
+    dated = F.when(F.col("o_totalprice") > 400000, F.col("o_orderdate"))
+    return p.prof_date_coverage(t("orders").withColumn("o_orderdate", dated), "o_orderdate")
 
 
 ROLE = ("SELECT '{c}' AS \"column\", {role} AS role, count(DISTINCT {c}) AS \"distinct\", count(*) AS \"rows\" FROM lineitem")

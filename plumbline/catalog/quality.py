@@ -59,7 +59,8 @@ WITH d AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orde
 SELECT 'M5' AS rule, 'o_orderdate' AS "column", 0::BIGINT AS "rows", strftime(m, '%Y-%m') AS detail FROM a
 WHERE m NOT IN (SELECT m FROM d)""")
 def _(t):
-    return q.dq_empty_months(t("orders").where(F.month("o_orderdate") != 2), "o_orderdate", TODAY)
+    dated = F.when(F.month("o_orderdate") != 2, F.col("o_orderdate"))
+    return q.dq_empty_months(t("orders").withColumn("o_orderdate", dated), "o_orderdate", TODAY)
 
 
 @entry(book, "dq_subtotals", f"""SELECT 'M6' AS rule, 'priority' AS "column", count(*) AS "rows", trim(priority) AS detail
@@ -128,7 +129,8 @@ WITH c AS (SELECT count(*) FILTER (WHERE shipped_date < order_date AND order_dat
  count(*) AS n FROM {DIRTY_SQL} WHERE order_date < DATE '2031-01-01')
 SELECT 'M13' AS rule, 'shipped_date' AS "column", w AS "rows", 'before order_date' AS detail FROM c WHERE w <= 0.01 * n""")
 def _(t):
-    return q.dq_date_order(dirty(t).where("order_date < DATE'2031-01-01'").select("order_date", "shipped_date"))
+    known = F.when(F.col("order_date") < F.lit("2031-01-01").cast("date"), F.col("order_date"))
+    return q.dq_date_order(dirty(t).select(known.alias("order_date"), "shipped_date"))
 
 
 UTM_SQL = ("(SELECT CASE WHEN event_id % 31 = 0 THEN '(not set)' WHEN event_id % 29 = 0 THEN 'Google' ELSE 'google' END AS "

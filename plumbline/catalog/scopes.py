@@ -213,7 +213,7 @@ SELECT s.p::DATE AS period, coalesce(d.n, 0) AS "rows" FROM generate_series(
 def _(t):
     from ..operators.periods import on_calendar, per_period
     s = orders(t)
-    quiet = Scope(s.df.where(F.month("o_orderdate") != 7), s.contract)
+    quiet = Scope(s.df.withColumn("o_orderdate", F.when(F.month("o_orderdate") != 7, F.col("o_orderdate"))), s.contract)
     return on_calendar(quiet, per_period(quiet, [F.count("*").alias("rows")], "month"), "month")
 
 
@@ -305,7 +305,8 @@ SELECT s.d::DATE AS day FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '
  INTERVAL 1 DAY) s(d) LEFT JOIN p ON p.d = s.d::DATE WHERE p.d IS NULL""")
 def _(t):
     from ..operators.profile import missing_days
-    return missing_days(t("orders").where(F.dayofmonth("o_orderdate") != 13), "o_orderdate")
+    dated = F.when(F.dayofmonth("o_orderdate") != 13, F.col("o_orderdate"))
+    return missing_days(t("orders").withColumn("o_orderdate", dated), "o_orderdate")
 
 
 @entry(book, "join_scalar_sub", """
@@ -512,7 +513,8 @@ WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_totalprice
  r AS (SELECT d, d - CAST(row_number() OVER (ORDER BY d) AS INT) AS g FROM d)
 SELECT min(d) AS first_day, count(*) AS days FROM r GROUP BY g""")
 def _(t):
-    d = t("orders").where("o_totalprice > 450000").select(F.col("o_orderdate").cast("date").alias("d"))
+    dated = F.when(F.col("o_totalprice") > 450000, F.col("o_orderdate").cast("date"))
+    d = t("orders").select(dated.alias("d")).where("d IS NOT NULL")
     # one row per calendar day
     w = Window.orderBy("d")
     runs = d.distinct().withColumn("g", F.date_sub("d", F.row_number().over(w)))

@@ -76,6 +76,7 @@ def _(t):
     "reference", "l_partkey + l_suppkey -> part_supplier", _counts(
         "(l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 25)"), f="lineitem"))
 def _(t):
-    parent = t("lineitem").where("l_quantity > 25").select("l_partkey", "l_suppkey")
+    known = F.col("l_quantity") > 25
+    parent = t("lineitem").select(*[F.when(known, F.col(c)).alias(c) for c in ("l_partkey", "l_suppkey")])
     fk = ForeignKey(("l_partkey", "l_suppkey"), "part_supplier", ("l_partkey", "l_suppkey"))
     return v.val_reference(t("lineitem"), parent, fk).withColumn("examples", F.lit(""))
