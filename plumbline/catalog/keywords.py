@@ -96,6 +96,12 @@ def _(t):
     return k.txt_embed(t("part"), "p_name")
 
 
+@entry(book, "txt_similar_pairs", EMBED_SQL + """, q AS (SELECT l.text AS a, r.text AS b, sum(l.weight * r.weight) AS cos
+ FROM e l JOIN e r ON l.gram = r.gram AND l.text < r.text GROUP BY 1, 2) SELECT a, b, cos FROM q WHERE cos >= 0.4""", "cos", 8)
+def _(t):
+    return k.similar_pairs(k.txt_embed(t("part"), "p_name"))
+
+
 @entry(book, "txt_cluster")
 def _(t):
     return k.txt_cluster(k.txt_normalise(pages(t), "kw"), "keyword")

@@ -15,7 +15,7 @@ from pathlib import Path
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,6 +265,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def similar_pairs(space: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b, cos``: all pairs of ``text, gram, weight`` (unit vectors, no negative weight) within the threshold.
+
+    Exact, by prefixes: in one order of the grams, rare ones first, two texts whose cosine reaches a bound share a gram
+    among those of each whose rest is at least as long as the bound. Only these meet; every pair is verified once.
+    """
+    least = 1 - threshold
+    df = space.groupBy("gram").agg(F.count("*").alias("df"))
+    # a text's own grams from here to the end of its order
+    rest = Window.partitionBy("text").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))
+    heads = stage(space.join(df, "gram").withColumn("left", left).where(F.col("left") >= least - 1e-9).select("text", "gram"))
+    pairs = heads.select(F.col("text").alias("a"), "gram").join(heads.select(F.col("text").alias("b"), "gram"), "gram")
+    pairs = pairs.where("a < b").select("a", "b").distinct()
+    # as many entries as the text has grams
+    vec = stage(space.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v")))
+    near = pairs.join(vec.select(F.col("text").alias("a"), F.col("v").alias("va")), "a").join(
+        vec.select(F.col("text").alias("b"), F.col("v").alias("vb")), "b")
+    return near.select("a", "b", _dot(F.col("va"), F.col("vb")).alias("cos")).where(F.col("cos") >= least)
+
+
 def txt_cluster(texts: DataFrame, column: str = "topic", threshold: float = THRESHOLD) -> DataFrame:
     """``text, cluster``: texts linked when their cosine distance is within the threshold, then
     kept only while within it of the cluster's centroid (others stand alone)."""
