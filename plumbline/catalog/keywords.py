@@ -64,12 +64,17 @@ WITH k AS (SELECT DISTINCT {NORM.format(c='kw')} AS keyword FROM {PARTS_SQL}),
   AS topic FROM k)"""
 
 
+def facets() -> dict[str, list[str]]:
+    """The list the library comes with, and the city that the made-up keywords name."""
+    return {**k.load_facets(), "city": ["pune"]}
+
+
 @entry(book, "txt_facets", FACET_SQL + """
 SELECT keyword, info AS facet_info, delivery AS facet_delivery, near_me AS facet_near_me, price AS facet_price, topic,
  CASE WHEN info IS NOT NULL THEN 'info' WHEN delivery IS NOT NULL THEN 'delivery' WHEN near_me IS NOT NULL THEN 'near_me'
  WHEN price IS NOT NULL THEN 'price' END AS lead FROM f""")
 def _(t):
-    return k.txt_facets(k.txt_normalise(parts(t), "kw"), "keyword").select(
+    return k.txt_facets(k.txt_normalise(parts(t), "kw"), "keyword", facets()).select(
         "keyword", "facet_info", "facet_delivery", "facet_near_me", "facet_price", "topic", "lead")
 
 
@@ -77,7 +82,7 @@ def _(t):
 SELECT CASE WHEN info IS NOT NULL THEN 'informational' WHEN delivery IS NOT NULL THEN 'transactional'
  WHEN near_me IS NOT NULL THEN 'local' ELSE 'commercial' END AS intent, count(*) AS keywords FROM f GROUP BY 1""")
 def _(t):
-    read = k.txt_facets(k.txt_normalise(parts(t), "kw"), "keyword")
+    read = k.txt_facets(k.txt_normalise(parts(t), "kw"), "keyword", facets())
     return read.groupBy(k.txt_intent().alias("intent")).agg(F.count("*").alias("keywords"))
 
 
@@ -109,7 +114,7 @@ def _(t):
 
 @entry(book, "txt_groups")
 def _(t):
-    return k.group_keywords(parts(t), "kw")
+    return k.group_keywords(parts(t), "kw", facets())
 
 
 def _approved(t) -> DataFrame:
@@ -129,7 +134,7 @@ SELECT text AS keyword, g AS "group", dist AS distance FROM b WHERE dist <= 0.6"
 def _(t):
     new = t("part").select(F.col("p_name").alias("keyword")).unionByName(
         t("part").select(F.lower("p_type").alias("keyword"))).distinct()
-    return k.txt_carry_forward(new, _approved(t))
+    return k.txt_carry_forward(new, _approved(t), facets=facets())
 
 
 @entry(book, "txt_score", """

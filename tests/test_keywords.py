@@ -62,10 +62,15 @@ def test_spelling_equals_brute_force(spark, lengths):
     assert got == brute(kws, ["abcdeabcde"])
 
 
+def menu():
+    """The neutral list with one restaurant's words."""
+    return {**k.load_facets(), "brands": ["hana"], "areas": ["baner"], "city": ["pune"], "dishes": ["sushi", "ramen", "gyoza", "udon"]}
+
+
 def test_facets_lead_and_topic(spark):
     df = frame(spark, ["hana sushi home delivery pune", "best ramen near me", "what is udon", "ramen price in baner",
                        "gyoza"])
-    got = {r["kw"]: r for r in k.txt_facets(df, "kw").withColumn("intent", k.txt_intent()).collect()}
+    got = {r["kw"]: r for r in k.txt_facets(df, "kw", menu()).withColumn("intent", k.txt_intent()).collect()}
     a = got["hana sushi home delivery pune"]
     assert (a["facet_brand"], a["facet_delivery"], a["lead"], a["topic"]) == ("hana", "home delivery", "brand", "sushi")
     assert got["best ramen near me"]["topic"] == "ramen" and got["best ramen near me"]["intent"] == "local"
@@ -77,7 +82,7 @@ def test_facets_lead_and_topic(spark):
 def test_groups_are_pure(spark):
     kws = [w for ws in GOLD.values() for w in ws]
     gold = spark.createDataFrame([(w, c) for c, ws in GOLD.items() for w in ws], "keyword string, class string")
-    groups = k.group_keywords(frame(spark, kws), "kw")
+    groups = k.group_keywords(frame(spark, kws), "kw", menu())
     s = k.txt_score(groups.select("keyword", "group_id"), gold).first()
     assert s["keywords"] == len(kws)
     assert s["purity"] >= 0.9 and s["completeness"] >= 0.7
@@ -95,7 +100,7 @@ def test_carry_forward_respects_the_facet(spark):
     approved = spark.createDataFrame([("sushi roll", "sushi"), ("sushi rolls", "sushi"), ("sushi roll delivery", "sushi to go")],
                                      "keyword string, group string")
     new = spark.createDataFrame([("sushi rolls platter",), ("sushi rolls home delivery",), ("lawn mower",)], "keyword string")
-    got = {r["keyword"]: r["group"] for r in k.txt_carry_forward(new, approved).collect()}
+    got = {r["keyword"]: r["group"] for r in k.txt_carry_forward(new, approved, facets=menu()).collect()}
     assert got == {"sushi rolls platter": "sushi", "sushi rolls home delivery": "sushi to go"}
 
 
