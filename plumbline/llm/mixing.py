@@ -152,25 +152,33 @@ def cuts(docs: DataFrame, sources: DataFrame, seed: int = 0, source: str = "sour
     return sources.join(found, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
 
 
+def _mixture(docs: DataFrame, sources: DataFrame, seed: int, blocks: int, source: str, doc_id: str) -> DataFrame:
+    """``docs`` once per pass that reads them, with ``__pass`` and ``__block``. ``sources``: ``cuts``."""
+    turns = F.explode(F.expr("sequence(0L, CASE WHEN __rest > 0 THEN __full ELSE __full - 1 END)"))
+    some = sources.where("full > 0 or rest > 0").select("source", "tokens", "target", "full", "rest", "cut")
+    rows = _with_plan(docs, some, source).withColumn("__pass", turns)
+    rows = rows.withColumn("__key", _key(seed, F.col("__pass"), F.col(doc_id)))
+    rows = rows.where("__pass < __full OR __key <= __cut")
+    at = (F.col("__pass") + _slice(F.col("__key"), 8) / F.lit(float(2 ** 32)))
+    passes = F.when(F.col("__target") > 0, F.col("__target") / F.col("__tokens")).otherwise(F.lit(1.0))
+    return rows.withColumn("__block", F.least(F.floor(F.lit(float(blocks)) * at / passes), F.lit(blocks - 1)).cast("long"))
+
+
 def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = None, budget: int | None = None,
         seed: int = 0, blocks: int = 64, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The mixture: every row of ``docs`` once per pass that reads it, with ``mix_pass`` and ``mix_block``.
+    """The mixture: every row of ``docs`` once per pass that reads it, with ``mix_pass`` and ``mix_block`` (in place of columns so named).
 
     Sorting by (mix_block, a hash) gives the training order: each of ``blocks`` blocks holds about the same number of
     tokens, every source in its weight.
     """
     sources = stage(cuts(docs, plan(docs, entropy, repetition, budget, source), seed, source, doc_id))
-    turns = F.explode(F.expr("sequence(0L, CASE WHEN __rest > 0 THEN __full ELSE __full - 1 END)"))
-    some = sources.where("full > 0 or rest > 0").select("source", "tokens", "target", "full", "rest", "cut")
-    rows = _with_plan(docs, some, source).withColumn("mix_pass", turns)
-    rows = rows.withColumn("__key", _key(seed, F.col("mix_pass"), F.col(doc_id)))
-    rows = rows.where("mix_pass < __full OR __key <= __cut")
-    at = (F.col("mix_pass") + _slice(F.col("__key"), 8) / F.lit(float(2 ** 32)))
-    passes = F.when(F.col("__target") > 0, F.col("__target") / F.col("__tokens")).otherwise(F.lit(1.0))
-    block = F.least(F.floor(F.lit(float(blocks)) * at / passes), F.lit(blocks - 1)).cast("long")
-    return rows.withColumn("mix_block", block).select(*docs.columns, "mix_pass", "mix_block")
+    rows = _mixture(docs, sources, seed, blocks, source, doc_id)
+    own = [c for c in docs.columns if c not in ("mix_pass", "mix_block")]
+    return rows.select(*own, F.col("__pass").alias("mix_pass"), F.col("__block").alias("mix_block"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, entropy: float | None = None, repetition: float | None = None, budget: int | None = None,
+                    seed: int = 0, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The mixture with the columns of ``docs`` alone: a document read in several passes is there as often."""
-    return mix(docs, **options).select(*docs.columns)
+    sources = stage(cuts(docs, plan(docs, entropy, repetition, budget, source), seed, source, doc_id))
+    return _mixture(docs, sources, seed, 1, source, doc_id).select(*docs.columns)

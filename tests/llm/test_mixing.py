@@ -56,9 +56,10 @@ def test_exponent_agrees_with_plain_bisection(spark):
 
 
 def test_repeated_rows_and_other_columns(spark, documents):
-    docs = documents([(1, "a b", "s", 5), (1, "a b", "s", 5), (None, "c", "s", 6)], ", mix_key int")
+    docs = documents([(1, "a b", "s", 5), (1, "a b", "s", 5), (None, "c", "s", 6)], ", mix_pass int")
     out = mixing.mixed_documents(docs, repetition=1.0)
-    assert out.columns == docs.columns and out.count() == 3
+    assert out.columns == docs.columns and sorted(r["mix_pass"] for r in out.collect()) == [5, 5, 6]
+    assert {r["mix_pass"] for r in mixing.mix(docs, repetition=1.0).collect()} == {0}
 
 
 def test_empty_table(spark, documents):
