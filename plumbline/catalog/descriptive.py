@@ -61,7 +61,7 @@ def _(t):
     return d.top_n(orders(t), "o_custkey", "avg_price", 5, period="1997-11", grain="month")
 
 
-@entry(book, "group_compare", """
+COMPARE_SQL = """
 WITH s AS (SELECT 'group' AS level, l_returnflag AS member, count(*) AS n, min(l_extendedprice) AS lo,
  max(l_extendedprice) AS hi, avg(l_extendedprice) AS m, median(l_extendedprice) AS med,
  stddev_samp(l_extendedprice) AS sd, sum(l_extendedprice) AS tot FROM lineitem GROUP BY 2
@@ -69,23 +69,39 @@ WITH s AS (SELECT 'group' AS level, l_returnflag AS member, count(*) AS n, min(l
  avg(l_extendedprice), median(l_extendedprice), stddev_samp(l_extendedprice), sum(l_extendedprice)
  FROM lineitem)
 SELECT level, member, n AS "rows", n AS n, lo AS min, hi AS max, m AS mean, med AS median, sd AS stddev,
- tot AS total, tot / (SELECT sum(tot) FROM s WHERE level = 'group') AS share FROM s""",
+ tot AS total, tot / (SELECT sum(tot) FROM s WHERE level = 'group') AS share FROM s"""
+
+
+@entry(book, "group_compare", COMPARE_SQL,
        "min max mean median stddev total share", 4)
 def _(t):
     return d.group_compare(lines(t), "l_returnflag", "price")
 
 
-@entry(book, "cross_tab", """
+@entry(book, "group_compare_many", COMPARE_SQL.replace("l_returnflag", "l_suppkey"), "min max mean median stddev total share", 4)
+def _(t):
+    return d.group_compare(lines(t), "l_suppkey", "price")
+
+
+TAB_SQL = """
 WITH g AS (SELECT l_returnflag AS r, l_linestatus AS c, grouping(l_returnflag) AS gr,
  grouping(l_linestatus) AS gc, count(*) AS n FROM lineitem
  GROUP BY CUBE (l_returnflag, l_linestatus))
 SELECT CASE WHEN gr = 0 AND gc = 0 THEN 'cell' WHEN gr = 0 THEN 'row_total'
  WHEN gc = 0 THEN 'column_total' ELSE 'total' END AS kind, r AS row_member, c AS column_member,
- n AS value, n AS "rows" FROM g""")
+ n AS value, n AS "rows" FROM g"""
+
+
+@entry(book, "cross_tab", TAB_SQL)
 def _(t):
     return d.cross_tab(lines(t), "l_returnflag", "l_linestatus")
 
 
+@entry(book, "cross_tab_many", TAB_SQL.replace("l_returnflag", "l_suppkey"))
+def _(t):
+    return d.cross_tab(lines(t), "l_suppkey", "l_linestatus")
+
+
 @entry(book, "cross_tab_measure", f"""
 WITH g AS (SELECT o_orderpriority AS r, o_orderstatus AS c, grouping(o_orderpriority) AS gr,
  grouping(o_orderstatus) AS gc, avg(o_totalprice) AS v, count(*) AS n FROM {ORDERS_SQL}
