@@ -91,35 +91,44 @@ def frequencies(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, counts: np.ndarray, words: int = WORDS, over: int = OVER, under: int = UNDER, keys: tuple = ("doc_id",)) -> DataFrame:
-    """Keys, n (set size), node, prefix (hashes, rare first; null if this task has seen the set before)."""
+def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n (set size), node (null for an empty set)."""
+    def run(batches):
+        for batch in batches:
+            own = [shingles(text, words) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(o) for o in own], pa.int64()), pa.array([node(o) if len(o) else None for o in own], pa.int64())], names=["doc_id", "n", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """token, node, n, place: the rare ends of the sets. A task gives each set once, however many documents hold it."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         seen = set()
         for batch in batches:
-            n, nodes, lists = [], [], []
-            for text in batch.column(len(keys)).to_pylist():
+            tokens, nodes, sizes = [], [], []
+            for text in batch.column("text").to_pylist():
                 own = shingles(text, words)
                 name = node(own) if len(own) else None
-                n.append(len(own))
-                nodes.append(name)
                 if name is None or name in seen:
-                    lists.append(None)
                     continue
                 seen.add(name)
                 take = len(own) - -(-len(own) * over // under) + 1
-                order = np.lexsort((own, shared.value[_cell(own)]))[:take]
-                lists.append(own[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=[*keys, "n", "node", "prefix"])
+                tokens.append(own[np.lexsort((own, shared.value[_cell(own)]))[:take]].view(np.int64))
+                nodes.append(name)
+                sizes.append(len(own))
+            if tokens:
+                taken = [len(t) for t in tokens]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes), taken)), pa.array(np.repeat(sizes, taken).astype(np.int32)),
+                                                  pa.array(np.concatenate([np.arange(t) for t in taken]).astype(np.int32))], names=["token", "node", "n", "place"])
 
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, node long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "token long, node long, n int, place int")
 
 
-def stars(found: DataFrame, over: int = OVER, under: int = UNDER) -> DataFrame:
-    """leader, node: who has to be compared around whom; a leader is among its own nodes."""
-    rows = found.where("prefix IS NOT NULL").select("node", "n", F.posexplode("prefix").alias("place", "token"))
+def stars(rows: DataFrame, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """leader, band, node: who has to be compared around whom; a leader is among its own nodes. ``rows``: ``prefixes``."""
     alike = Window.partitionBy("token")
     rows = rows.withColumns({"low": F.min("node").over(alike), "high": F.max("node").over(alike)}).where("low <> high")
     # sets in one band or the next can be similar: every set enters its band and the one below
@@ -173,9 +182,9 @@ def linked(own: list[np.ndarray], over: int = OVER, under: int = UNDER) -> np.nd
     return group
 
 
-def links(docs: DataFrame, found: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, counts: np.ndarray, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
     """a, b: links between nodes that span every group of similar sets. ``docs``: doc_id, text; ``found``: ``sets``."""
-    around = stage(stars(found, over, under))
+    around = stage(stars(prefixes(docs, counts, words, over, under), over, under))
     crowds = around.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     # every block of a neighbourhood meets every other
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -221,8 +230,8 @@ def links(docs: DataFrame, found: DataFrame, words: int = WORDS, over: int = OVE
 def near_copies(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stage(sets(docs, frequencies(docs, words), words, over, under))
-    together = components(links(docs, found, words, over, under))
+    found = stage(sets(docs, words))
+    together = components(links(docs, found, frequencies(docs, words), words, over, under))
     # copies of a set, and then the sets of a component, by their smallest document
     nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = stage(nodes.join(together, nodes["node"] == together["id"], "left").select("node", "first", F.coalesce("component", "node").alias("component")))
