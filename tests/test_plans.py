@@ -72,3 +72,21 @@ def test_statistics_stay_in_generated_code(t):
     text = plan(infer.group_moments(Scope.of(lines_table(t), LINES), "l_returnflag", "price"))
     assert "HashAggregate" in text and "Python" not in text and "ObjectHashAggregate" not in text
     assert F is not None
+
+
+def test_wanted_slices_are_broadcast(spark):
+    from plumbline.functions import quantiles
+    df = spark.range(100_000).selectExpr("id % 3 AS g", "CAST((id * 7919) % 99991 AS double) AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quantiles.selected(df, ["g"], {"m": ("v", 0.5)}, quantiles.probe(df, ["v"]))
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the table is filtered where it is: the slices are the built side
+    assert "BroadcastHashJoin" in text and "BuildRight" in text and "SortMergeJoin" not in text
+    want = {g: sorted((i * 7919) % 99991 for i in range(g, 100_000, 3)) for g in range(3)}
+    for r in out.collect():
+        v = want[r["g"]]
+        assert r["m"] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
