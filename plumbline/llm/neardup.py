@@ -1,9 +1,12 @@
 """Near copies among embeddings: links found by NN-descent, kept from a cosine threshold on.
 
 Equal vectors are one node. The graph of near neighbours proposes links, which are verified in double precision. A list
-that is full of links says nothing about those beyond it: lists are enlarged to the whole component that links connect,
-whose members are compared in pairs of blocks, each block at most ``BLOCK`` vectors; only sums per vector leave a block.
-An audit compares a sample with all vectors; below ``RECALL`` the lists are searched again in other orders.
+that is full of links says nothing about those beyond it. Such vectors are compared with those of every other component
+that the threshold lets them reach: a component lies within an angle of its smallest node, and components further
+apart than their angles and the threshold's add up to can't link. Then the members of each component are compared in pairs of
+blocks, each block at most ``BLOCK`` vectors; only sums per vector leave a block. An audit compares a sample of all, and
+one of the linked and full, with all vectors; below ``RECALL`` the lists are searched again in other orders, and at last
+all vectors are compared in blocks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are their own
 component; so are vectors whose length isn't the table's; a repeated id counts as one vector and each of its rows gets
@@ -36,40 +39,32 @@ def cosine(a: str, b: str) -> Column:
 
 def _verified(lists: DataFrame, units: DataFrame, scale: float, threshold: float) -> DataFrame:
     """a, b of the pairs in ``lists`` whose cosine reaches the threshold."""
-    near = (2 - 2 * (threshold - SLACK)) * scale * scale
-    pairs = lists.select(F.col("id").alias("x"), F.explode("near").alias("n")).where(F.col("n.d") <= near)
+    pairs = lists.select(F.col("id").alias("x"), F.explode("near").alias("n")).where(F.col("n.d") <= _near(scale, threshold))
     pairs = pairs.select(F.least("x", "n.id").alias("a"), F.greatest("x", "n.id").alias("b")).distinct()
     pairs = pairs.join(units.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(units.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     return pairs.where(cosine("va", "vb") >= threshold).select("a", "b")
 
 
-def counted(units: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """id, links, nodes: the vectors (copies counted) and the nodes that each node of a component links with.
+def _near(scale: float, threshold: float) -> float:
+    """The squared distance of codes up to which a pair may reach the threshold."""
+    return (2 - 2 * (threshold - SLACK)) * scale * scale
 
-    ``units``: id, v (unit vector), copies; ``groups``: id, component.
-    """
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    members = groups.join(sizes, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
-    key = ["component", "low", "high"]
-    work = members.join(units.select("id", "v", "copies"), "id").select(*key, "own", "id", "copies", "v").repartition(*key).sortWithinPartitions(*key, "own", "id")
-
-    def pairs(rows):
-        columns = [rows.column(c).to_numpy() for c in (*key, "own", "id", "copies")]
-        component, low, high, own_, ids, copies = columns
-        flat = rows.column("v").combine_chunks().flatten().to_numpy()
-        matrix = flat.reshape(len(ids), -1)
-        new = (component[1:] != component[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(ids)]))
-        links, nodes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+def _blockwise(work: DataFrame, key: list[str], each, schema: str) -> DataFrame:
+    """``each`` of every run of rows that share ``key`` and hold ``v``: (columns by name, matrix) to a list of columns."""
+    work = work.repartition(*key).sortWithinPartitions(*key, "id")
+    names = [part.split()[0] for part in schema.split(", ")]
+    plain = [c for c in work.columns if c != "v"]
+
+    def units(rows):
+        c = {k: rows.column(k).to_numpy() for k in plain}
+        matrix = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        new = np.any([c[k][1:] != c[k][:-1] for k in key], axis=0)
+        edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(rows)]))
         for a, b in zip(edges, edges[1:]):
-            alike = matrix[a:b] @ matrix[a:b].T >= threshold
-            # within a block once; of two blocks only across
-            alike &= (own_[a:b, None] != own_[None, a:b]) if low[a] != high[a] else ~np.eye(b - a, dtype=bool)
-            links[a:b], nodes[a:b] = alike @ copies[a:b], alike.sum(1)
-        some = np.flatnonzero(nodes)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(nodes[some])], names=["id", "links", "nodes"])
+            out = each({k: x[a:b] for k, x in c.items()}, matrix[a:b])
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     def run(batches):
         held = None
@@ -81,17 +76,121 @@ def counted(units: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, b
             whole = np.flatnonzero(np.any([x != x[-1] for x in c], axis=0))  # the last unit may go on
             cut = int(whole[-1]) + 1 if len(whole) else 0
             if cut:
-                yield from pairs(rows.slice(0, cut))
+                yield from units(rows.slice(0, cut))
             held = rows.slice(cut)
         if held is not None and len(held):
-            yield from pairs(held)
+            yield from units(held)
+
+    return work.mapInArrow(run, schema)
+
+
+def _dealt(groups: DataFrame, block: int) -> DataFrame:
+    """component, low, high, own, id: every pair of blocks of a component with the members of both."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    members = groups.join(sizes, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return members.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
+
+
+def _once(c: dict) -> np.ndarray:
+    """The pairs that a unit has to compare: within a block once, of two blocks only across."""
+    return (c["own"][:, None] != c["own"][None]) if c["low"][0] != c["high"][0] else ~np.eye(len(c["own"]), dtype=bool)
 
-    return work.mapInArrow(run, "id long, links long, nodes long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("nodes").alias("nodes"))
 
+def _forest(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever ``alike`` (symmetric) connects, one fewer than nodes."""
+    left, a, b = alike.any(1), [], []
+    while left.any():
+        front = [int(left.argmax())]
+        left[front] = False
+        while front:
+            node = front.pop()
+            found = np.flatnonzero(alike[node] & left)
+            left[found] = False
+            a += [node] * len(found)
+            b += found.tolist()
+            front += found.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
 
-def recall(units: DataFrame, found: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> float:
-    """Part of the linked nodes that ``found`` has, of the ``sample`` nodes whose ids hash lowest."""
-    some = [(r["id"], list(r["v"])) for r in units.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+
+def counted(units: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """id, links, nodes: the vectors (copies counted) and the nodes that each node of a component links with.
+
+    ``units``: id, v (unit vector), copies; ``groups``: id, component.
+    """
+    def sums(c, matrix):
+        alike = (matrix @ matrix.T >= threshold) & _once(c)
+        links, nodes = alike @ c["copies"], alike.sum(1)
+        some = np.flatnonzero(nodes)
+        return c["id"][some], links[some], nodes[some]
+
+    work = _dealt(groups, block).join(units.select("id", "v", "copies"), "id")
+    found = _blockwise(work, ["component", "low", "high"], sums, "id long, links long, nodes long")
+    return found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("nodes").alias("nodes"))
+
+
+def everywhere(units: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """a, b: links that connect all that is alike, by comparing all nodes in pairs of blocks."""
+    def links(c, matrix):
+        a, b = _forest((matrix @ matrix.T >= threshold) & _once(c))
+        return c["id"][a], c["id"][b]
+
+    work = _dealt(units.select("id", F.lit(0).cast("long").alias("component")), block).join(units.select("id", "v"), "id")
+    return _blockwise(work, ["low", "high"], links, "a long, b long")
+
+
+def full(lists: DataFrame, scale: float, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+    """id of the lists that end within the threshold: more may lie beyond."""
+    return lists.where((F.size("near") >= k) & (F.element_at("near", -1)["d"] <= _near(scale, threshold))).select("id")
+
+
+def across(units: DataFrame, groups: DataFrame, ends: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """a, b: links that connect components wherever two nodes of ``ends`` (id) in different ones are alike.
+
+    Exact among ``ends``: what is not compared is further apart than the threshold by the triangle inequality of angles.
+    """
+    reach = float(np.arccos(threshold)) + 1e-6
+    angle = F.acos(F.least(F.greatest(cosine("v", "centre"), F.lit(-1.0)), F.lit(1.0)))
+    members = ends.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    members = stage(members.join(units.select("id", "v"), "id"))
+    centres = units.select(F.col("id").alias("component"), F.col("v").alias("centre"))
+    radii = members.join(centres, "component").groupBy("component").agg(F.max(angle).alias("radius"))
+    balls = stage(radii.join(centres, "component"))
+
+    def meeting(c, matrix):
+        far = np.arccos(np.clip(matrix @ matrix.T, -1, 1)) - c["radius"][:, None] - c["radius"][None]
+        a, b = np.nonzero((far <= reach) & _once(c) & (c["id"][:, None] < c["id"][None]))
+        return c["id"][a], c["id"][b]
+
+    work = _dealt(balls.select(F.col("component").alias("id"), F.lit(0).cast("long").alias("component")), block)
+    work = work.join(balls.select(F.col("component").alias("id"), "radius", F.col("centre").alias("v")), "id")
+    meet = stage(_blockwise(work, ["low", "high"], meeting, "a long, b long"))
+    # of each of two components, the nodes near enough to the other one
+    sides = []
+    for mine, other in (("a", "b"), ("b", "a")):
+        with_ball = meet.join(balls.withColumnRenamed("component", other), other)
+        near = with_ball.join(members.withColumnRenamed("component", mine), mine).where(angle <= F.col("radius") + reach)
+        sides.append(near.select("a", "b", F.lit(int(mine == "b")).cast("long").alias("own"), "id"))
+    nodes = stage(sides[0].unionByName(sides[1]))
+    sizes = nodes.groupBy("a", "b").agg(*[F.ceil(F.count_if(F.col("own") == s) / F.lit(block)).alias(f"n{s}") for s in (0, 1)])
+    first = F.col("own") == 0
+    nodes = nodes.join(sizes.where("n0 > 0 AND n1 > 0"), ["a", "b"])
+    nodes = nodes.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(first, F.col("n0")).otherwise(F.col("n1"))))
+    nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(first, F.col("n1")).otherwise(F.col("n0")) - 1)))
+    nodes = nodes.select("a", "b", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("low"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("high"), "own", "id")
+
+    def links(c, matrix):
+        one, two = np.flatnonzero(c["own"] == 0), np.flatnonzero(c["own"] == 1)
+        x, y = np.nonzero(matrix[one] @ matrix[two].T >= threshold)
+        return c["id"][one[x[:1]]], c["id"][two[y[:1]]]  # one connects them; counted() finds the others
+
+    return _blockwise(nodes.join(units.select("id", "v"), "id"), ["a", "b", "low", "high"], links, "a long, b long")
+
+
+def recall(units: DataFrame, found: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT, among: DataFrame | None = None) -> float:
+    """Part of the linked nodes that ``found`` has, of the ``sample`` nodes (of ``among``, if given) whose ids hash lowest."""
+    asked = units if among is None else units.join(among, "id", "left_semi")
+    some = [(r["id"], list(r["v"])) for r in asked.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     if not some:
         return 1.0
     names, matrix = np.array([i for i, _ in some]), np.array([v for _, v in some])
@@ -120,9 +219,19 @@ def near_copies(table: DataFrame, id_: str = "vec_id", vector: str = "embedding"
     n = units.count()
     lists = neighbours.graph(codes, n, K)
     for further in range(FURTHER + 1):
-        groups = stage(components(stage(_verified(lists, units, scale, threshold))))
+        edges = stage(_verified(lists, units, scale, threshold))
+        groups = stage(components(edges))
+        ends = stage(full(lists, scale, threshold))
+        if not ends.isEmpty():
+            edges = stage(edges.unionByName(across(units, groups, ends, threshold)))
+            groups = stage(components(edges))
         found = stage(counted(units, groups, threshold))
-        if further == FURTHER or recall(units, found, threshold) >= RECALL:
+        some = ends.unionByName(found.select("id")).distinct()
+        if min(recall(units, found, threshold), recall(units, found, threshold, among=some)) >= RECALL:
+            break
+        if further == FURTHER:
+            groups = stage(components(stage(everywhere(units, threshold))))
+            found = stage(counted(units, groups, threshold))
             break
         more = neighbours.tables(codes, n, K, seed=neighbours.SEED + 1 + further)
         both = lists.unionByName(more.select("id", F.col("near").cast(neighbours.LIST).alias("near")))

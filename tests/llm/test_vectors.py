@@ -101,3 +101,28 @@ def test_rounds_improve_the_graph(spark):
     first = neighbours.tables(codes, 3000, 12, 2).cache()
     after = neighbours.refined(codes, first, 12)
     assert recall(after) > recall(first) + 0.05
+
+
+def test_crowds_beyond_full_lists_are_linked(spark):
+    r = np.random.default_rng(5)
+    a = r.standard_normal(32)
+    a /= np.linalg.norm(a)
+    b = r.standard_normal(32)
+    b -= (b @ a) * a
+    b /= np.linalg.norm(b)
+    turned = 0.93 * a + np.sqrt(1 - 0.93 ** 2) * b
+    x = np.concatenate([c + 0.012 * r.standard_normal((40, 32)) for c in (a, turned)] + [r.standard_normal((200, 32))]).astype(np.float32)
+    links, group = brute_links(x)
+    assert (group[:80] == 0).all() and links[:40].max() > 39
+    out = {q["vec_id"]: q for q in neardup.near_copies(frame(spark, x)).collect()}
+    assert [(out[i]["n_links"], out[i]["component_id"]) for i in range(len(x))] == [(links[i], group[i]) for i in range(len(x))]
+
+
+def test_all_are_compared_where_the_search_fails(spark, monkeypatch):
+    x = crowd(n=400)
+    links, group = brute_links(x)
+    monkeypatch.setattr(neardup, "_verified", lambda lists, units, *_: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(neardup, "full", lambda lists, *_: lists.where("false").select("id"))
+    monkeypatch.setattr(neardup, "FURTHER", 0)
+    out = {r["vec_id"]: r for r in neardup.near_copies(frame(spark, x)).collect()}
+    assert [(out[i]["n_links"], out[i]["component_id"]) for i in range(len(x))] == [(links[i], group[i]) for i in range(len(x))]
