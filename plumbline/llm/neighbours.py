@@ -3,7 +3,8 @@
 Lists start from blocks of rows that lie side by side in the order of a few random hyperplanes (range-partitioned, so a
 crowd of alike vectors is cut into blocks like everything else). In a round every vector is a hub: the vectors it lists
 and those that list it meet there, with their vectors, and learn of one another what improves their lists. Lists hold the
-``k`` nearest found. Vectors travel as bytes of a common scale; whoever needs exact distances takes the originals again.
+``k`` nearest found. Vectors travel as bytes of a common scale, or as floats where lengths differ too much for one scale;
+whoever needs exact distances takes the originals again.
 
 The graph is approximate by nature: a hub takes at most ``k`` of those that list it. Callers audit its recall.
 """
@@ -48,9 +49,13 @@ def scale(vectors: DataFrame) -> float:
     return 127.0 / (vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 127.0)
 
 
-def coded(vectors: DataFrame, units: float) -> DataFrame:
-    """id, code (a byte per component) of ``vectors`` (id long, v array<double>)."""
-    return _pack(vectors, lambda m: [([r.tobytes() for r in np.rint(m * units).astype(np.int8)], pa.binary())], ("id",), "id long, code binary")
+def coded(vectors: DataFrame, units: float, kind: type = np.int8) -> DataFrame:
+    """id, code (a byte, or a value of another ``kind``, per component) of ``vectors`` (id long, v array<double>)."""
+    def codes(m):
+        scaled = np.rint(m * units) if kind is np.int8 else m * units
+        return [([r.tobytes() for r in scaled.astype(kind)], pa.binary())]
+
+    return _pack(vectors, codes, ("id",), "id long, code binary")
 
 
 def vectors(table: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -69,8 +74,8 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "v", "copies")
 
 
-def _matrix(codes: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), dtype=np.int8).reshape(len(codes), -1).astype(np.float32)
+def _matrix(codes: list[bytes], kind: type = np.int8) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), dtype=kind).reshape(len(codes), -1).astype(np.float32 if kind is np.int8 else np.float64)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ def _merged(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
 
-def tables(codes: DataFrame, n: int, k: int, count: int = TABLES, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
+def tables(codes: DataFrame, n: int, k: int, count: int = TABLES, leaf: int = LEAF, seed: int = SEED, kind: type = np.int8) -> DataFrame:
     """id, near: lists from blocks of ``leaf`` rows in ``count`` orders."""
     bits = max(int(np.ceil(np.log2(max(n / leaf, 1)))), 0)
 
@@ -107,7 +112,7 @@ def tables(codes: DataFrame, n: int, k: int, count: int = TABLES, leaf: int = LE
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch.column("code").to_pylist())
+            m = _matrix(batch.column("code").to_pylist(), kind)
             if planes is None:
                 planes = np.random.default_rng(seed).standard_normal((m.shape[1], count * (bits + 1))).astype(np.float32)
             sides = (m @ planes).reshape(len(m), count, bits + 1)
@@ -129,7 +134,7 @@ def tables(codes: DataFrame, n: int, k: int, count: int = TABLES, leaf: int = LE
             edges = sorted({*range(0, whole, leaf), *(np.flatnonzero(t[1:whole] != t[:whole - 1]) + 1).tolist(), whole})
             for a, b in zip(edges, edges[1:]):
                 if b - a > 1:
-                    m = _matrix(codes_[a:b])
+                    m = _matrix(codes_[a:b], kind)
                     some, lists = _flat_lists(ids[a:b], _distances(m, m), k)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][some]), lists], names=["id", "near"])
 
@@ -148,7 +153,7 @@ def tables(codes: DataFrame, n: int, k: int, count: int = TABLES, leaf: int = LE
     return _merged(spread.mapInArrow(near, f"id long, near {LIST}"), k)
 
 
-def refined(codes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+def refined(codes: DataFrame, lists: DataFrame, k: int, kind: type = np.int8) -> DataFrame:
     """One round: ``lists`` with what neighbours of neighbours improve."""
     far = F.when(F.size("near") < k, F.lit(3e38)).otherwise(F.element_at("near", -1)["d"]).cast("float")
     pairs = lists.select("id", F.explode("near.id").alias("other"))
@@ -178,7 +183,7 @@ def refined(codes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
         who, lists_ = [], []
         for a, b in zip(edges, edges[1:]):
             if b - a > 1:
-                m = _matrix(codes_[a:b])
+                m = _matrix(codes_[a:b], kind)
                 some, found = _flat_lists(ids[a:b], _distances(m, m), k, far_[a:b])
                 who.append(ids[a:b][some])
                 lists_.append(found)
@@ -189,9 +194,9 @@ def refined(codes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return _merged(found.unionByName(lists.select("id", F.col("near").cast(LIST).alias("near"))), k)
 
 
-def graph(codes: DataFrame, n: int, k: int = K, rounds: int = ROUNDS, count: int = TABLES, seed: int = SEED) -> DataFrame:
+def graph(codes: DataFrame, n: int, k: int = K, rounds: int = ROUNDS, count: int = TABLES, seed: int = SEED, kind: type = np.int8) -> DataFrame:
     """id, near (at most ``k`` structs of d and id, nearest first; d is squared and in the code's scale)."""
-    lists = stage(tables(codes, n, k, count, seed=seed))
+    lists = stage(tables(codes, n, k, count, seed=seed, kind=kind))
     for _ in range(rounds):
-        lists = stage(refined(codes, lists, k))
+        lists = stage(refined(codes, lists, k, kind))
     return lists

@@ -126,3 +126,31 @@ def test_all_are_compared_where_the_search_fails(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FURTHER", 0)
     out = {r["vec_id"]: r for r in neardup.near_copies(frame(spark, x)).collect()}
     assert [(out[i]["n_links"], out[i]["component_id"]) for i in range(len(x))] == [(links[i], group[i]) for i in range(len(x))]
+
+
+def missed(out, x, asked):
+    """The true ten nearest that ``out`` lacks."""
+    n = 0
+    for q in asked:
+        own = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        own[q] = np.inf
+        n += len(set(np.lexsort((np.arange(len(x)), own))[:10].tolist()) - {r["vec_id"] for r in out if r["query_id"] == q})
+    return n
+
+
+def test_long_vectors_and_close_copies_leave_the_others_found(spark, monkeypatch):
+    x = crowd(4, n=1200)
+    x[600:1000] = x[600] + 0.001 * np.random.default_rng(6).standard_normal((400, 24))
+    x[7] *= 1000
+    monkeypatch.setattr(ann, "exhaustive", None, raising=False)  # found on the walk
+    asked = range(0, 1200, 25)
+    out = ann.search(frame(spark, x), F.col("vec_id") % 25 == 0).collect()
+    assert missed(out, x, asked) <= 0.05 * 10 * len(asked)
+
+
+def test_queries_meet_all_rows_where_the_search_fails(spark, monkeypatch):
+    x = crowd(2)
+    monkeypatch.setattr(ann, "walk", lambda state, *_, **__: state)
+    monkeypatch.setattr(ann, "QUERIES", 5)
+    out = ann.search(frame(spark, x, ODD), F.col("vec_id") % 50 == 0).collect()
+    assert len(out) == 180 and missed(out, x, range(0, len(x), 50)) == 0
