@@ -4,10 +4,12 @@ Each page is cut into blocks of text; every block scores for the container it st
 it, by its length without links. A container's name is its path of tags and classes, numbers generalised. A page votes
 for its best container; votes are summed per host in Spark, and paths with a fair share of a host's votes win. Each page
 is then read again: the winning path that scores highest in it gives the text, or its own best container where the host's
-paths are missing. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out by tag, role or
-class, whatever path they stand in.
+paths are missing or hold next to nothing of it. Menus, headers, footers, sidebars, notices, adverts, forms and comments
+are left out by tag, role or a whole class, whatever path they stand in; a class that only contains such a word leaves a
+container out if those of its name hold a small part of the page's text.
 
-Defined cases: null and empty html give an empty text; a null or unreadable url is a host of its own; tags may be left
+Defined cases: null and empty html give an empty text; a null or unreadable url has no host, its page gives its own best
+container; tags may be left
 open, cut off or nested wrongly; repeated rows vote and are extracted each; an empty table gives an empty result; other
 columns pass through.
 """
@@ -25,6 +27,9 @@ from ..functions.staging import stage
 
 #: Part of a host's votes from which a path wins: at most 1 / SHARE paths per host.
 SHARE = 0.2
+#: Part of a page's text below which a container is left out for a word within a class; part of the best container's worth
+#: below which a winning path is not the page's.
+SMALL, FAR = 0.25, 0.01
 #: Hosts up to this many are broadcast; beyond it, pages join them by a shuffle.
 BROADCAST_HOSTS = 50_000
 
@@ -42,21 +47,28 @@ _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "for
 _AWAY = set("""nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer colophon sidebar side aside widget widgets notice notices cookie cookies consent gdpr
 banner alert ad ads advert adverts advertisement adbox adsense sponsor sponsored promo promotion popup modal overlay newsletter subscribe signup login form search share sharing social
 related recommended recommendations comment comments commentlist reply replies respond disqus pagination pager hidden copyright legal disclaimer skip toolbar""".split())
+#: Words that only say box: a class of these and words of _AWAY names what is left out.
+_BOXES = {"list", "area", "box", "wrapper", "wrap", "container", "section", "block", "inner", "item", "thread", "links", "posts"}
 _GOOD = {"article", "main", "content", "post", "entry", "story", "body", "text"}
 _WORDS = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "name", "out", "good")
+    __slots__ = ("tag", "name", "out", "good", "doubtful")
 
     def __init__(self, tag: str, attributes: str, parent_out: bool):
-        names, out, role = "", tag in _LEFT_OUT, ""
+        names, out, role, self.doubtful = "", tag in _LEFT_OUT, "", False
         for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
             key, value = key.lower(), (a or b or c)
             if key == "class":
                 names = value.lower()
             if key in ("class", "id"):
-                out |= tag not in ("html", "body", "article", "main") and not _AWAY.isdisjoint(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+                if tag not in ("html", "body", "article", "main"):
+                    for one in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+                        words = set(_WORDS.findall(one))
+                        if words & _AWAY:
+                            whole = words <= _AWAY | _BOXES
+                            out, self.doubtful = out or whole, self.doubtful or not whole
             elif key == "role":
                 role = value.lower()
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
@@ -136,7 +148,25 @@ def blocks(html: str) -> list[tuple[tuple[_Node, ...], str, int]]:
                         del stack[k:]
                         break
     flush()
-    return found
+    return _without_small(found)
+
+
+def _without_small(found: list) -> list:
+    """Without blocks in doubtful containers whose name holds less than ``SMALL`` of the text outside links."""
+    if not any(c.doubtful for containers, _, _ in found for c in containers):
+        return found
+    held, total = {}, 0
+    for containers, text, linked in found:
+        own = max(len(text) - linked, 0)
+        total += own
+        for name in {c.name for c in containers if c.doubtful}:
+            held[name] = held.get(name, 0) + own
+    small = {name for name, n in held.items() if n == 0 or n < SMALL * total}
+    return [x for x in found if not any(c.doubtful and c.name in small for c in x[0])]
+
+
+def _worth(text: str, linked: int) -> float:
+    return max(len(text) - 2 * linked, 0) + 10.0 * sum(map(text.count, ".,;:!?"))
 
 
 def _paths(containers: tuple[_Node, ...]) -> list[str]:
@@ -152,7 +182,7 @@ def scored(page: list) -> dict[str, float]:
     scores: dict[str, float] = {}
     for containers, text, linked in page:
         paths = _paths(containers) or [""]
-        worth = max(len(text) - 2 * linked, 0) + 10.0 * sum(map(text.count, ".,;:!?"))
+        worth = _worth(text, linked)
         for k, share in ((1, 1.0), (2, 0.5), (3, 0.25)):
             if k <= len(paths):
                 good = containers and containers[-k].good
@@ -177,7 +207,11 @@ def extract(html: str, winners: list[str]) -> str:
     # any container on the way to a block can be re-read, whether it scored in this page or not
     present = {p for containers, _, _ in page for p in _paths(containers) or [""]}
     mine = [w for w in winners if w in present]
-    path = min(mine, key=lambda p: (-scores.get(p, 0.0), p)) if mine else _best(scores)[0]
+    best = _best(scores)[0]
+    path = min(mine, key=lambda p: (-scores.get(p, 0.0), p)) if mine else best
+    if mine and best is not None and path != best:
+        worth = {p: sum(_worth(text, linked) for containers, text, linked in page if p in (_paths(containers) or [""])) for p in (path, best)}
+        path = best if worth[path] < FAR * worth[best] else path
     if path is None:
         return ""
     return "\n".join(text for containers, text, _ in page if path in (_paths(containers) or [""]))
@@ -195,7 +229,7 @@ def host(url):
 def winning_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """host, winners: the container paths with at least ``SHARE`` of the host's votes."""
     best = F.pandas_udf(_votes, "path string, score double")(F.col(html))
-    votes = pages.select(host(F.col(url)).alias("host"), best.alias("b")).where("b.path IS NOT NULL")
+    votes = pages.select(host(F.col(url)).alias("host"), best.alias("b")).where("b.path IS NOT NULL AND host <> ''")
     sums = votes.groupBy("host", F.col("b.path").alias("path")).agg(F.count(F.lit(1)).alias("votes"))
     # one row per host and path here
     share = F.col("votes") / F.sum("votes").over(Window.partitionBy("host"))

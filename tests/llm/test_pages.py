@@ -45,3 +45,23 @@ def test_all_pages_equal_their_articles(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+def test_layout_classes_do_not_empty_a_page():
+    text = "A sentence of the article, with words. " * 5
+    small = "<div class='promo-teaser'><p>Buy.</p></div>"
+    for name in ("content has-sidebar", "no-sidebar", "post comments-open", "search-result", "tag-promotion", "legal-news"):
+        assert pages.extract(f"<body><div class='{name}'><p>{text}</p><p>{text}</p>{small}</div></body>", []) == f"{text.strip()}\n{text.strip()}"
+        apart = f"<div class='{name}'><p>{text}</p></div>" * 8  # each a small part, together all
+        assert pages.extract(f"<body><div>{apart}</div></body>", []) != ""
+
+
+def test_a_winner_that_holds_nothing_of_a_page_is_not_its_path(spark):
+    text = "<p>" + "A sentence of the article, with words. " * 5 + "</p>"
+    usual = [(i, "http://h.example/x", f"<body><div class='a'>{text * 3}</div></body>", None) for i in range(8)]
+    other = f"<body><div class='a'><p>x</p></div><div class='b'>{text * 3}</div></body>"
+    nowhere = [(20 + i, None, f"<body><div class='a'>{text * 3}</div></body>", None) for i in range(8)]
+    mixed = f"<body><div class='a'><p>A short box, with words.</p></div><div class='b'>{text * 3}</div></body>"
+    frame = spark.createDataFrame(usual + [(9, "http://h.example/y", other, None)] + nowhere + [(30, None, mixed, None)], SCHEMA)
+    out = {r["page_id"]: r["main"] for r in pages.main_text(frame, into="main").collect()}
+    assert all(len(out[i].split("\n")) == 3 for i in (0, 9, 20, 30))
