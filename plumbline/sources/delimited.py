@@ -1,15 +1,17 @@
 """Delimited files: everything is read as text first, then named, cleared of null tokens and typed.
 
-The head of a file names its columns and, if no Layout is given, suggests one; the table's width is that of its widest
-row, found over all rows.
+The head of a file names its columns and, if no Layout is given, suggests one; the delimiter and whether quoted cells hold
+line breaks are then found over all lines of all files, and the table's width is that of its widest row, over all rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,13 +52,40 @@ class Layout:
 
 def sniff_delimiter(lines: list[str]) -> str:
     """The delimiter that splits the head of the file into the most even, widest rows."""
+    return _evenest({d: Counter(line.count(d) for line in lines if line.strip()) for d in DELIMITERS})
+
+
+def _evenest(counts: dict[str, Counter]) -> str:
+    """Of delimiters with the number of lines by how often they hold it."""
     def score(d: str):
-        counts = [line.count(d) for line in lines if line.strip()]
-        common = max(set(counts), key=counts.count) if counts else 0
-        return (common > 0, counts.count(common) if common else 0, common)
+        common, n = max(counts[d].items(), key=lambda x: (x[1], x[0]), default=(0, 0))
+        return (common > 0, n if common else 0, common)
     return max(DELIMITERS, key=score)
 
 
+def table_delimiter(spark: SparkSession, path: str) -> str:
+    """``sniff_delimiter`` over all lines."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))).alias("n")) for d in DELIMITERS]))
+    counts = {d: Counter() for d in DELIMITERS}
+    for r in lines.select(each.alias("x")).groupBy("x.d", "x.n").count().collect():
+        counts[r["d"]][r["n"]] = r["count"]
+    return _evenest(counts)
+
+
+def table_broken(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether any line ends inside a quoted cell. The first one of a table is read from the start of a row, so it is seen."""
+    d = re.escape(delimiter)
+    cell = rf'(?:"(?:[^"]|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|)'
+    whole = re.compile(rf"{cell}(?:{d}{cell})*+")
+
+    def is_open(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda line: whole.fullmatch(line) is None).astype(bool)
+
+    quoted = spark.read.text(path).where(F.contains("value", F.lit('"')))
+    return not quoted.where(F.pandas_udf(is_open, "boolean")("value")).isEmpty()
+
+
 def head_lines(spark: SparkSession, path: str, n: int = PREVIEW_LINES) -> list[str]:
     """The first lines of the first file, in file order."""
     first = min(spark.read.text(path).inputFiles())
@@ -127,15 +156,17 @@ def looks_like_value(cell: str) -> bool:
     return bool(NUMBER.match(c) and any(ch.isdigit() for ch in c)) or bool(DATE.match(c))
 
 
-def guess_layout(lines: list[str]) -> Layout:
+def guess_layout(lines: list[str], delimiter: str | None = None, broken: bool | None = None) -> Layout:
     """Title rows, header rows and delimiter from the head of a file.
 
     The first data row is the first with a number or a date in it that is as wide as the table;
-    header rows are the filled text rows just above it; anything higher is a title.
+    header rows are the filled text rows just above it; anything higher is a title. ``delimiter`` and ``broken`` (quoted
+    cells hold line breaks) are taken from these lines unless given.
     """
-    d = sniff_delimiter(lines)
-    # a line with an open quote goes on in the next one
-    broken = any(line.count('"') % 2 for line in lines)
+    d = delimiter or sniff_delimiter(lines)
+    if broken is None:
+        # a line with an open quote goes on in the next one
+        broken = any(line.count('"') % 2 for line in lines)
     rows = [split_line(line, d) for line in lines]
     width = max((len([c for c in r if c.strip()]) for r in rows), default=0)
     first = next((i for i, r in enumerate(rows)
@@ -159,7 +190,8 @@ def load(spark: SparkSession, path: str, layout: Layout | None = None, on_error:
         lines = head_lines(spark, path)
         if not lines:
             raise Refused("EMPTY_FILE", path)
-        layout = guess_layout(lines)
+        delimiter = table_delimiter(spark, path)
+        layout = guess_layout(lines, delimiter, table_broken(spark, path, delimiter))
     width = table_width(spark, path, layout)
     top = layout.skip + layout.header_rows
     head = []

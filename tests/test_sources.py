@@ -108,3 +108,19 @@ def test_validation_over_a_stream(spark, tmp_path):
     whole = {x["check"]: x for x in validate.val_report(spark.read.parquet(str(src)), c, "2025-01-01").collect()}
     for k in got:
         assert (got[k]["rows"], got[k]["passed"], got[k]["failed"]) == (whole[k]["rows"], whole[k]["passed"], whole[k]["failed"])
+
+
+def test_load_finds_breaks_and_stray_quotes_anywhere(spark, tmp_path):
+    late = tmp_path / "late.csv"
+    late.write_text("id,price,note\n" + "".join(f"{i},{i}.5,n\n" for i in range(300)) + '300,1.5,"two\nlines"\n301,2.5,n\n')
+    df = d.load(spark, str(late))
+    assert df.count() == 302 and df.where("id = '300'").first()["note"] == "two\nlines"
+    stray = tmp_path / "stray.csv"
+    stray.write_text("id,price,note\n" + '1,2.5,5" pipe\n2,3.5,n\n' + '3,4.5,"a ""b"", c"\n')
+    assert d.load(spark, str(stray)).count() == 3
+    assert not d.table_broken(spark, str(stray), ",") and d.table_broken(spark, str(late), ",")
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    (parts / "a.csv").write_text("id;price\n1;2,5\n")
+    (parts / "b.csv").write_text("".join(f'{i};3,5\n' for i in range(2, 50)) + '50;"x\ny"\n')
+    assert d.load(spark, str(parts)).count() == 50
