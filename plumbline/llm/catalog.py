@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, mixing, neardup, packing, pages, secrets, suffixes, toxicity
+from . import ann, centroids, chat, jaccard, licenses, mixing, neardup, packing, pages, runs, secrets, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,71 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 and more among all embeddings."""
     return neardup.near_copies(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _centroid_sql(rounds: int = centroids.ROUNDS, k: int = centroids.CLUSTERS, seed: int = centroids.SEED) -> str:
+    """The rounds written out, one after the other."""
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (SELECT rid, vec_id, v, c, d FROM (SELECT x.rid, x.vec_id, x.v, c.c,
+  list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d FROM kept x, c{n} c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+
+    def moved(n: int) -> str:
+        return f"""c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c) m ON m.c = c.c)"""
+
+    steps = ",\n".join(f"{assigned(n)},\n{moved(n)}" for n in range(rounds))
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+  list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k}),
+{steps},
+{assigned(rounds)}
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} m ON m.c = a.c"""
+
+
+@query("op11_ptolemaic_centroids", _centroid_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in eight clusters, after ten rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents; every tenth gets a periodic tail first."""
+    docs = runs.repeating(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return runs.scan(docs, with_text=False).select("doc_id", *[F.col(f"run_{c}").alias(c) for c in names])
+
+
+def _license_sql() -> str:
+    """Every block against every template."""
+    quoted = [[f"'{w}'" for w in sorted(set(licenses.tokens_of(t)))] for _, t in licenses.TEMPLATES]
+    rows = ",\n".join(f"('{label}', [{', '.join(q)}], {licenses.needed(len(q))})" for (label, _), q in zip(licenses.TEMPLATES, quoted))
+    named = [(licenses.tokens_of(p), label) for p, label in licenses.PHRASES]
+    places = " || ".join(
+        "list_filter(range(n), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{t}'" for k, t in enumerate(tokens)) + ")" for tokens, _ in named)
+    labels = " || ".join(
+        "CASE WHEN len(list_filter(range(n), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{t}'" for k, t in enumerate(tokens))
+        + f")) > 0 THEN ['{label}'] ELSE [] END" for tokens, label in named)
+    return rf"""WITH t(label, words, need) AS (VALUES {rows}),
+d AS MATERIALIZED (SELECT rid, doc_id, w, len(w) AS n FROM (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+p AS (SELECT rid, doc_id, n, {places} AS spots, list_sort(list_distinct({labels})) AS named FROM d),
+b AS (SELECT rid, w[s + 1:s + 128] AS held FROM d, unnest(range(0, greatest(n - 64, 1), 64)) AS u(s)),
+m AS (SELECT rid, list(DISTINCT label) AS held, max(len(list_intersect(words, held)) / len(words)) AS most
+  FROM b, t WHERE len(list_intersect(words, held)) >= need GROUP BY rid)
+SELECT doc_id, n AS n_words, len(spots)::BIGINT AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word, array_to_string(named, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(named || coalesce(m.held, []))), ',') AS labels,
+  greatest(coalesce(most, 0.0), CASE WHEN len(spots) > 0 THEN {licenses.NAMED} ELSE 0.0 END)::DOUBLE AS score
+FROM p LEFT JOIN m ON m.rid = p.rid"""
+
+
+@query("op13_license_join", _license_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.col(f"license_{c}").alias(c) for c in names])
