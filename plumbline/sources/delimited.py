@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..errors import Refused
 from ..functions.staging import small_side, stage
 from ..functions.words import snake
+from .multiline import records
 
 PREVIEW_LINES = 200
 DELIMITERS = (",", ";", "\t", "|")
@@ -33,8 +34,8 @@ PERIOD = re.compile(r"^((19|20)\d{2}([-_ ]?(0?[1-9]|1[0-2]|q[1-4]))?|(jan|feb|ma
 class Layout:
     """How a file is laid out; ``skip`` leading title rows come before the header rows.
 
-    ``multiline``: quoted cells may hold line breaks. A file is then read by one task, as no break can be told from the
-    end of a row without its beginning.
+    ``multiline``: quoted cells may hold line breaks. Row ends are then found by ``sources.multiline``, a file still read by
+    many tasks; only text in UTF-16 or UTF-32 is read by one task per file.
     """
 
     delimiter: str = ","
@@ -92,32 +93,50 @@ def head_lines(spark: SparkSession, path: str, n: int = PREVIEW_LINES) -> list[s
     return [r[0] for r in spark.read.text(first).limit(n).collect()]
 
 
-def cells(spark: SparkSession, path: str, layout: Layout, width: int) -> DataFrame:
-    """Every row as text columns _0.. : quoted cells with their delimiters, doubled quotes and, if so laid out, line breaks."""
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    return (spark.read.option("sep", layout.delimiter).option("encoding", layout.encoding).option("header", "false")
-            .option("quote", '"').option("escape", '"').option("multiLine", str(layout.multiline).lower())
-            .option("enforceSchema", "true").option("ignoreLeadingWhiteSpace", "false")
-            .option("ignoreTrailingWhiteSpace", "false").schema(schema).csv(path))
+def _options(layout: Layout) -> dict[str, str]:
+    return {"sep": layout.delimiter, "encoding": layout.encoding, "header": "false", "quote": '"', "escape": '"',
+            "multiLine": str(layout.multiline).lower(), "enforceSchema": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def table_width(spark: SparkSession, path: str, layout: Layout, guess: int = 32) -> int:
-    """Cells of the widest row, by one pass over all rows (again with more columns if they all were in use)."""
-    while True:
-        df = cells(spark, path, layout, guess)
-        last = df.agg(F.max(F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), i) for i in reversed(range(guess))]))).first()[0]
-        if last is None or last < guess - 1:
-            return (last if last is not None else 0) + 1
-        guess *= 4
+def _schema(width: int) -> T.StructType:
+    return T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
+
+
+def cells(spark: SparkSession, path: str, layout: Layout, width: int) -> DataFrame:
+    """Every row as text columns _0.. : quoted cells with their delimiters, doubled quotes and, if so laid out, line breaks."""
+    return spark.read.options(**_options(layout)).schema(_schema(width)).csv(path)
 
 
 def raw(spark: SparkSession, path: str, layout: Layout, width: int) -> DataFrame:
     """``cells`` with their place in the input."""
+    if layout.multiline and not layout.encoding.upper().startswith(("UTF-16", "UTF-32")):
+        rows = records(spark, path, layout.delimiter, layout.encoding)
+        read = F.from_csv("record", ", ".join(f"_{i} string" for i in range(width)),
+                          {**{k: v for k, v in _options(layout).items() if k not in ("encoding", "header", "enforceSchema")}, "lineSep": "\n"})
+        return rows.select(read.alias("c"), "__file", "__block", "__row").select("c.*", "__file", "__block", "__row")
     return cells(spark, path, layout, width).select(
         "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__row"))
 
 
+def survey(spark: SparkSession, path: str, layout: Layout, guess: int = 32) -> tuple[int, DataFrame]:
+    """Cells of the widest row, and each file's first row (__file, __first), by one pass (again if all columns were in use)."""
+    while True:
+        df = raw(spark, path, layout, guess)
+        widest = F.max(F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), i) for i in reversed(range(guess))]))
+        # one row per file
+        files = stage(df.groupBy("__file").agg(widest.alias("__last"), F.min(F.when(F.col("__block") == 0, F.col("__row"))).alias("__first")))
+        last = files.agg(F.max("__last")).first()[0]
+        if last is None or last < guess - 1:
+            return (last if last is not None else 0) + 1, files.where("__first IS NOT NULL").select("__file", "__first")
+        guess *= 4
+
+
+def table_width(spark: SparkSession, path: str, layout: Layout, guess: int = 32) -> int:
+    """Cells of the widest row, over all rows."""
+    return survey(spark, path, layout, guess)[0]
+
+
 def split_line(line: str, delimiter: str) -> list[str]:
     import csv
     return next(csv.reader([line], delimiter=delimiter), [])
@@ -192,14 +211,14 @@ def load(spark: SparkSession, path: str, layout: Layout | None = None, on_error:
             raise Refused("EMPTY_FILE", path)
         delimiter = table_delimiter(spark, path)
         layout = guess_layout(lines, delimiter, table_broken(spark, path, delimiter))
-    width = table_width(spark, path, layout)
+    width, starts = survey(spark, path, layout)
     top = layout.skip + layout.header_rows
     head = []
     if top:
         first = min(spark.read.text(path).inputFiles(), default=None)
         if first is None:
             raise Refused("EMPTY_FILE", path)
-        head = [[c or "" for c in r] for r in cells(spark, first, layout, width).limit(top).collect()]
+        head = [[(c or "").removesuffix("\r") for c in r] for r in cells(spark, first, layout, width).limit(top).collect()]
         if not head:
             raise Refused("EMPTY_FILE", path)
     df = raw(spark, path, layout, width)
@@ -211,7 +230,7 @@ def load(spark: SparkSession, path: str, layout: Layout | None = None, on_error:
         names = [f"column_{i + 1}" for i in range(width)]
     names += [f"column_{i + 1}" for i in range(len(names), width)]
     if head:
-        df = _without(df, head, width)
+        df = _without(df, head, starts, width)
     if layout.footer:
         df = drop_footer(df, layout.footer)
     df = df.select(*[F.col(f"_{i}").alias(n) if i < width else F.lit(None).cast("string").alias(n) for i, n in enumerate(names)])
@@ -219,10 +238,11 @@ def load(spark: SparkSession, path: str, layout: Layout | None = None, on_error:
     return typed(df, layout.dtypes, on_error)
 
 
-def _without(df: DataFrame, head: list[list[str]], width: int) -> DataFrame:
-    """Drop title and header rows where a file begins with them (each part may); rows like them further down stay."""
-    # one row per file: where its first rows are
-    starts = stage(df.where(F.col("__block") == 0).groupBy("__file").agg(F.min("__row").alias("__first")))
+def _without(df: DataFrame, head: list[list[str]], starts: DataFrame, width: int) -> DataFrame:
+    """Drop title and header rows where a file begins with them (each part may); rows like them further down stay.
+
+    ``starts``: one row per file, its first row.
+    """
     placed = df.join(small_side(starts), "__file", "left").withColumn("__nth", F.col("__row") - F.col("__first"))
     drop = F.lit(False)
     for i, row in enumerate(head):
