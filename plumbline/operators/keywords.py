@@ -13,6 +13,7 @@ import math
 import re
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, Window
@@ -224,17 +225,6 @@ def txt_embed(texts: DataFrame, column: str = "topic") -> DataFrame:
 
 # --- clustering ----------------------------------------------------------------------------------
 
-BANDS, ROWS = 24, 2
-
-
-def _bands(grams: Column) -> Column:
-    """Band keys of a minhash signature: texts sharing most grams share some band."""
-    def smallest(seed: int) -> Column:
-        return F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(seed), g)))
-    return F.array(*[F.concat_ws("_", F.lit(b), *[smallest(b * ROWS + r) for r in range(ROWS)])
-                     for b in range(BANDS)])
-
-
 def _dot(a: Column, b: Column) -> Column:
     """Inner product of two gram -> weight maps."""
     return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"]
@@ -265,6 +255,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Texts that meet in one part of a gram.
+MEETING = 2_000
+
+
 def similar_pairs(space: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, cos``: all pairs of ``text, gram, weight`` (unit vectors, no negative weight) within the threshold.
 
@@ -277,8 +271,12 @@ def similar_pairs(space: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = Window.partitionBy("text").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))
     heads = stage(space.join(df, "gram").withColumn("left", left).where(F.col("left") >= least - 1e-9).select("text", "gram"))
-    pairs = heads.select(F.col("text").alias("a"), "gram").join(heads.select(F.col("text").alias("b"), "gram"), "gram")
-    pairs = pairs.where("a < b").select("a", "b").distinct()
+    # a gram at the head of many texts is met in parts: every text of one side in one of them, of the other side in all
+    parts = heads.groupBy("gram").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("parts"))
+    spread = heads.join(parts, "gram")
+    one = spread.select(F.col("text").alias("a"), "gram", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int").alias("part"))
+    all_ = spread.select(F.col("text").alias("b"), "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = one.join(all_, ["gram", "part"]).where("a < b").select("a", "b").distinct()
     # as many entries as the text has grams
     vec = stage(space.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v")))
     near = pairs.join(vec.select(F.col("text").alias("a"), F.col("v").alias("va")), "a").join(
@@ -287,28 +285,124 @@ def similar_pairs(space: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def txt_cluster(texts: DataFrame, column: str = "topic", threshold: float = THRESHOLD) -> DataFrame:
-    """``text, cluster``: texts linked when their cosine distance is within the threshold, then
-    kept only while within it of the cluster's centroid (others stand alone)."""
-    weights = stage(txt_embed(texts, column))
-    # as many entries as the text has grams
-    vec = stage(weights.groupBy("text").agg(F.map_from_entries(F.collect_list(
-        F.struct("gram", "weight"))).alias("v")))
-    band = vec.select("text", F.explode(_bands(F.map_keys("v"))).alias("band"))
-    # two centres to a band, its first and last text: twice the chance to be near one, still linear
-    centre = band.groupBy("band").agg(F.array(F.min("text"), F.max("text")).alias("ends"))
-    star = band.join(centre, "band").select("text", F.explode("ends").alias("centre"))
-    star = star.where(F.col("text") != F.col("centre")).distinct()
-    va = vec.select("text", "v")
-    vb = vec.select(F.col("text").alias("centre"), F.col("v").alias("vc"))
-    linked = star.join(va, "text").join(vb, "centre").where(
-        _dot(F.col("v"), F.col("vc")) >= 1 - threshold)
-    labels = stage(components(vec.select("text"), linked.select(F.col("text").alias("a"),
-                                                                F.col("centre").alias("b"))))
-    c = _centroids(weights.join(labels, "text"), "label")
-    near = (weights.join(labels, "text").join(c, ["label", "gram"]).groupBy("text", "label")
-            .agg(F.sum(F.col("weight") * F.col("centroid")).alias("cos")))
-    return near.select("text", F.when(F.col("cos") >= 1 - threshold, F.col("label"))
-                       .otherwise(F.col("text")).alias("cluster"))
+    """``text, cluster``: average linkage of cosine distances, cut at the threshold; a cluster is named by its least text."""
+    space = stage(txt_embed(texts, column))
+    return average_linkage(space, similar_pairs(space, threshold), 1 - threshold)
+
+
+#: Clusters of one component that a single task merges; their vectors and a square of this size are what it holds.
+TOGETHER = 800
+
+
+def average_linkage(space: DataFrame, pairs: DataFrame, least: float, together: int = TOGETHER) -> DataFrame:
+    """``text, cluster``: clusters merged while the mean cosine between their members exceeds ``least``.
+
+    ``space`` has text, gram, weight (unit vectors); ``pairs`` has a < b and cos, all pairs above ``least``. Clusters only merge
+    along such pairs, so connected components don't depend on each other: one of up to ``together`` clusters is merged by one
+    task, nearest pair first. Larger ones go through rounds, in which all clusters that are each other's nearest merge, until
+    they have become small or fallen apart. With average linkage a merger brings no cluster nearer to a third one than both its
+    parts were, so both ways give the same clusters. Ties, to nine digits, go to the smaller names.
+    """
+    labels = stage(space.select("text", F.col("text").alias("cluster")).distinct())
+    edges = stage(pairs.where(F.col("cos") > least).select("a", "b", F.col("cos").alias("total"), F.col("cos").alias("mean")))
+    while not edges.isEmpty():
+        nodes = edges.select(F.col("a").alias("text")).unionByName(edges.select(F.col("b").alias("text"))).distinct()
+        part = components(nodes, edges).select(F.col("text").alias("cluster"), F.col("label").alias("component"))
+        size = part.groupBy("component").agg(F.count("*").alias("clusters"))
+        part = stage(part.join(size, "component"))
+        small, large = part.where(F.col("clusters") <= together), part.where(F.col("clusters") > together)
+        merged = _merged(small.select("cluster", "component"), labels, space, least)
+        labels = stage(labels.join(merged, "cluster", "left").select("text", F.coalesce("into", "cluster").alias("cluster")))
+        edges = stage(edges.join(large.select(F.col("cluster").alias("a")), "a", "left_semi"))
+        for _ in range(0 if edges.isEmpty() else ROUNDS):
+            labels, edges = _round(labels, edges, space, least)
+    return labels
+
+
+#: Rounds of mergers between two looks at the components.
+ROUNDS = 3
+
+
+def _merged(part: DataFrame, labels: DataFrame, space: DataFrame, least: float) -> DataFrame:
+    """``cluster, into``: every component's clusters merged in one task, from the sums of their vectors."""
+    own = labels.join(part, "cluster")
+    sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    sums = own.join(space, "text").groupBy("cluster", "gram").agg(F.sum("weight").alias("s"))
+    # as many entries as the cluster has grams
+    rows = sums.groupBy("cluster").agg(F.collect_list("gram").alias("grams"), F.collect_list("s").alias("sums")).join(sizes, "cluster")
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cluster", ignore_index=True)
+        names, n, size = frame["cluster"].tolist(), len(frame), frame["n"].to_numpy(dtype=float)
+        lengths = frame["grams"].map(len).to_numpy()
+        gram = pd.factorize(np.concatenate(frame["grams"].to_numpy()))[0]
+        order = np.argsort(gram, kind="stable")
+        row, value = np.repeat(np.arange(n), lengths)[order], np.concatenate(frame["sums"].to_numpy())[order]
+        total = np.zeros((n, n))
+        for at in np.split(np.arange(len(order)), np.flatnonzero(np.diff(gram[order])) + 1):
+            total[np.ix_(row[at], row[at])] += np.outer(value[at], value[at])
+        into = np.arange(n)
+        mean = np.where(np.triu(np.ones((n, n), dtype=bool), 1), total / np.outer(size, size), -1.0)
+        while n > 1:
+            a, b = divmod(int(np.round(mean, 9).argmax()), n)  # the first of the largest: the smaller names
+            if mean[a, b] <= least:
+                break
+            total[a] += total[b]
+            total[:, a] += total[:, b]
+            size[a] += size[b]
+            into[into == b] = a
+            mean[b], mean[:, b] = -1.0, -1.0
+            near = total[a] / (size * size[a])
+            mean[a, a + 1:] = np.where(mean[a, a + 1:] > -1.0, near[a + 1:], -1.0)
+            mean[:a, a] = np.where(mean[:a, a] > -1.0, near[:a], -1.0)
+        return pd.DataFrame({"cluster": names, "into": [names[i] for i in into]})
+
+    return rows.groupBy("component").applyInPandas(merge, "cluster string, into string")
+
+
+def _round(labels: DataFrame, edges: DataFrame, space: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Labels and edges after merging all clusters that are each other's nearest.
+
+    A new pair can only exceed ``least`` if a pair of its parts did, so edges are only renamed and added up: the sum of cosines
+    of a merged pair is the sum over its parts (at most four), and where two parts are no edge, the product of their sums.
+    """
+    ends = edges.select(F.col("a").alias("x"), "a", "b", "mean").unionByName(edges.select(F.col("b").alias("x"), "a", "b", "mean"))
+    nearest = ends.groupBy("x").agg(F.min(F.struct((-F.round("mean", 9)).alias("d"), "a", "b")).alias("m"))
+    # chosen from both sides
+    merges = stage(nearest.groupBy("m.a", "m.b").agg(F.count("*").alias("sides")).where("sides = 2").select("a", "b"))
+    moved = merges.select(F.col("b").alias("cluster"), F.col("a").alias("into"))
+    new = stage(labels.join(moved, "cluster", "left").select("text", F.coalesce("into", "cluster").alias("cluster")))
+    renamed = (edges.join(moved.select(F.col("cluster").alias("a"), F.col("into").alias("ia")), "a", "left")
+               .join(moved.select(F.col("cluster").alias("b"), F.col("into").alias("ib")), "b", "left")
+               .select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b")).where("a <> b")
+               .select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct())
+    parts = (renamed.join(merges.select(F.col("a").alias("p"), F.col("b").alias("pb")), "p", "left")
+             .join(merges.select(F.col("a").alias("q"), F.col("b").alias("qb")), "q", "left")
+             .select("p", "q", F.explode(F.array_compact(F.array("p", "pb"))).alias("x"), "qb")
+             .select("p", "q", "x", F.explode(F.array_compact(F.array("q", "qb"))).alias("y"))
+             .select("p", "q", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    summed = stage(parts.join(edges.select("a", "b", "total"), ["a", "b"], "left"))
+    products = _products(summed.where("total IS NULL").select("a", "b").distinct(), space, labels)
+    totals = (summed.join(products, ["a", "b"], "left").groupBy("p", "q")
+              .agg(F.sum(F.coalesce("total", "product", F.lit(0.0))).alias("total")))
+    sizes = new.groupBy("cluster").agg(F.count("*").alias("n"))
+    mean = F.col("total") / (F.col("na") * F.col("nb"))
+    left = (totals.select(F.col("p").alias("a"), F.col("q").alias("b"), "total")
+            .join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a")
+            .join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
+            .select("a", "b", "total", mean.alias("mean")).where(F.col("mean") > least))
+    return new, stage(left)
+
+
+def _products(pairs: DataFrame, space: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b, product``: the sum of cosines between the members of two clusters, from the sums of their vectors.
+
+    Pairs without a common gram are left out.
+    """
+    wanted = pairs.select(F.col("a").alias("cluster")).unionByName(pairs.select(F.col("b").alias("cluster"))).distinct()
+    sums = labels.join(wanted, "cluster").join(space, "text").groupBy("cluster", "gram").agg(F.sum("weight").alias("s"))
+    left, right = (sums.select(F.col("cluster").alias(c), "gram", F.col("s").alias(f"s{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("product"))
 
 
 def _centroids(weights: DataFrame, group: str) -> DataFrame:

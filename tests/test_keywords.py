@@ -88,6 +88,60 @@ def test_groups_are_pure(spark):
     assert s["purity"] >= 0.9 and s["completeness"] >= 0.7
 
 
+def brute_linkage(weights, threshold=0.6):
+    """text: cluster, by merging the nearest two clusters (ties, to nine digits: the smaller names) while below the threshold."""
+    import numpy as np
+    names = sorted({t for t, _, _ in weights})
+    grams = {g: i for i, g in enumerate(sorted({g for _, g, _ in weights}))}
+    v = {t: np.zeros(len(grams)) for t in names}
+    for t, g, w in weights:
+        v[t][grams[g]] = w
+    size, own = dict.fromkeys(names, 1), {t: [t] for t in names}
+    while len(names) > 1:
+        d = {(a, b): -round(float(v[a] @ v[b]) / (size[a] * size[b]), 9) for i, a in enumerate(names) for b in names[i + 1:]}
+        cos, a, b = min((c, *p) for p, c in d.items())
+        if -cos <= round(1 - threshold, 9):
+            break
+        v[a], size[a] = v[a] + v[b], size[a] + size[b]
+        own[a] += own.pop(b)
+        names.remove(b)
+    return {t: c for c, ts in own.items() for t in ts}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_clusters_equal_brute_force(spark, threshold):
+    names = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct()
+    texts = [r[0] for r in names.collect()] + [w for ws in GOLD.values() for w in ws]
+    df = spark.createDataFrame([(t,) for t in texts], "topic string")
+    weights = [tuple(r) for r in k.txt_embed(df).collect()]
+    got = {r["text"]: r["cluster"] for r in k.txt_cluster(df, threshold=threshold).collect()}
+    assert got == brute_linkage(weights, threshold)
+
+
+def test_large_components_in_rounds(spark):
+    texts = [w for ws in GOLD.values() for w in ws]
+    space = k.stage(k.txt_embed(spark.createDataFrame([(t,) for t in texts], "topic string")))
+    got = k.average_linkage(space, k.similar_pairs(space, 0.7), 0.3, together=2)
+    assert {r["text"]: r["cluster"] for r in got.collect()} == brute_linkage([tuple(r) for r in space.collect()], 0.7)
+
+
+def test_a_chain_is_no_cluster(spark):
+    """Each text is near the next one only; what a chain of links would join stays apart where the mean is too far."""
+    texts = [" ".join(f"word{chr(97 + i)}x" * 2 for i in range(n, n + 3)) for n in range(12)]
+    df = spark.createDataFrame([(t,) for t in texts], "topic string")
+    weights = [tuple(r) for r in k.txt_embed(df).collect()]
+    got = {r["text"]: r["cluster"] for r in k.txt_cluster(df, threshold=0.4).collect()}
+    assert got == brute_linkage(weights, 0.4) and len(set(got.values())) > 1
+
+
+def test_a_frequent_gram_is_met_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(f"same {i % 7} {i}",) for i in range(60)], "topic string")
+    space = k.stage(k.txt_embed(df))
+    want = sorted(map(tuple, k.similar_pairs(space).select("a", "b").collect()))
+    monkeypatch.setattr(k, "MEETING", 3)
+    assert sorted(map(tuple, k.similar_pairs(space).select("a", "b").collect())) == want
+
+
 def test_components_follow_long_chains(spark):
     n = 60
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(n)] + [("z1",), ("z2",)], "text string")
