@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as c
 from ..operators.clean import Action
+from ..sources import results, versions
 from .base import entry
 from .planted import TEXTS_SQL, texts
 
@@ -172,3 +173,40 @@ UNION ALL SELECT 3, 'convert_type', 'price', count(*), count(*) FILTER (WHERE TR
 UNION ALL SELECT 4, 'exclude_column', 'eu', count(*), count(eu) FROM d""")
 def _(t):
     return c.ledger(texts(t), STEPS).select("step", "kind", "column", "affected", "lost")
+
+
+def _versioned(t) -> str:
+    """The texts as version 1, cleaned as version 2, and back as version 3."""
+    df = texts(t)
+    path = results.scratch(df.sparkSession, "versions")
+    versions.commit(df, path, "load")
+    c.cln_apply_version(df.sparkSession, path, STEPS, note="plan")
+    versions.undo(df.sparkSession, path)
+    return path
+
+
+@entry(book, "cln_apply_version", f"""
+WITH d AS (SELECT * FROM {TEXTS_SQL})
+SELECT 1::BIGINT AS version, 0::BIGINT AS parent, 'load' AS kind, count(*) AS "rows", count(DISTINCT label) AS labels, count(price) AS prices, count(eu) AS eus FROM d UNION ALL
+SELECT 2, 1, 'clean', count(*), count(DISTINCT upper(trim(label))), count(TRY_CAST(price AS DOUBLE)), 0 FROM d UNION ALL
+SELECT 3, 2, 'undo', count(*), count(DISTINCT label), count(price), count(eu) FROM d""")
+def _(t):
+    spark, path = t("region").sparkSession, _versioned(t)
+    held = None
+    for n in (1, 2, 3):
+        df = versions.read(spark, path, n)
+        eus = F.count("eu") if "eu" in df.columns else F.lit(0).cast("long")
+        one = df.agg(F.lit(n).cast("long").alias("version"), F.count_distinct("label").alias("labels"), F.count("price").alias("prices"), eus.alias("eus"))
+        held = one if held is None else held.unionByName(one)
+    return versions.versions(spark, path).select("version", "parent", "kind", "rows").join(held, "version")
+
+
+@entry(book, "cln_apply_ledger", f"""
+WITH d AS (SELECT *, trim(label) AS tl FROM {TEXTS_SQL}), n AS (SELECT count(*) AS n FROM d)
+SELECT 2::BIGINT AS version, step, kind, "column", affected, n AS rows_before, n AS rows_after FROM n, (
+ SELECT 1 AS step, 'trim' AS kind, 'label' AS "column", count(*) FILTER (WHERE label <> tl) AS affected FROM d
+ UNION ALL SELECT 2, 'case', 'label', count(*) FILTER (WHERE tl <> upper(tl)) FROM d
+ UNION ALL SELECT 3, 'convert_type', 'price', count(*) FROM d UNION ALL SELECT 4, 'exclude_column', 'eu', count(*) FROM d)""")
+def _(t):
+    return versions.ledgers(t("region").sparkSession, _versioned(t)).select(
+        "version", "step", "kind", "column", "affected", "rows_before", "rows_after")

@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from ..errors import Refused
 from ..functions.aggs import FLOATING, is_kind
 from ..functions.staging import spread, stage
 from ..functions.words import MISSING
+from ..sources import versions
 from .profile import DATE_SHAPE, countable, full_row_counts, prof_duplicates, text_columns
 
 #: Share of values a conversion has to read before it is proposed.
@@ -523,3 +524,31 @@ def ledger(df: DataFrame, approved: list[Action], tokens=MISSING) -> DataFrame:
         rows.append(impact(seen, a, tokens).withColumn("step", F.lit(i + 1)))
         seen = apply_one(seen, a, tokens)
     return reduce(DataFrame.unionByName, rows)
+
+
+def cln_apply_version(spark: SparkSession, path: str, approved: list[Action], tokens=MISSING, note: str = "") -> int:
+    """The approved actions on the last version of the table at ``path``, committed as the next one; returns its number.
+
+    All or none: the new version is there once its rows and its ledger are. The version before it stays readable, and
+    ``versions.undo`` leads back to it.
+    """
+    if not approved:
+        raise Refused("NOTHING_APPROVED", path)
+    parent = versions.manifest(spark, path)["version"]
+    before = versions.read(spark, path, parent)
+    return versions.commit(cln_apply(before, approved, tokens), path, "clean", note, counted_ledger(before, approved, tokens), parent)
+
+
+#: Actions that leave out rows.
+_DROPPING = ("drop_duplicates", "drop_header_rows")
+
+
+def counted_ledger(df: DataFrame, approved: list[Action], tokens=MISSING) -> DataFrame:
+    """``ledger`` with the rows before and after each action; only actions that leave out rows are counted again."""
+    seen, n, counts = df, df.count(), []
+    for i, a in enumerate(approved):
+        seen, was = apply_one(seen, a, tokens), n
+        n = seen.count() if a.kind in _DROPPING else n
+        counts.append((i + 1, was, n))
+    rows = df.sparkSession.createDataFrame(counts, "step int, rows_before long, rows_after long")
+    return ledger(df, approved, tokens).join(F.broadcast(rows), "step")
