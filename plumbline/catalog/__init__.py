@@ -1,10 +1,10 @@
 """Named queries over the benchmark tables, each beside the SQL that must give the same answer."""
 
 from . import (cleaning, descriptive, growth, inference, ingest, keywords, people, presets,
-               profiling, quality, relations, scopes, temporal, validation)
+               profiling, quality, relations, scopes, templates, temporal, validation)
 
 MODULES = (scopes, descriptive, temporal, relations, inference, people, growth, profiling, quality,
-           validation, cleaning, ingest, keywords, presets)
+           validation, cleaning, ingest, keywords, presets, templates)
 
 
 def all_queries() -> dict:

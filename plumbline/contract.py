@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from .errors import Refused
 
-AGGREGATES = ("sum", "mean", "median", "min", "max", "count", "count_distinct", "none", "ratio")
+AGGREGATES = ("sum", "mean", "median", "min", "max", "count", "count_distinct", "none", "ratio", "weighted_mean", "level")
 ADDITIVE = ("sum", "count")
 
 
@@ -21,7 +21,8 @@ class Measure:
 
     ``column`` aliases a source column; ``numerator``/``denominator`` make a ratio of sums (a term
     may start with ``-``); ``compare`` is ``(left, op, right)`` with a column name or a number on
-    the right; ``per`` says the value belongs to a unit wider than the row.
+    the right; ``per`` says the value belongs to a unit wider than the row. ``weight`` names the weights of a weighted_mean.
+    A ``level`` (a balance, a stock) is the last value of its ``per`` unit over time, and adds up over units.
     """
 
     name: str
@@ -33,12 +34,22 @@ class Measure:
     compare: tuple | None = None
     per: tuple[str, ...] = ()
     unit: str | None = None
+    weight: str | None = None
 
     def __post_init__(self):
         if self.agg is not None and self.agg not in AGGREGATES:
             raise Refused("UNKNOWN_AGGREGATE", f"{self.name} declares agg={self.agg!r}")
         if self.agg == "ratio" and not (self.numerator and self.denominator):
             raise Refused("RATIO_PARTS", f"{self.name} needs a numerator and a denominator")
+        if self.agg == "weighted_mean" and not self.weight:
+            raise Refused("NO_WEIGHT", f"{self.name} needs a weight")
+        if self.agg == "level" and not self.per:
+            raise Refused("NO_UNIT", f"{self.name} needs the unit whose level it is")
+
+    @property
+    def of_sums(self) -> bool:
+        """Whether it is one sum divided by another."""
+        return self.agg in ("ratio", "weighted_mean")
 
 
 @dataclass(frozen=True)

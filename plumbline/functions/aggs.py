@@ -35,13 +35,15 @@ def non_finite_count(df: DataFrame, column: str) -> Column:
 
 
 def total_needed(m: Measure) -> str:
+    if m.agg == "level":
+        raise Refused("USE_LEVELS", f"{m.name} is a level: the last value over time, then a sum over units")
     if m.agg in (None, "none"):
         raise Refused("NO_TOTAL", f"{m.name} declares agg={m.agg}: it does not combine across rows")
     return m.agg
 
 
 def row_values_needed(m: Measure) -> Measure:
-    if m.agg == "ratio":
+    if m.of_sums:
         raise Refused("RATIO_HAS_NO_ROW_VALUE", f"{m.name} is a ratio of sums")
     return m
 
@@ -64,7 +66,7 @@ def declared(m: Measure, where: Column | None = None) -> Column:
         return c if where is None else F.when(where, c)
 
     c = F.col(m.name)
-    if agg == "ratio":
+    if m.of_sums:
         return F.try_divide(F.sum(keep(c["n"])), F.sum(keep(c["d"])))
     table = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max,
              "count": F.count, "count_distinct": F.count_distinct}

@@ -28,7 +28,7 @@ def summary_stats(scope: Scope) -> DataFrame:
     parts = []
     plain = []
     for m in scope.contract.measures:
-        if m.agg == "ratio":
+        if m.of_sums:
             plain.append((m, scope, "ratio"))
         elif m.per:
             plain.append((m, scope.units([m.name]), "unit"))
@@ -163,7 +163,7 @@ def group_compare(scope: Scope, dimension: str, measure: str) -> DataFrame:
     m = scope.contract.measure(measure)
     scope = scope.for_measure(measure, [dimension])
     scope.contract.dimension(dimension)
-    if m.agg == "ratio":
+    if m.of_sums:
         return _ratio_compare(scope, dimension, m)
     df = scope.df.withColumn("__x", finite(scope.df, measure).cast("double"))
     x = "__x"

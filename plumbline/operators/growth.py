@@ -33,7 +33,7 @@ def _sum(scope: Scope, measure: str, where: Column | None = None) -> Column:
 
 def _ratio(scope: Scope, measure: str):
     m = scope.contract.measure(measure)
-    if m.agg != "ratio":
+    if not m.of_sums:
         raise Refused("NOT_A_RATIO", f"{measure} is agg={m.agg}")
     return m
 

@@ -115,7 +115,7 @@ def bivariate(scope: Scope, measure: str, against: str, bins: int = 10) -> DataF
 def rate_by_bins(scope: Scope, measure: str, against: str, bins: int = 10) -> DataFrame:
     """A ratio of sums across the range of another measure, binned over its distinct values."""
     m = scope.contract.measure(measure)
-    if m.agg != "ratio":
+    if not m.of_sums:
         raise Refused("NOT_A_RATIO", f"{measure} is agg={m.agg}; bivariate reads row values")
     row_values_needed(scope.contract.measure(against))
     df = scope.df.withColumn("x", finite(scope.df, against).cast("double")).where(

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..contract import Contract, Measure
 from ..errors import Refused
-from ..functions.aggs import NUMERIC, TEMPORAL, is_kind, text_of
+from ..functions.aggs import NUMERIC, TEMPORAL, finite, is_kind, text_of
 
 
 def checked_predicate(df: DataFrame, rule: str) -> Column:
@@ -76,6 +76,10 @@ def with_measures(df: DataFrame, contract: Contract) -> DataFrame:
         elif m.agg == "ratio":
             extra[m.name] = F.struct((F.lit(float(m.scale)) * _summed(m.numerator)).alias("n"),
                                      _summed(m.denominator).cast("double").alias("d"))
+        elif m.agg == "weighted_mean":
+            # a row without a value or a weight takes no part; one with weight 0 has no say
+            x, w = finite(df, source).cast("double"), finite(df, m.weight).cast("double")
+            extra[m.name] = F.struct((x * w).alias("n"), F.when(x.isNotNull(), w).alias("d"))
         elif source in df.columns and is_kind(df, source, T.BooleanType):
             extra[m.name] = F.col(source).cast("int")
         elif m.column and m.column != m.name:
