@@ -396,6 +396,8 @@ def _suggest_table(t):
 
 
 @entry(book, "suggest_agg", f"""
+SELECT *, CASE WHEN rule = 'R1' THEN 'revenue' END AS numerator, CASE WHEN rule = 'R1' THEN 'quantity' END AS denominator,
+ CASE WHEN rule = 'R1' THEN 1.0::DOUBLE END AS scale FROM (
 WITH u AS (SELECT count(*) FILTER (WHERE lo <> hi) AS bad FROM (SELECT min(order_fee) AS lo, max(order_fee) AS hi
  FROM {SUGGEST_SQL} GROUP BY order_id)), f AS (SELECT count(*) AS n, count(*) FILTER (WHERE
  abs(unit_price - revenue / quantity) <= 0.00006 + 1e-4 * abs(revenue / quantity)) AS hit FROM {SUGGEST_SQL})
@@ -404,7 +406,7 @@ SELECT 'order_fee' AS measure, 'sum' AS agg, 'strong' AS strength, CASE WHEN bad
 UNION ALL SELECT 'unit_price', 'none', 'strong', CASE WHEN hit >= 0.98 * n THEN 'R1' END, NULL, 'revenue / quantity' FROM f
 UNION ALL SELECT * FROM (VALUES ('quantity', 'sum', 'strong', 'A1', NULL, NULL), ('revenue', 'sum', 'strong', 'A1', NULL, NULL),
  ('discount_pct', 'none', 'strong', 'N2', NULL, NULL), ('returned', 'mean', 'strong', 'F1', NULL, NULL),
- ('zip_code', 'none', 'strong', 'N1', NULL, NULL), ('c7', 'none', 'likely', 'N3', NULL, NULL))""")
+ ('zip_code', 'none', 'strong', 'N1', NULL, NULL), ('c7', 'none', 'likely', 'N3', NULL, NULL)))""")
 def _(t):
     return s.suggest_agg(_suggest_table(t), ["order_fee", "unit_price", "quantity", "revenue", "discount_pct",
                                              "returned", "zip_code", "c7"])

@@ -39,6 +39,13 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as it is if it only reads and projects files, which can be read again column by column; staged otherwise."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dear = ("Exchange", "Join", "Aggregate", "Window", "Generate", "Python", "Pandas", "Arrow")
+    return stage(df) if any(word in plan for word in dear) else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small scan out to every core before work that costs much more than moving it.
 

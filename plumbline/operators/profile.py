@@ -1,7 +1,8 @@
 """What every column holds: counts, ranges, readable types, lengths, coverage and a role.
 
-Distinct counts run as one small aggregate per column, so a columnar source is read once in total
-and no row is multiplied, as several count(distinct) in one aggregate would.
+Distinct counts of all columns take two shuffles: one of bitmaps, for columns of whole numbers, dates and flags that lie
+densely enough, merged before they move; one of values for the rest. Every column is projected by itself, so a columnar source
+is read once in total and no row is multiplied, as several count(distinct) in one aggregate would.
 """
 
 from __future__ import annotations
@@ -72,14 +73,62 @@ def countable(df: DataFrame) -> list[str]:
             if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, distinct`` with one pruned aggregate per column."""
+#: Numbers in one bitmap, and the rows there have to be for each bitmap between a column's ends: as many as fill its bytes.
+BITS, ROWS_A_BITMAP = 32_768, 512
+
+
+def _whole(df: DataFrame, c: str) -> Column | None:
+    """The column's values as whole numbers, one for each, where its type allows."""
+    kind, x = df.schema[c].dataType, F.col(f"`{c}`")
+    if isinstance(kind, (*INTEGRAL, T.BooleanType)):
+        return x.cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(x)
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (x * F.lit(10 ** kind.scale)).cast("long")
+    return None
+
+
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, int]:
+    """Exact distinct values of each column, NULL left out."""
+    return {c: f["distinct"] for c, f in _facts(df, columns or countable(df))[1].items()}
+
+
+def _facts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, dict]]:
+    """Rows, and per column: non_null, low, high (finite, as text) and distinct."""
+    typed = [c for c in columns if not isinstance(df.schema[c].dataType, T.StringType)]
+    # text has its own way below: its minimum would take the numbers' aggregate out of code generation
+    wide = _wide(df, typed).first()
+    facts = {c: {"non_null": wide[f"n{i}"], "low": wide[f"lo{i}"], "high": wide[f"hi{i}"], "distinct": 0} for i, c in enumerate(typed)}
+    bits, values = [], []
+    for i, c in enumerate(columns):
+        whole, kind = _whole(df, c), df.schema[c].dataType
+        if whole is not None:
+            first, last = wide[f"first{typed.index(c)}"], wide[f"last{typed.index(c)}"]
+            if first is None:
+                continue
+            if last - first < max(1, wide["rows"] // ROWS_A_BITMAP) * BITS:
+                bits.append(df.select(F.lit(i).alias("i"), F.bitmap_bucket_number(whole).alias("bucket"), F.bitmap_bit_position(whole).alias("bit")))
+                continue
+        x = F.col(f"`{c}`")
+        number = x.cast("double") if isinstance(kind, FLOATING) else F.lit(None).cast("double")
+        text = x.cast("string") if whole is None and not isinstance(kind, FLOATING) else F.lit(None).cast("string")
+        values.append(df.where(x.isNotNull()).select(
+            F.lit(i).alias("i"), (F.lit(None).cast("long") if whole is None else whole).alias("whole"), number.alias("number"), text.alias("text")))
     parts = []
-    for c in columns or countable(df):
-        values = df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).distinct()
-        parts.append(values.agg(F.count("*").alias("distinct")).select(
-            F.lit(c).alias("column"), "distinct"))
-    return reduce(DataFrame.unionAll, parts)
+    if bits:
+        merged = reduce(DataFrame.unionAll, bits).where("bit IS NOT NULL").groupBy("i", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        parts.append(merged.groupBy("i").agg(F.sum(F.bitmap_count("bits")).alias("distinct"), *[F.lit(None).alias(k) for k in ("n", "low", "high")]))
+    if values:
+        each = reduce(DataFrame.unionAll, values).groupBy("i", "whole", "number", "text").agg(F.count("*").alias("n"))
+        parts.append(each.groupBy("i").agg(F.count("*").alias("distinct"), F.sum("n").alias("n"), F.min("text").alias("low"), F.max("text").alias("high")))
+    for r in reduce(DataFrame.unionAll, parts).collect() if parts else ():  # one row per column
+        held = facts.setdefault(columns[r["i"]], {"non_null": r["n"], "low": r["low"], "high": r["high"]})
+        held["distinct"] = r["distinct"]
+    none = {"non_null": 0, "low": None, "high": None, "distinct": 0}
+    return wide["rows"], {c: facts.get(c, none) for c in columns}
 
 
 def _wide(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,18 +137,22 @@ def _wide(df: DataFrame, columns: list[str]) -> DataFrame:
         x = finite(df, c) if is_kind(df, c, FLOATING) else F.col(f"`{c}`")
         aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.min(x).cast("string").alias(f"lo{i}"),
                  F.max(x).cast("string").alias(f"hi{i}")]
+        whole = _whole(df, c)
+        if whole is not None:
+            aggs += [F.min(whole).alias(f"first{i}"), F.max(whole).alias(f"last{i}")]
     return df.agg(*aggs)
 
 
+PROFILE = "column string, position int, rows long, non_null long, low string, high string, distinct long"
+
+
 def prof_columns(df: DataFrame) -> DataFrame:
     """One row per column: rows, non-null, exact distinct, finite min and max as text."""
     columns = countable(df)
-    rows = _wide(df, columns).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col("rows"),
-                 F.col(f"n{i}").alias("non_null"), F.col(f"lo{i}").alias("low"),
-                 F.col(f"hi{i}").alias("high")) for i, c in enumerate(columns)])))
-    # one row per column on both sides
-    return rows.join(F.broadcast(distinct_counts(df, columns)), "column")
+    if not columns:
+        return rows_frame(df, [], PROFILE)
+    rows, facts = _facts(df, columns)
+    return rows_frame(df, [(c, i, rows, *(facts[c][k] for k in ("non_null", "low", "high", "distinct"))) for i, c in enumerate(columns)], PROFILE)
 
 
 def evidence(df: DataFrame) -> list[Column_]:

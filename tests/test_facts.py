@@ -231,6 +231,28 @@ def test_ratio_search_does_not_depend_on_the_order_of_rows(spark):
         assert found and found[0] == "a / b"
 
 
+def test_formulae_are_counted_as_spark_reads_them(spark):
+    """Missing values, zeros, NaN and infinities, against the same formulae as columns."""
+    from pyspark.sql import functions as F
+    from plumbline.operators.suggest import FORMS, counted
+    import random
+    r = random.Random(3)
+    pool = [None, 0.0, -0.0, 1.0, 2.0, 0.5, 50.0, 1e-320, 1e300, float("nan"), float("inf"), -3.0]
+    df = spark.createDataFrame([tuple(r.choice(pool) for _ in range(3)) for _ in range(3000)], "x double, a double, b double")
+    tries = [("x", p, q, k) for p, q in (("a", "b"), ("b", "a")) for k in range(len(FORMS))]
+    got = counted(df, tries)
+    rows = df.where("x IS NOT NULL AND x <> 0")
+    for m, p, q, k in tries:
+        a, b, scale = F.col(p), F.col(q), FORMS[k][3]
+        y = F.try_divide(F.lit(scale) * ((a - b) if k in (2, 3) else a), a if k in (2, 3) else b)
+        tol = 0.00006 if scale == 1.0 else 0.006
+        gap = F.abs(F.col("x") - y)
+        fits = ~F.isnan(gap) & (gap <= F.lit(tol) + F.lit(1e-4) * F.abs(y))
+        want = rows.agg(F.count(y), F.count_if(F.coalesce(fits, F.lit(False)))).first()
+        assert got[m, p, q, k] == tuple(want), (p, q, k)
+    assert counted(df.where("false"), tries) == dict.fromkeys(tries, (0, 0))
+
+
 def test_more_groups_than_a_page_holds(spark):
     from plumbline import Contract, Measure, Scope
     from plumbline.operators import describe, infer, temporal

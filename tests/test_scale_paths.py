@@ -108,3 +108,28 @@ def test_checkpoint_folder_is_the_sessions(spark):
     used = staging.checkpoint_dir(spark)
     if configured:
         assert configured.rstrip("/") in used
+
+
+def test_distinct_counts_of_all_types(spark, monkeypatch):
+    from plumbline.operators import profile
+    r = random.Random(2)
+    pool = [None, -1, 0, 1, 32_767, 32_768, 32_769, -32_768, 10 ** 9, 2 ** 62, -2 ** 62]
+    rows = [(r.choice(pool), r.choice(pool[:8]), r.choice([None, -0.0, 0.0, 1.5, float("nan"), float("inf")]), r.choice([None, "", "a", "A", "é"]),
+             r.choice([None, True, False]), i % 7, None) for i in range(900)]
+    df = spark.createDataFrame(rows, "l long, d long, f double, s string, b boolean, k long, e int").select(
+        "*", F.date_add(F.lit("2024-01-01").cast("date"), F.col("k").cast("int")).alias("day"), F.timestamp_micros(F.coalesce("d", "k")).alias("ts"),
+        (F.col("k") / 100 - 0.03).cast("decimal(9,2)").alias("dec"), F.col("k").cast("decimal(30,3)").alias("big"), F.col("k").cast("float").alias("real"))
+    want = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    for rows_a_bitmap in (512, 1, 10 ** 9):
+        monkeypatch.setattr(profile, "ROWS_A_BITMAP", rows_a_bitmap)
+        assert profile.distinct_counts(df) == want
+    assert profile.distinct_counts(df.where("false")) == dict.fromkeys(df.columns, 0)
+
+
+def test_profiling_takes_two_shuffles(spark, monkeypatch):
+    """Bitmaps of all columns move in one exchange, values of all others in another; besides these, only one row per column does."""
+    from plumbline.operators import profile
+    seen, facts = [], profile._facts
+    monkeypatch.setattr(profile, "reduce", lambda f, parts: seen.append(len(parts)) or __import__("functools").reduce(f, parts))
+    rows, held = facts(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"), ["l_orderkey", "l_partkey", "l_tax", "l_returnflag", "l_shipdate"])
+    assert seen == [2, 3] and rows > 0 and held["l_returnflag"]["distinct"] == 3
