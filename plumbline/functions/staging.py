@@ -8,6 +8,7 @@ lost executors.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,10 +41,17 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as it is if it only reads and projects files, which can be read again column by column; staged otherwise."""
+    """``df`` as it is if it only reads and projects files, which can be read again column by column; else written as such.
+
+    The files lie beside the checkpoints, in the cluster's scratch folder.
+    """
     plan = df._jdf.queryExecution().executedPlan().toString()
-    dear = ("Exchange", "Join", "Aggregate", "Window", "Generate", "Python", "Pandas", "Arrow")
-    return stage(df) if any(word in plan for word in dear) else df
+    dear = ("Exchange", "Join", "Aggregate", "Window", "Generate", "Python", "Pandas", "Arrow", "ExistingRDD")
+    if not any(word in plan for word in dear):
+        return df
+    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
