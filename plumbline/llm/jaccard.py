@@ -19,6 +19,7 @@ never is the smallest unless alone; an empty table gives an empty result; other
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -195,6 +196,10 @@ def links(docs: DataFrame, found: DataFrame, counts: np.ndarray, words: int = WO
     chosen = found.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     key = ["leader", "band", "low", "high"]
     work = units.join(chosen, "node").join(docs, "doc_id").select(*key, "node", "text")
+    if not found.where("doc_id IS NULL AND node IS NOT NULL").isEmpty():
+        # sets that only rows without an id hold are found by their node
+        nameless = with_node(docs.where("doc_id IS NULL"), words).join(chosen.where("doc_id IS NULL").select("node"), "node")
+        work = work.unionByName(units.join(nameless.groupBy("node").agg(F.min("text").alias("text")), "node").select(*key, "node", "text"))
     work = work.repartition(*key).sortWithinPartitions(*key, "node")
 
     def groups(batches):
@@ -227,29 +232,50 @@ def links(docs: DataFrame, found: DataFrame, counts: np.ndarray, words: int = WO
     return work.mapInArrow(verify, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
+def with_node(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with ``node``, the hash of each text's set; null without words."""
+    def of(texts: pd.Series) -> pd.Series:
+        held = (shingles(t, words) for t in texts)
+        return pd.Series([node(h) if len(h) else None for h in held], index=texts.index, dtype="Int64")
+    return docs.withColumn("node", F.pandas_udf(of, "long")(F.col("text")))
+
+
+def grouped(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """One row per document: doc_id, n, node, component_id (null without words), and ``first``, the node that stands for the
+    component: the smallest one of its smallest doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stage(sets(docs, words))
     together = components(links(docs, found, frequencies(docs, words), words, over, under))
-    # copies of a set, and then the sets of a component, by their smallest document
+    # copies of a set, and then the sets of a component, by their smallest document; documents without an id come last
     nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = stage(nodes.join(together, nodes["node"] == together["id"], "left").select("node", "first", F.coalesce("component", "node").alias("component")))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    final = named.join(smallest, "component").select("node", "component_id")
-    out = found.select("doc_id", "n", "node").join(final, "node", "left")
+    smallest = named.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "node")).alias("s"))
+    final = named.join(smallest, "component").select("node", F.col("s.first").alias("component_id"), F.col("s.node").alias("first"))
+    return found.select("doc_id", "n", "node").join(final, "node", "left")
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
+    out = grouped(docs, words, over, under)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each component the document with the smallest id stays.
 
-    Rows that repeat doc_id and text are one document, and one of them stays; rows that share the doc_id alone stay or go
-    together. Documents without words, and those without an id, all stay.
+    Rows that repeat doc_id and text are one document, and one of them stays. Rows that share the doc_id alone are documents
+    of their own: each goes only if its own text is a copy. Documents without words, and those without an id, all stay.
     """
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-        docs = named.unionByName(docs.where("doc_id IS NULL"))
-    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not repeated:
+        gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    docs = named.unionByName(docs.where("doc_id IS NULL"))
+    copies = grouped(docs).where("doc_id IS NOT NULL AND (doc_id <> component_id OR node <> first)")
+    gone = stage(copies.select("doc_id", "node").distinct())
+    ids = gone.select("doc_id").distinct()
+    suspects = with_node(docs.join(ids, "doc_id", "left_semi")) if "node" not in docs.columns else with_node(
+        docs.join(ids, "doc_id", "left_semi").withColumnRenamed("node", "__node"))
+    left = suspects.join(gone, ["doc_id", "node"], "left_anti").drop("node").withColumnRenamed("__node", "node")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(left.select(*docs.columns))

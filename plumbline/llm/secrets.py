@@ -59,10 +59,16 @@ def _random(run: str) -> bool:
     return {"0", "a", "A"} <= set(kinds) and sum(a != b for a, b in zip(kinds, kinds[1:])) * 3 >= len(run)
 
 
-def _near(part: Span, starts: list[int], spans: list[Span]) -> bool:
-    """Whether one of ``spans`` (sorted, their ``starts`` beside them) begins in the scope of ``part``."""
-    at = bisect_left(starts, part[0] - SCOPE)
-    return at < len(spans) and starts[at] <= part[1] + SCOPE
+def _near(part: Span, starts: list[int], ends: list[int]) -> bool:
+    """Whether a span with one of ``starts`` or ``ends`` (both sorted) lies wholly before or after ``part``, in its scope."""
+    after, before = bisect_left(starts, part[1]), bisect_left(ends, part[0] - SCOPE)
+    return (after < len(starts) and starts[after] <= part[1] + SCOPE) or (before < len(ends) and ends[before] <= part[0])
+
+
+def _clear(span: Span, others: list[Span], ends: list[int]) -> bool:
+    """Whether ``span`` overlaps none of ``others``, which are sorted and don't overlap each other."""
+    at = bisect_left(ends, span[0] + 1)
+    return at == len(others) or others[at][0] >= span[1]
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
@@ -71,20 +77,15 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     access = [s for s in base if s[2] == "access"]
     if not idents and not access:
         return []  # every link has an identifier
-    taken = [s[:2] for s in base]
-    ends = [e for _, e in taken]
-
-    def free(span: Span) -> bool:
-        at = bisect_left(ends, span[0] + 1)
-        return all(a >= span[1] for a, _ in taken[at:at + 2])
-
-    secrets = [s for m in _RANDOM.finditer(text) if _random(m[0]) and free(s := (*m.span(), "secret"))]
     endpoints = [(*m.span(), "endpoint") for m in _ENDPOINT.finditer(text)]
+    held = [sorted(s for s in base if s[2] == kind) for kind in KINDS[:3]] + [idents, endpoints]
+    held = [(spans, [s[1] for s in spans]) for spans in held]
+    random = [(*m.span(), "secret") for m in _RANDOM.finditer(text) if _random(m[0])]
+    secrets = [s for s in random if all(_clear(s, spans, ends) for spans, ends in held)]
     strong = [s for s in base if s[2] != "access"]
-    names, values = sorted(idents + access), sorted(secrets + strong)
-    name_at, value_at = [s[0] for s in names], [s[0] for s in values]
-    out = [s for s in secrets if _near(s, name_at, names)] + [s for s in idents if _near(s, value_at, values)]
-    return out + [s for s in endpoints if _near(s, name_at, names) and _near(s, value_at, values)]
+    names, values = [sorted(s[k] for s in idents + access) for k in (0, 1)], [sorted(s[k] for s in secrets + strong) for k in (0, 1)]
+    out = [s for s in secrets if _near(s, *names)] + [s for s in idents if _near(s, *values)]
+    return out + [s for s in endpoints if _near(s, *names) and _near(s, *values)]
 
 
 def _joined(spans: list[Span]) -> str:

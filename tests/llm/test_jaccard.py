@@ -97,3 +97,28 @@ def test_suffix_filter_and_verification_agree_with_sets():
                     parent = [low if p == high else p for p in parent]
                     changed = True
     assert got.tolist() == parent
+
+
+def test_a_chain_through_a_row_without_an_id(spark, documents):
+    words = [f"w{i}" for i in range(60)]
+    first, middle, last = " ".join(words), " ".join(words[6:] + ["x"]), " ".join(words[12:] + ["x", "y", "z", "q"])
+    assert not linked_by_brute(first, last) and linked_by_brute(first, middle) and linked_by_brute(middle, last)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_copies(documents([(1, first), (None, middle), (3, last)])).collect()}
+    assert got == {(1, 1), (None, 1), (3, 1)}
+
+
+def linked_by_brute(a, b):
+    x, y = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
+def test_documents_that_share_an_id_are_judged_by_their_own_text(spark, documents):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    near = b + " more"
+    docs = documents([(1, a), (2, a), (2, c), (2, c), (5, b), (5, near), (None, a), (7, None), (7, "")])
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.kept(docs).collect()), key=repr)
+    fives = [t for i, t in got if i == 5]
+    assert len(fives) == 1 and fives[0] in (b, near)
+    assert [g for g in got if g[0] != 5] == sorted([(1, a), (2, c), (None, a), (7, None), (7, "")], key=repr)
+    extra = documents([(1, a, "s", 9), (2, a, "s", 8), (2, c, "s", 7)], ", node int")
+    assert sorted((r["doc_id"], r["node"]) for r in jaccard.kept(extra).collect()) == [(1, 9), (2, 7)]

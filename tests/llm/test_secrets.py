@@ -49,3 +49,38 @@ def test_redaction_keeps_rows_and_hides_values(spark, documents):
 
 def test_empty_table(spark, documents):
     assert secrets.scan(documents([])).count() == 0
+
+
+def brute_links(text):
+    """Weak parts by comparing every pair of spans."""
+    base = secrets.base_spans(text)
+    def every(pattern, kind):
+        return [(*m.span(), kind) for m in pattern.finditer(text)]
+    idents, endpoints = every(secrets._IDENT, "ident"), every(secrets._ENDPOINT, "endpoint")
+    def overlap(s, t):
+        return s[0] < t[1] and t[0] < s[1]
+    def near(s, others):
+        return any(not overlap(s, t) and max(s[0], t[0]) - min(s[1], t[1]) <= secrets.SCOPE for t in others)
+    values = [s for s in every(secrets._RANDOM, "secret") if secrets._random(text[s[0]:s[1]]) and not any(overlap(s, t) for t in base + idents + endpoints)]
+    names = idents + [s for s in base if s[2] == "access"]
+    strong = values + [s for s in base if s[2] != "access"]
+    return sorted([s for s in values if near(s, names)] + [s for s in idents if near(s, strong)] + [s for s in endpoints if near(s, names) and near(s, strong)])
+
+
+def test_links_against_all_pairs():
+    import random
+    r = random.Random(5)
+    token = "aB3dE5gH7jK9mN1pQ2rS4tU6"
+    parts = ["user=bob", f"user = {token}", token, f"https://x.example/{token}", f"login: https://x.example/{token}", "password=hunter22", "AKIA" + "A1" * 9,
+             "0123456789abcdef" * 2, token * 15, f"account: {'0123456789abcdef' * 2}", "host=db.example:5432"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) + r.choice([" ", "\n", " word " * r.choice([1, 20, 40, 47, 48, 49, 60])]) for _ in range(r.randint(1, 5)))
+        assert sorted(secrets.linked_spans(text, secrets.base_spans(text))) == brute_links(text), text
+
+
+def test_one_token_is_no_pair():
+    token = "aB3dE5gH7jK9mN1pQ2rS4tU6"
+    for text in (f"user = {token}", f"login: https://x.example/{token}"):
+        assert secrets.linked_spans(text, secrets.base_spans(text)) == []
+    long = f"{token * 15} user=bob"
+    assert {s[2] for s in secrets.linked_spans(long, secrets.base_spans(long))} == {"ident", "secret"}
