@@ -223,14 +223,24 @@ WITH e AS (SELECT user_id AS k, ts::DATE AS d, row_number() OVER (PARTITION BY u
 SELECT a.k AS user_id, date_diff('day', a.d, b.d) AS gap FROM e a JOIN e b ON a.k = b.k
 AND a.seq = 1 AND b.seq = 2""")
 def _(t):
-    # the two earliest events of a user from two mergeable aggregates: no self-join, and no user's
-    # events are gathered or sorted in one place
+    from ..functions.sequence import with_neighbours
     e = t("events").select("user_id", "ts", "event_id")
-    first = e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("a"))
-    rest = e.join(first, "user_id").where(F.struct("ts", "event_id") > F.col("a"))
-    second = rest.groupBy("user_id").agg(F.min("ts").alias("b"), F.first("a").alias("a"))
-    return second.select("user_id", F.datediff(F.col("b").cast("date"),
-                                               F.col("a")["ts"].cast("date")).alias("gap"))
+    rows = with_neighbours(e, ["user_id"], ["ts", "event_id"], following={"second": "ts"}, first="opens")
+    return rows.where("opens AND second IS NOT NULL AND user_id IS NOT NULL").select(
+        "user_id", F.datediff(F.col("second").cast("date"), F.col("ts").cast("date")).alias("gap"))
+
+
+@entry(book, "join_self_event_gaps", """
+SELECT user_id, event_id, date_diff('day', lag(ts) OVER w, ts) AS since, date_diff('day', ts, lead(ts) OVER w) AS until,
+ lead(event_type) OVER w AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def _(t):
+    """Every event with the days since the user's last and until the next one."""
+    from ..functions.sequence import with_neighbours
+    e = t("events").select("user_id", "ts", "event_id", "event_type")
+    rows = with_neighbours(e, ["user_id"], ["ts", "event_id"], following={"next_ts": "ts", "next_type": "event_type"}, preceding={"last_ts": "ts"})
+    day = lambda c: F.col(c).cast("date")
+    return rows.select("user_id", "event_id", F.datediff(day("ts"), day("last_ts")).alias("since"),
+                       F.datediff(day("next_ts"), day("ts")).alias("until"), "next_type")
 
 
 @entry(book, "join_cohort", """
