@@ -450,13 +450,57 @@ def group_keywords(df: DataFrame, column: str, facets: dict[str, list[str]] | No
     return txt_groups(read, txt_cluster(read, "topic", threshold))
 
 
+#: Inverted lists are cut at weights of 1/2, 1/4 and so on; the last part takes all that is left.
+LEVELS = 10
+
+
+def nearest_group(topics: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
+    """``text, lead, b(distance, group)``: the nearest centroid within ``threshold`` of each text, ties to the smaller name.
+
+    ``topics`` is (text, lead, gram, weight), ``centroids`` (group, lead, gram, centroid); no weight is negative. Exact.
+    """
+    least = 1 - threshold
+    centroids = stage(centroids)
+    near = candidates(topics, centroids, least).select("text", "lead", "group")
+    cos = topics.join(near, ["text", "lead"]).join(centroids, ["group", "lead", "gram"]).groupBy("text", "lead", "group").agg(
+        F.sum(F.col("weight") * F.col("centroid")).alias("cos"))
+    best = cos.groupBy("text", "lead").agg(F.min(F.struct((F.lit(1.0) - F.col("cos")).alias("distance"), "group")).alias("b"))
+    return best.where(F.col("b.distance") <= threshold)
+
+
+def candidates(topics: DataFrame, centroids: DataFrame, least: float) -> DataFrame:
+    """``text, lead, group``: pairs that can reach the cosine and be the text's best; every such pair is among them.
+
+    The list of a gram holds the groups by falling weight, cut into levels. A text reads its lists down to the first level
+    below which all that is left could not reach ``least``: a group met nowhere above it is out. A group that was met is
+    out once its sum and the most that the rest could add stay below ``least``, or below what another group has already.
+    """
+    level = F.least(F.floor(-F.log2("centroid")), F.lit(LEVELS - 1)).cast("int")
+    entries = centroids.where("centroid > 0").withColumn("level", F.greatest(level, F.lit(0)))
+    # the largest weight beyond each level, per list
+    beyond = entries.groupBy("gram", "lead").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("level") > j, F.col("centroid"))), F.lit(0.0)) for j in range(LEVELS)]).alias("beyond"))
+    lists = topics.join(beyond, ["gram", "lead"])
+    rests = lists.groupBy("text", "lead").agg(*[F.sum(F.col("weight") * F.col("beyond")[j]).alias(f"r{j}") for j in range(LEVELS)])
+    # rounding must not lose a pair that just reaches the threshold
+    slack = 1e-9
+    depth = F.lit(LEVELS - 1)
+    for j in reversed(range(LEVELS - 1)):
+        depth = F.when(F.col(f"r{j}") < least - slack, F.lit(j)).otherwise(depth)
+    read = lists.join(rests.select("text", "lead", depth.alias("depth"), F.array(*[f"r{j}" for j in range(LEVELS)])[depth].alias("rest")), ["text", "lead"])
+    read = read.select("text", "lead", "gram", "weight", "depth", "rest", F.col("beyond")[F.col("depth")].alias("below"))
+    met = read.join(entries, ["gram", "lead"]).where("level <= depth")
+    sums = met.groupBy("text", "lead", "group").agg(F.sum(F.col("weight") * F.col("centroid")).alias("sure"),
+                                                    (F.first("rest") - F.sum(F.col("weight") * F.col("below"))).alias("open"))
+    # as many rows of a text as groups it can belong to
+    most = F.max("sure").over(Window.partitionBy("text", "lead"))
+    return sums.withColumn("most", most).where(F.col("sure") + F.col("open") + slack >= F.greatest("most", F.lit(least)))
+
+
 def txt_carry_forward(new: DataFrame, approved: DataFrame, threshold: float = THRESHOLD,
                       facets: dict[str, list[str]] | None = None) -> DataFrame:
     """New keywords (``keyword``) that belong to an approved group (``keyword, group``): the same
-    leading facet, and a topic within the threshold of the group's centroid.
-
-    The distance is summed over shared grams, so a keyword only meets groups it has grams in common
-    with.
+    leading facet, and a topic within the threshold of the group's centroid; the nearest, then the first by name.
     """
     lists = facets or load_facets()
 
@@ -474,11 +518,7 @@ def txt_carry_forward(new: DataFrame, approved: DataFrame, threshold: float = TH
     members = a.select("group", F.col("topic").alias("text")).join(space, "text")
     c = _centroids(members, "group").join(led, "group")
     topics = n.select("lead", F.col("topic").alias("text")).distinct().join(space, "text")
-    cos = topics.join(c, ["gram", "lead"]).groupBy("text", "lead", "group").agg(
-        F.sum(F.col("weight") * F.col("centroid")).alias("cos"))
-    best = cos.groupBy("text", "lead").agg(F.min(F.struct(
-        (F.lit(1.0) - F.col("cos")).alias("distance"), "group")).alias("b"))
-    best = best.where(F.col("b.distance") <= threshold)
+    best = nearest_group(topics, c, threshold)
     return n.join(best.withColumnRenamed("text", "topic"), ["topic", "lead"]).select(
         "keyword", F.col("b.group").alias("group"), F.round("b.distance", 3).alias("distance"))
 

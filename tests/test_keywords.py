@@ -173,3 +173,47 @@ def test_normalise_keeps_scripts(spark):
     got = {r["keyword"]: r["spellings"] for r in k.txt_normalise(df, "kw").collect()}
     assert got["sushi roll"] == 2 and len(got) == 2
     assert F is not None
+
+
+def _grams(spark, seed, texts, groups, grams):
+    """Unit vectors of texts and groups over skewed grams; one gram is in nearly all."""
+    rng = random.Random(seed)
+
+    def vector():
+        held = {0: rng.random()} if rng.random() < 0.9 else {}
+        held.update({int(grams * rng.random() ** 3): rng.random() ** 4 for _ in range(rng.randint(1, 9))})
+        norm = sum(w * w for w in held.values()) ** 0.5
+        return {g: w / norm for g, w in held.items()} if norm else {1: 1.0}
+
+    t = [(f"t{i}", rng.choice(["", "x"]), vector()) for i in range(texts)]
+    c = [(f"g{i:03d}", rng.choice(["", "x"]), vector()) for i in range(groups)]
+    c += [("twin", lead, v) for _, lead, v in c[:1]]
+    flat = lambda rows: [(name, lead, g, w) for name, lead, v in rows for g, w in v.items()]
+    return t, c, spark.createDataFrame(flat(t), "text string, lead string, gram int, weight double"), spark.createDataFrame(
+        flat(c), "group string, lead string, gram int, centroid double")
+
+
+def test_nearest_group_equals_brute_force(spark):
+    for seed, threshold in ((1, 0.6), (2, 0.3), (3, 0.95)):
+        t, c, topics, centroids = _grams(spark, seed, 150, 60, 400)
+        want = {}
+        for name, lead, v in t:
+            held = [(round(1 - sum(w * u.get(g, 0.0) for g, w in v.items()), 9), group) for group, of, u in c if of == lead]
+            best = min(x for x in held)
+            if best[0] <= threshold:
+                want[name, lead] = best
+        got = {(r["text"], r["lead"]): (round(r["b"]["distance"], 9), r["b"]["group"]) for r in k.nearest_group(topics, centroids, threshold).collect()}
+        assert {x: d for x, (d, _) in got.items()} == {x: d for x, (d, _) in want.items()}
+        # names may differ only where two groups are equally near
+        assert all(got[x][1] == g or got[x][1] in ("twin", "g000") for x, (_, g) in want.items())
+
+
+def test_few_candidates_are_verified(spark):
+    t, c, topics, centroids = _grams(spark, 7, 300, 120, 3000)
+    assert 0 < k.candidates(topics, centroids, 0.4).count() < 300 * 120 / 10
+
+
+def test_nearest_group_of_nothing(spark):
+    _, _, topics, centroids = _grams(spark, 7, 5, 5, 50)
+    assert k.nearest_group(topics.limit(0), centroids, 0.6).count() == 0
+    assert k.nearest_group(topics, centroids.limit(0), 0.6).count() == 0
