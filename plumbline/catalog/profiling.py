@@ -410,3 +410,27 @@ UNION ALL SELECT * FROM (VALUES ('quantity', 'sum', 'strong', 'A1', NULL, NULL),
 def _(t):
     return s.suggest_agg(_suggest_table(t), ["order_fee", "unit_price", "quantity", "revenue", "discount_pct",
                                              "returned", "zip_code", "c7"])
+
+
+@entry(book, "draft_review", f"""
+WITH u AS (SELECT count(*) AS n, count(DISTINCT (order_id, zip_code)) AS d FROM {SUGGEST_SQL}),
+ p AS (SELECT count(*) FILTER (WHERE f0 <> f1) AS fee, count(*) FILTER (WHERE q0 <> q1) AS quantity FROM (SELECT min(order_fee) AS f0,
+ max(order_fee) AS f1, min(quantity) AS q0, max(quantity) AS q1 FROM {SUGGEST_SQL} GROUP BY order_id)),
+ r AS (SELECT count(*) AS n, count(*) FILTER (WHERE abs(unit_price - revenue / quantity) <= 0.00006 + 1e-4 * abs(revenue / quantity)) AS hit
+ FROM {SUGGEST_SQL}),
+ f AS (SELECT min(returned) = 0 AND max(returned) = 1 AS returned, min(quantity) = 0 AND max(quantity) = 1 AS quantity FROM {SUGGEST_SQL})
+SELECT 'primary_key' AS field, 'order_id,zip_code' AS drafted, CASE WHEN n = d THEN 'order_id,zip_code' END AS kept,
+ CASE WHEN n = d THEN 'agrees' ELSE 'overruled' END AS status FROM u
+UNION ALL SELECT 'measures[order_fee].agg', 'sum', 'sum', 'agrees'
+UNION ALL SELECT 'measures[unit_price].agg', 'sum', CASE WHEN hit >= 0.98 * n THEN 'none' END, 'overruled' FROM r
+UNION ALL SELECT 'measures[quantity].agg', 'sum', 'sum', 'agrees'
+UNION ALL SELECT 'measures[order_id].agg', 'sum', 'count_distinct', 'overruled'
+UNION ALL SELECT 'measures[quantity].per', 'order_id', CASE WHEN quantity = 0 THEN 'order_id' END, CASE WHEN quantity = 0 THEN 'agrees' ELSE 'overruled' END FROM p
+UNION ALL SELECT 'measures[order_fee].per', NULL, CASE WHEN fee = 0 THEN 'order_id' END, 'found' FROM p
+UNION ALL SELECT 'measures[unit_price].ratio', NULL, CASE WHEN hit >= 0.98 * n THEN 'revenue / quantity' END, 'found' FROM r
+UNION ALL SELECT 'measures[return_rate].flag', 'returned', CASE WHEN returned THEN 'returned' END, CASE WHEN returned THEN 'agrees' ELSE 'overruled' END FROM f
+UNION ALL SELECT 'measures[bulk_rate].flag', 'quantity', CASE WHEN quantity THEN 'quantity' END, CASE WHEN quantity THEN 'agrees' ELSE 'overruled' END FROM f""")
+def _(t):
+    return k.draft_review(_suggest_table(t), {
+        "primary_key": ["order_id", "zip_code"], "units": {"quantity": "order_id"}, "flags": {"return_rate": "returned", "bulk_rate": "quantity"},
+        "measures": {"order_fee": "sum", "unit_price": "sum", "quantity": "sum", "order_id": "sum"}})

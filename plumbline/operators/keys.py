@@ -321,33 +321,133 @@ def metric_propose(df: DataFrame, name: str, left: str, op: str, right) -> DataF
                   F.sum(x).alias("true_rows"))
 
 
-def draft_check(df: DataFrame, draft: dict) -> DataFrame:
-    """A drafted contract against the data: each field agrees, is overruled, blocked or unproven."""
+def constant_within(df: DataFrame, unit: list[str], measures: list[str]) -> dict[str, bool]:
+    """Whether each measure is the same on every row of each unit; a value beside a NULL is not."""
+    if not measures:
+        return {}
+    differs = [(~F.min(m).eqNullSafe(F.max(m))) | ((F.count(m) > 0) & (F.count(m) < F.count("*"))) for m in measures]
+    per = df.groupBy(*[F.col(u) for u in unit]).agg(*[d.alias(f"v{i}") for i, d in enumerate(differs)])
+    bad = per.agg(*[F.count_if(f"v{i}") for i in range(len(measures))]).first()
+    return {m: bad[i] == 0 for i, m in enumerate(measures)}
+
+
+def _joined(names) -> str | None:
+    return ",".join(names) or None
+
+
+def _draft_units(df: DataFrame, drafted: dict, by: dict, rules: dict) -> list[tuple]:
+    """A measure's unit holds if its value never varies within it; the data's own unit takes the place of one that fails."""
+    asked = {}
+    for m, unit in drafted.items():
+        unit = [unit] if isinstance(unit, str) else list(unit)
+        asked.setdefault(tuple(unit), []).append(m)
+    holds = {}
+    for unit, ms in asked.items():
+        if unit and all(u in by for u in unit):
+            holds.update({(m, unit): ok for m, ok in constant_within(df, list(unit), [m for m in ms if m in by and m not in unit]).items()})
+    out = []
+    for unit, ms in asked.items():
+        for m in ms:
+            said, found = _joined(unit), rules[m][4] if m in rules else None
+            if (m, unit) not in holds:
+                out.append((f"measures[{m}].per", said, None, "blocked"))
+            elif holds[m, unit]:
+                out.append((f"measures[{m}].per", said, said, "agrees" if found == said else "unproven"))
+            else:
+                out.append((f"measures[{m}].per", said, found, "overruled"))
+    return out
+
+
+def _draft_ratios(df: DataFrame, drafted: dict, by: dict, rules: dict) -> list[tuple]:
+    """A drafted ratio (top, bottom) holds if it is the formula that the measure follows over all rows."""
+    from .suggest import FORMS, ratios
+    out = []
+    for m, (top, bottom) in drafted.items():
+        said, parts = f"{top} / {bottom}", [x.strip(" -") for x in f"{top},{bottom}".split(",")]
+        if any(c not in by or not by[c].numeric for c in (m, *parts)):
+            out.append((f"measures[{m}].ratio", said, None, "blocked"))
+            continue
+        found = _formula(rules.get(m))
+        if found != said:
+            # the drafted parts alone, in every formula that they can form
+            best = ratios(df, [m], list(dict.fromkeys(parts))).get(m) if len(set(parts)) > 1 else None
+            own = best and tuple(x.format(a=best[0], b=best[1]) for x in FORMS[best[2]][1:3])
+            found = said if own == (top, bottom) else found or (own and " / ".join(own))
+        out.append((f"measures[{m}].ratio", said, found, "agrees" if found == said else "overruled"))
+    return out
+
+
+def _formula(rule: tuple | None) -> str | None:
+    return f"{rule[6]} / {rule[7]}" if rule and rule[3] == "R1" else None
+
+
+def _draft_flags(drafted: dict, by: dict) -> list[tuple]:
+    """A rate needs a column of two values, 0 and 1 or false and true."""
+    return [(f"measures[{name}].flag", c, c if c in by and by[c].flag else None,
+             "blocked" if c not in by else "agrees" if by[c].flag else "overruled") for name, c in drafted.items()]
+
+
+def draft_review(df: DataFrame, draft: dict) -> DataFrame:
+    """``draft_check`` with the units, ratios and flags of a draft, and what the data adds to it.
+
+    ``draft`` may hold ``units`` {measure: columns}, ``ratios`` {measure: (numerator, denominator)} and ``flags`` {rate:
+    column} beside what ``draft_check`` reads. ``found`` marks what the draft left out: the only date column, a measure's
+    unit, a ratio's parts, rates of flags, and the window that the date column spans.
+    """
     from .suggest import suggestions
     ev = evidence(df)
     by = {c.name: c for c in ev}
-    out = []
+    wanted, units, formulae, flags = (dict(draft.get(k) or {}) for k in ("measures", "units", "ratios", "flags"))
+    numbers = [c.name for c in ev if c.numeric and role_of(c) != "identifier"]
+    # a ratio's parts may be columns that the draft does not name; an identifier is a unit, whatever the draft calls it
+    asked = list(dict.fromkeys(m for m in (*wanted, *units, *formulae, *numbers) if m in by and role_of(by[m]) != "identifier"))
+    rules = {r[0]: r for r in suggestions(df, asked, ev)}
     temporal = [c.name for c in ev if c.temporal]
-    date = draft.get("date_column")
-    if date:
-        out.append(("date_column", date, date if date in temporal else None,
-                    "blocked" if date not in temporal
-                    else "agrees" if len(temporal) == 1 else "unproven"))
-    key = draft.get("primary_key")
-    if key:
-        if any(k not in by for k in key):
-            out.append(("primary_key", ",".join(key), None, "blocked"))
-        else:
-            holds = key_verify(df, key).first()["holds"]
-            out.append(("primary_key", ",".join(key), ",".join(key) if holds else None,
-                        "agrees" if holds else "overruled"))
-    wanted = draft.get("measures", {})
-    rules = {r[0]: r for r in suggestions(df, [m for m in wanted if m in by])}
+    date, only = draft.get("date_column"), temporal[0] if len(temporal) == 1 else None
+    out = _draft_date(date, only, temporal) + _draft_key(df, draft.get("primary_key"), by) + _draft_aggs(wanted, by, rules)
+    out += _draft_units(df, units, by, rules) + _draft_ratios(df, formulae, by, rules) + _draft_flags(flags, by)
+    for m in wanted:
+        if m in rules and rules[m][4] and m not in units:
+            out.append((f"measures[{m}].per", None, rules[m][4], "found"))
+        if _formula(rules.get(m)) and m not in formulae:
+            out.append((f"measures[{m}].ratio", None, _formula(rules[m]), "found"))
+    key = draft.get("primary_key") or []
+    out += [(f"measures[{c.name}_rate].flag", None, c.name, "found") for c in ev
+            if c.flag and c.name not in wanted and c.name not in key and c.name not in flags.values()]
+    used = date if date in temporal else only
+    if used:
+        span = df.agg(F.min(used).cast("date").cast("string"), F.max(used).cast("date").cast("string")).first()
+        if span[0] is not None:
+            out.append(("window", None, f"{span[0]},{span[1]}", "found"))
+    return rows_frame(df, out, DRAFT_SCHEMA)
+
+
+def _draft_date(date: str | None, only: str | None, temporal: list[str]) -> list[tuple]:
+    if date is None:
+        return [("date_column", None, only, "found")] if only else []
+    if date in temporal:
+        return [("date_column", date, date, "agrees" if only else "unproven")]
+    return [("date_column", date, only, "overruled" if only else "blocked")]
+
+
+DRAFT_SCHEMA = "field string, drafted string, kept string, status string"
+
+
+def _draft_key(df: DataFrame, key: list[str] | None, by: dict) -> list[tuple]:
+    if not key:
+        return []
+    said = ",".join(key)
+    if any(k not in by for k in key):
+        return [("primary_key", said, None, "blocked")]
+    holds = key_verify(df, key).first()["holds"]
+    return [("primary_key", said, said if holds else None, "agrees" if holds else "overruled")]
+
+
+def _draft_aggs(wanted: dict, by: dict, rules: dict) -> list[tuple]:
+    out = []
     for m, agg in wanted.items():
         field_ = f"measures[{m}].agg"
-        if m not in by:
-            out.append((field_, agg, None, "blocked"))
-        elif not by[m].numeric and agg not in ("count", "count_distinct", "none"):
+        if m not in by or (not by[m].numeric and agg not in ("count", "count_distinct", "none")):
             out.append((field_, agg, None, "blocked"))
         elif role_of(by[m]) == "identifier" and agg in ("sum", "mean", "median", "min", "max"):
             out.append((field_, agg, "count_distinct", "overruled"))
@@ -359,4 +459,20 @@ def draft_check(df: DataFrame, draft: dict) -> DataFrame:
             else:
                 strong = strength == "strong"
                 out.append((field_, agg, data if strong else agg, "overruled" if strong else "unproven"))
-    return rows_frame(df, out, "field string, drafted string, kept string, status string")
+    return out
+
+
+def draft_check(df: DataFrame, draft: dict) -> DataFrame:
+    """A drafted contract against the data: each field agrees, is overruled, blocked or unproven."""
+    from .suggest import suggestions
+    ev = evidence(df)
+    by = {c.name: c for c in ev}
+    temporal = [c.name for c in ev if c.temporal]
+    date, wanted = draft.get("date_column"), draft.get("measures", {})
+    out = []
+    if date:
+        # a date column that is none is not replaced here: ``draft_review`` names the data's own
+        out = _draft_date(date, None, temporal) if date not in temporal else _draft_date(date, temporal[0] if len(temporal) == 1 else None, temporal)
+    out += _draft_key(df, draft.get("primary_key"), by)
+    rules = {r[0]: r for r in suggestions(df, [m for m in wanted if m in by])}
+    return rows_frame(df, out + _draft_aggs(wanted, by, rules), DRAFT_SCHEMA)
