@@ -330,7 +330,8 @@ def host(url):
 
 def winning_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """host, winners, paths: keys and names of the paths with at least ``SHARE`` of the host's votes."""
-    best = F.pandas_udf(_votes, "key string, path string")(F.col(html))
+    # otherwise the filter below is moved under the projection, and every page is read twice
+    best = F.pandas_udf(_votes, "key string, path string").asNondeterministic()(F.col(html))
     votes = pages.select(host(F.col(url)).alias("host"), best.alias("b")).where("b.key IS NOT NULL AND host <> ''")
     sums = votes.groupBy("host", F.col("b.key").alias("key")).agg(F.count(F.lit(1)).alias("votes"), F.min("b.path").alias("path"))
     # one row per host and path here
