@@ -344,6 +344,35 @@ def _(t):
     return found.withColumn("rows", t("orders").agg(F.count("*")).scalar())
 
 
+# every table thrice: as it is, under another name, and with one column more
+SHAPES_SQL = f"""cat AS (SELECT dataset, lower("column") AS c FROM ({CAT_SQL})),
+ three AS (SELECT * FROM cat UNION ALL SELECT dataset || '_again', c FROM cat UNION ALL SELECT dataset || '_more', c FROM cat
+  UNION ALL SELECT DISTINCT dataset || '_more', 'note' FROM cat),
+ sets AS (SELECT dataset, list_sort(list(DISTINCT c)) AS names FROM three GROUP BY 1),
+ cls AS (SELECT names, min(dataset) AS class, count(*) AS datasets FROM sets GROUP BY 1)"""
+
+
+def _thrice(t) -> DataFrame:
+    cat = _catalogue(t).select("dataset", "column")
+    named = lambda suffix: F.concat("dataset", F.lit(suffix)).alias("dataset")
+    return cat.unionByName(cat.select(named("_again"), F.upper("column").alias("column"))).unionByName(
+        cat.select(named("_more"), "column")).unionByName(cat.select(named("_more"), F.lit("note").alias("column")))
+
+
+@entry(book, "similar_dataset_members", f"""
+WITH {SHAPES_SQL} SELECT dataset, class, datasets, CAST(len(names) AS INT) AS "columns" FROM sets JOIN cls USING (names)""")
+def _(t):
+    return k.dataset_classes(_thrice(t))
+
+
+@entry(book, "similar_dataset_classes", f"""
+WITH {SHAPES_SQL}, p AS (SELECT a.class AS a, b.class AS b, a.datasets AS a_datasets, b.datasets AS b_datasets,
+ len(list_intersect(a.names, b.names))::DOUBLE / len(list_distinct(list_concat(a.names, b.names))) AS similarity
+ FROM cls a JOIN cls b ON a.class < b.class) SELECT * FROM p WHERE similarity >= 0.8""", "similarity", 6)
+def _(t):
+    return k.similar_classes(_thrice(t), 0.8)
+
+
 CLAIMS = ["1,000 rows where net < 0", "priority is 'N/A' in 149 rows", "amount is blank in 5088 records",
           "0 duplicate rows", "some text without a count"]
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..contract import Contract, Measure
 from ..errors import Refused
+from ..functions.staging import stage
 from ..functions.words import ENTITY, words_of_name
 from .profile import Column_, evidence, role_of, rows_frame
 from .scope import compared
@@ -213,6 +214,55 @@ def similar_dataset(catalogue: DataFrame, minimum: float = 0.8) -> DataFrame:
         F.col("similarity") >= minimum)
 
 
+#: Classes that meet in one task through a column name.
+MEETING = 2_000
+
+
+def _shapes(catalogue: DataFrame) -> DataFrame:
+    """``dataset, names``: the sorted column names of each dataset, in lower case (as many as a table is wide)."""
+    return catalogue.where("dataset IS NOT NULL AND column IS NOT NULL").groupBy("dataset").agg(
+        F.sort_array(F.collect_set(F.lower("column"))).alias("names"))
+
+
+def dataset_classes(catalogue: DataFrame) -> DataFrame:
+    """``dataset, class, datasets, columns``: datasets of equal column names are one class, named by its first dataset.
+
+    ``catalogue`` is (dataset, column); other columns, repeated rows and rows without a name count nothing.
+    """
+    shapes = stage(_shapes(catalogue))
+    classes = shapes.groupBy("names").agg(F.min("dataset").alias("class"), F.count("*").alias("datasets"))
+    return shapes.join(classes, "names").select("dataset", "class", "datasets", F.size("names").alias("columns"))
+
+
+def similar_classes(catalogue: DataFrame, minimum: float = 0.8, meeting: int = MEETING) -> DataFrame:
+    """``a, b, a_datasets, b_datasets, similarity``: pairs of classes whose Jaccard similarity of names is ``minimum`` or more.
+
+    A shape held by thousands of datasets is one row here. Two sets this similar share one of the
+    ``size - ceil(minimum * size) + 1`` names that are rarest among classes, and neither is much larger; only such pairs meet,
+    and a name in many heads is met in parts, one side dealt to them and the other copied.
+    """
+    classes = stage(_shapes(catalogue).groupBy("names").agg(F.min("dataset").alias("class"), F.count("*").alias("datasets")))
+    named = classes.select("class", F.explode("names").alias("name"))
+    uses = named.groupBy("name").agg(F.count("*").alias("uses"))
+    rare = named.join(uses, "name").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("uses", "name"))).alias("r"))
+    size = F.size("r")
+    # rounding must not shorten a head
+    length = F.greatest(size - F.ceil(F.lit(minimum) * size - F.lit(1e-9)) + 1, F.lit(1)).cast("int")
+    heads = stage(rare.select("class", size.alias("size"), F.explode(F.slice("r", F.lit(1), length)).alias("s")).select(
+        "class", "size", F.col("s.name").alias("name")))
+    parts = heads.groupBy("name").agg(F.ceil(F.count("*") / F.lit(meeting)).cast("int").alias("parts"))
+    spread = heads.join(parts, "name")
+    one = spread.select(F.col("class").alias("a"), F.col("size").alias("sa"), "name", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    all_ = spread.select(F.col("class").alias("b"), F.col("size").alias("sb"), "name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    alike = F.least("sa", "sb") + F.lit(1e-9) >= F.lit(minimum) * F.greatest("sa", "sb")
+    pairs = one.join(all_, ["name", "part"]).where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("names").alias(f"{x}_names"), F.col("datasets").alias(f"{x}_datasets"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = F.size(F.array_intersect("a_names", "b_names"))
+    found = both.withColumn("similarity", same / (F.size("a_names") + F.size("b_names") - same))
+    return found.where(F.col("similarity") >= minimum).select("a", "b", "a_datasets", "b_datasets", "similarity")
+
+
 def concept_bind(columns: DataFrame, hints: DataFrame) -> DataFrame:
     """Each column bound to the concepts its name matches best.
 
