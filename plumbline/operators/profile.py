@@ -124,7 +124,8 @@ def _facts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, dict]]:
     if values:
         each = reduce(DataFrame.unionAll, values).groupBy("i", "whole", "number", "text").agg(F.count("*").alias("n"))
         parts.append(each.groupBy("i").agg(F.count("*").alias("distinct"), F.sum("n").alias("n"), F.min("text").alias("low"), F.max("text").alias("high")))
-    for r in reduce(DataFrame.unionAll, parts).collect() if parts else ():  # one row per column
+    counted = parts[0].unionAll(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+    for r in counted.collect() if parts else ():  # one row per column
         held = facts.setdefault(columns[r["i"]], {"non_null": r["n"], "low": r["low"], "high": r["high"]})
         held["distinct"] = r["distinct"]
     none = {"non_null": 0, "low": None, "high": None, "distinct": 0}
