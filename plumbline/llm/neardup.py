@@ -1,12 +1,11 @@
 """Near copies among embeddings: links found by NN-descent, kept from a cosine threshold on.
 
 Equal vectors are one node. The graph of near neighbours proposes links, which are verified in double precision. A list
-that is full of links says nothing about those beyond it. Such vectors are compared with those of every other component
-that the threshold lets them reach: a component lies within an angle of its smallest node, and components further
-apart than their angles and the threshold's add up to can't link. Then the members of each component are compared in pairs of
-blocks, each block at most ``BLOCK`` vectors; only sums per vector leave a block. An audit compares a sample of all, and
-one of the linked and full, with all vectors; below ``RECALL`` the lists are searched again in other orders, and at last
-all vectors are compared in blocks.
+that is full of links says nothing about those beyond it. Such saturated lists are enlarged and refined again, these nodes
+only: new places go to vectors of other components, and double until no list is saturated. Then the members of each component
+are compared in pairs of blocks, each block at most ``BLOCK`` vectors; only sums per vector leave a block. An audit compares a
+sample of all, and one of the linked and full, with all vectors, node by node; below ``RECALL`` the lists are searched again in
+other orders, and at last all vectors are compared in blocks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are their own
 component; so are vectors whose length isn't the table's; a repeated id counts as one vector and each of its rows gets
@@ -17,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
@@ -50,21 +49,30 @@ def _near(scale: float, threshold: float) -> float:
     return (2 - 2 * (threshold - SLACK)) * scale * scale
 
 
-def _blockwise(work: DataFrame, key: list[str], each, schema: str) -> DataFrame:
-    """``each`` of every run of rows that share ``key`` and hold ``v``: (columns by name, matrix) to a list of columns."""
-    work = work.repartition(*key).sortWithinPartitions(*key, "id")
+def _blockwise(work: DataFrame, key: list[str], each, schema: str, laid: bool = False) -> DataFrame:
+    """``each`` of every run of rows that share ``key`` and hold ``v`` or ``code``: (columns by name, matrix) to a list of columns.
+
+    ``laid``: the rows lie side by side already.
+    """
+    if not laid:
+        work = work.repartition(*key).sortWithinPartitions(*key, "id")
     names = [part.split()[0] for part in schema.split(", ")]
-    plain = [c for c in work.columns if c != "v"]
+    plain = [c for c in work.columns if c not in ("v", "code")]
+
+    def vectors(rows):
+        if "code" in rows.column_names:
+            return neighbours._matrix(rows.column("code").to_pylist())
+        return rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
 
     def units(rows):
         c = {k: rows.column(k).to_numpy() for k in plain}
-        matrix = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        matrix = vectors(rows)
         new = np.any([c[k][1:] != c[k][:-1] for k in key], axis=0)
         edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(rows)]))
         for a, b in zip(edges, edges[1:]):
             out = each({k: x[a:b] for k, x in c.items()}, matrix[a:b])
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=names)
 
     def run(batches):
         held = None
@@ -144,51 +152,84 @@ def full(lists: DataFrame, scale: float, threshold: float = THRESHOLD, k: int =
     return lists.where((F.size("near") >= k) & (F.element_at("near", -1)["d"] <= _near(scale, threshold))).select("id")
 
 
-def across(units: DataFrame, groups: DataFrame, ends: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """a, b: links that connect components wherever two nodes of ``ends`` (id) in different ones are alike.
+def _apart(c: dict, matrix: np.ndarray, k: int, below: np.ndarray | None = None):
+    """The ids that have any, and lists of their ``k`` nearest in other components."""
+    if len(matrix) < 2:
+        return np.zeros(0, np.int64), []
+    far = neighbours._distances(matrix, matrix)
+    far[c["component"][:, None] == c["component"]] = np.inf
+    some, lists = neighbours._flat_lists(c["id"], far, k, below)
+    return c["id"][some], lists
 
-    Exact among ``ends``: what is not compared is further apart than the threshold by the triangle inequality of angles.
-    """
-    reach = float(np.arccos(threshold)) + 1e-6
-    angle = F.acos(F.least(F.greatest(cosine("v", "centre"), F.lit(-1.0)), F.lit(1.0)))
-    members = ends.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    members = stage(members.join(units.select("id", "v"), "id"))
-    centres = units.select(F.col("id").alias("component"), F.col("v").alias("centre"))
-    radii = members.join(centres, "component").groupBy("component").agg(F.max(angle).alias("radius"))
-    balls = stage(radii.join(centres, "component"))
-
-    def meeting(c, matrix):
-        far = np.arccos(np.clip(matrix @ matrix.T, -1, 1)) - c["radius"][:, None] - c["radius"][None]
-        a, b = np.nonzero((far <= reach) & _once(c) & (c["id"][:, None] < c["id"][None]))
-        return c["id"][a], c["id"][b]
 
-    work = _dealt(balls.select(F.col("component").alias("id"), F.lit(0).cast("long").alias("component")), block)
-    work = work.join(balls.select(F.col("component").alias("id"), "radius", F.col("centre").alias("v")), "id")
-    meet = stage(_blockwise(work, ["low", "high"], meeting, "a long, b long"))
-    # of each of two components, the nodes near enough to the other one
-    sides = []
-    for mine, other in (("a", "b"), ("b", "a")):
-        with_ball = meet.join(balls.withColumnRenamed("component", other), other)
-        near = with_ball.join(members.withColumnRenamed("component", mine), mine).where(angle <= F.col("radius") + reach)
-        sides.append(near.select("a", "b", F.lit(int(mine == "b")).cast("long").alias("own"), "id"))
-    nodes = stage(sides[0].unionByName(sides[1]))
-    sizes = nodes.groupBy("a", "b").agg(*[F.ceil(F.count_if(F.col("own") == s) / F.lit(block)).alias(f"n{s}") for s in (0, 1)])
-    first = F.col("own") == 0
-    nodes = nodes.join(sizes.where("n0 > 0 AND n1 > 0"), ["a", "b"])
-    nodes = nodes.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(first, F.col("n0")).otherwise(F.col("n1"))))
-    nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(first, F.col("n1")).otherwise(F.col("n0")) - 1)))
-    nodes = nodes.select("a", "b", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("low"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("high"), "own", "id")
+def _side_by_side(nodes: DataFrame, n: int, seed: int) -> DataFrame:
+    """``nodes`` in several orders, t, each cut into blocks of vectors on one side of random hyperplanes."""
+    bits = max(int(np.ceil(np.log2(max(n / neighbours.LEAF, 1)))), 0)
 
-    def links(c, matrix):
-        one, two = np.flatnonzero(c["own"] == 0), np.flatnonzero(c["own"] == 1)
-        x, y = np.nonzero(matrix[one] @ matrix[two].T >= threshold)
-        return c["id"][one[x[:1]]], c["id"][two[y[:1]]]  # one connects them; counted() finds the others
+    def keys(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = neighbours._matrix(batch.column("code").to_pylist())
+            planes = np.random.default_rng(seed).standard_normal((m.shape[1], neighbours.TABLES * (bits + 1)))
+            sides = (m @ planes).reshape(len(m), neighbours.TABLES, bits + 1)
+            side = (sides[:, :, :bits] > 0) @ (2.0 ** np.arange(bits))
+            key = side + 1 / (1 + np.exp(-sides[:, :, bits] / 127))  # within a side, in the order of one more projection
+            for t in range(neighbours.TABLES):
+                own = [pa.array(np.full(len(m), t)), pa.array(key[:, t])]
+                yield pa.RecordBatch.from_arrays(own + [batch.column(x) for x in ("component", "id", "code")], names=["t", "key", "component", "id", "code"])
+
+    rows = nodes.select("component", "id", "code").mapInArrow(keys, "t long, key double, component long, id long, code binary")
+    rows = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key", "id")
+    return rows.withColumn("block", F.floor(F.monotonically_increasing_id() / neighbours.LEAF))  # a partition's rows are numbered in order
 
-    return _blockwise(nodes.join(units.select("id", "v"), "id"), ["a", "b", "low", "high"], links, "a long, b long")
+
+def beyond(codes: DataFrame, lists: DataFrame, groups: DataFrame, ends: DataFrame, k: int, seed: int = neighbours.SEED) -> DataFrame:
+    """id, near: ``k`` more places in the lists of ``ends`` (id), for the nearest outside the node's own component.
+
+    Neighbours of neighbours meet as in NN-descent, through the places a list had and the new ones; a node of the own
+    component takes no new place, as components are compared whole.
+    """
+    nodes = stage(ends.join(codes, "id").join(groups, "id", "left").select("id", "code", F.coalesce("component", "id").alias("component")))
+    blocks = _blockwise(_side_by_side(nodes, nodes.count(), seed), ["t", "block"], lambda c, m: _apart(c, m, k), f"id long, near {neighbours.LIST}", laid=True)
+    more = stage(neighbours._merged(blocks, k))
+    for _ in range(neighbours.ROUNDS):
+        far = F.when(F.size("near") < k, F.lit(3e38)).otherwise(F.element_at("near", -1)["d"]).cast("float")
+        pairs = lists.join(ends, "id", "left_semi").unionByName(more).select("id", F.explode("near.id").alias("other"))
+        some = Window.partitionBy("hub").orderBy(F.xxhash64("member", "hub"))
+        back = pairs.select(F.col("other").alias("hub"), F.col("id").alias("member")).withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= k).drop("nth")
+        members = pairs.select(F.col("id").alias("hub"), F.col("other").alias("member")).unionByName(back).distinct()
+        known = nodes.join(more.select("id", far.alias("far")), "id", "left").withColumn("far", F.coalesce("far", F.lit(3e38).cast("float")))
+        meeting = members.join(known.withColumnRenamed("id", "member"), "member").select("hub", F.col("member").alias("id"), "component", "far", "code")
+        met = _blockwise(meeting, ["hub"], lambda c, m: _apart(c, m, k, c["far"]), f"id long, near {neighbours.LIST}")
+        more = stage(neighbours._merged(met.unionByName(more.select("id", F.col("near").cast(neighbours.LIST).alias("near"))), k))
+    return more
+
+
+def enlarged(units: DataFrame, codes: DataFrame, lists: DataFrame, edges: DataFrame, scale: float, threshold: float, seed: int) -> DataFrame:
+    """component of each linked id, once the lists that ended within the threshold have had room for all beyond.
+
+    Saturated lists get ``K`` more places, then twice as many in each round, until none is saturated or what fills the
+    places links with nothing. Every round that goes on joins components, so rounds come to an end.
+    """
+    k, groups = K, stage(components(edges))
+    ends = stage(full(lists, scale, threshold))
+    while not ends.isEmpty():
+        more = beyond(codes, lists, groups, ends, k, seed)
+        found = stage(_verified(more, units, scale, threshold))
+        if found.isEmpty():
+            break
+        edges = stage(edges.unionByName(found))
+        groups = stage(components(edges))
+        ends, k, seed = stage(full(more, scale, threshold, k)), 2 * k, seed + 1
+    return groups
 
 
 def recall(units: DataFrame, found: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT, among: DataFrame | None = None) -> float:
-    """Part of the linked nodes that ``found`` has, of the ``sample`` nodes (of ``among``, if given) whose ids hash lowest."""
+    """Part of a node's links that ``found`` has, on average over those of the ``sample`` nodes (of ``among``, if given) that have links.
+
+    The nodes whose ids hash lowest are asked. A node counts as one, however many links it has.
+    """
     asked = units if among is None else units.join(among, "id", "left_semi")
     some = [(r["id"], list(r["v"])) for r in asked.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     if not some:
@@ -204,8 +245,8 @@ def recall(units: DataFrame, found: DataFrame, threshold: float = THRESHOLD, sam
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["id", "n"])
 
     true = units.select("id", "v").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    both = true.join(found, "id", "left").agg(F.sum("n"), F.sum(F.coalesce("nodes", F.lit(0)))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    part = true.where("n > 0").join(found, "id", "left").agg(F.avg(F.least(F.coalesce("nodes", F.lit(0)) / F.col("n"), F.lit(1.0)))).first()[0]
+    return 1.0 if part is None else part
 
 
 def near_copies(table: DataFrame, id_: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -220,13 +261,9 @@ def near_copies(table: DataFrame, id_: str = "vec_id", vector: str = "embedding"
     lists = neighbours.graph(codes, n, K)
     for further in range(FURTHER + 1):
         edges = stage(_verified(lists, units, scale, threshold))
-        groups = stage(components(edges))
-        ends = stage(full(lists, scale, threshold))
-        if not ends.isEmpty():
-            edges = stage(edges.unionByName(across(units, groups, ends, threshold)))
-            groups = stage(components(edges))
+        groups = enlarged(units, codes, lists, edges, scale, threshold, neighbours.SEED + further)
         found = stage(counted(units, groups, threshold))
-        some = ends.unionByName(found.select("id")).distinct()
+        some = full(lists, scale, threshold).unionByName(found.select("id")).distinct()
         if min(recall(units, found, threshold), recall(units, found, threshold, among=some)) >= RECALL:
             break
         if further == FURTHER:

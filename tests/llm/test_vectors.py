@@ -154,3 +154,51 @@ def test_queries_meet_all_rows_where_the_search_fails(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERIES", 5)
     out = ann.search(frame(spark, x, ODD), F.col("vec_id") % 50 == 0).collect()
     assert len(out) == 180 and missed(out, x, range(0, len(x), 50)) == 0
+
+
+def turned(r, angle_cosine, dim=32):
+    """Two unit vectors with that cosine."""
+    a = r.standard_normal(dim)
+    a /= np.linalg.norm(a)
+    b = r.standard_normal(dim)
+    b -= (b @ a) * a
+    b /= np.linalg.norm(b)
+    return a, angle_cosine * a + np.sqrt(1 - angle_cosine ** 2) * b
+
+
+@pytest.mark.parametrize("size", [20, 70, 400])
+def test_saturated_lists_grow_until_crowds_are_joined(spark, monkeypatch, size):
+    r = np.random.default_rng(size)
+    pairs = [turned(r, 0.93), turned(r, 0.94), turned(r, 0.8)]  # the last two stay apart
+    x = np.concatenate([c + 0.01 * r.standard_normal((size, 32)) for pair in pairs for c in pair] + [r.standard_normal((150, 32))]).astype(np.float32)
+    links, group = brute_links(x)
+    assert group[size] == 0 and group[5 * size] == 5 * size
+    monkeypatch.setattr(neardup, "everywhere", None)  # found by the lists alone
+    out = {q["vec_id"]: q for q in neardup.near_copies(frame(spark, x)).collect()}
+    assert [(out[i]["n_links"], out[i]["component_id"]) for i in range(len(x))] == [(links[i], group[i]) for i in range(len(x))]
+
+
+def test_new_places_go_to_other_components(spark):
+    r = np.random.default_rng(8)
+    x = np.concatenate([c + 0.01 * r.standard_normal((60, 32)) for c in turned(r, 0.93)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    units = frame(spark, x).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    scale = neighbours.scale(units)
+    codes = neighbours.coded(units, scale).cache()
+    lists = neighbours.graph(codes, 120, 16).cache()
+    assert neardup.full(lists, scale).count() == 120
+    own = units.select("id", F.floor(F.col("id") / 60).cast("long").alias("component"))
+    more = {q["id"]: [n["id"] for n in q["near"]] for q in neardup.beyond(codes, lists, own, units.select("id"), 8).collect()}
+    # 120 vectors are one block: the lists are exact among codes
+    c = np.rint(x.astype(np.float32).astype(float) * scale)
+    d = ((c[:, None] - c[None]) ** 2).sum(-1)
+    d[np.arange(120)[:, None] // 60 == np.arange(120) // 60] = np.inf
+    for i in range(120):
+        assert len(more[i]) == 8 and sorted(d[i, more[i]]) == np.sort(d[i])[:8].tolist()
+
+
+def test_audit_weighs_nodes_alike(spark):
+    x = np.concatenate([np.tile([1.0, 0.0], (40, 1)) + 0.001 * np.arange(40)[:, None], [[0.0, 1.0], [0.01, 1.0]]])
+    units = frame(spark, x / np.linalg.norm(x, axis=1)[:, None]).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    crowd_only = spark.createDataFrame([(i, 39, 39) for i in range(40)], "id long, links long, nodes long")
+    assert abs(neardup.recall(units, crowd_only, sample=42) - 40 / 42) < 1e-9
