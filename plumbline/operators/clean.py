@@ -24,6 +24,8 @@ from .profile import DATE_SHAPE, countable, full_row_counts, prof_duplicates, te
 
 #: Share of values a conversion has to read before it is proposed.
 MIN_SHARE = 0.9
+#: Characters up to which a text value may be moved to be counted; the answer is the same for every number.
+SHORT = 64
 
 # Characters money carries, and a number that starts with a zero it would lose.
 CURRENCY = r"[₹$€£¥,\s]"
@@ -230,12 +232,12 @@ def impact(df: DataFrame, a: Action, tokens=MISSING, hist: DataFrame | None = No
         return df.agg(bad.alias("n")).select(*head, F.col("n").alias("affected"), F.col("n").alias("lost"))
     # what happens to a text value depends on the value alone: judged once, weighted by its rows
     h = (hist.where(F.col("column") == a.column).select("v", "n") if hist is not None
-         else df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")))
+         else df.where(c.isNotNull()).select(c.alias("v"), F.lit(1).cast("long").alias("n")))
     if a.kind == "case":
         v, n = F.col("v"), F.col("n")
         new = F.lower(v) if a.options.get("mode") == "lower" else F.upper(v)
-        folded = h.groupBy(new.alias("k")).agg(F.count("*").alias("ways"), F.sum(
-            F.when(v != new, n)).alias("changed"))
+        written = h.groupBy(_name(new).alias("k"), _name(v)).agg(F.sum(F.when(v != new, n)).alias("changed"))
+        folded = written.groupBy("k").agg(F.count("*").alias("ways"), F.sum("changed").alias("changed"))
         return folded.agg(F.coalesce(F.sum("changed"), zero).alias("affected"),
                           F.coalesce(F.sum(F.col("ways") - 1), zero).alias("lost")).select(
             *head, "affected", "lost")
@@ -373,10 +375,31 @@ def _readings(h: DataFrame) -> DataFrame:
     return _shape_shares(h).join(_number_shares(h), "column").join(_date_shares(h), "column")
 
 
-def histograms(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, v, n`` of every text column from one scan; a value is judged once, not per row."""
-    cells = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, "column", "v")
-    return cells.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, v`` of the text columns' values."""
+    rows = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, "column", "v")
+    return rows.where(F.col("v").isNotNull())
+
+
+def histograms(df: DataFrame, columns: list[str], short: int = SHORT) -> DataFrame:
+    """``column, v, n`` of every text column: a value of up to ``short`` characters once, a longer one row by row.
+
+    Short values are counted from one scan and staged. Longer ones are neither moved nor staged: the columns that hold
+    any are read again where the result is used. How a value is judged does not depend on its length.
+    """
+    brief = F.when(F.length("v") <= short, F.col("v"))
+    counted = spread(stage(_cells(df, columns).groupBy("column", brief.alias("v")).agg(F.count("*").alias("n"))))
+    out = counted.where(F.col("v").isNotNull())
+    # at most one row per column
+    long = sorted(r["column"] for r in counted.where(F.col("v").isNull()).select("column").collect())
+    if long:
+        out = out.unionByName(_cells(df, long).where(F.length("v") > short).withColumn("n", F.lit(1).cast("long")))
+    return out
+
+
+def _name(text: Column) -> Column:
+    """What stands for a text where texts are told apart: itself if short, else its digest and length, too long to be a short text."""
+    return F.when(F.length(text) <= SHORT, text).otherwise(F.concat(F.md5(text), F.lpad(F.length(text).cast("string"), SHORT, "0")))
 
 
 def _number_type(fraction: int, off_cents: int) -> str:
@@ -448,8 +471,10 @@ def _detect(df: DataFrame, tokens, hist: DataFrame | None, columns: list[str]) -
     if hist is not None:
         # one row per text column
         shares = {r["column"]: r for r in _readings(hist).collect()}
-        folded = hist.groupBy("column", F.upper("v").alias("k")).agg(F.count("*").alias("ways"))
-        merged = {r[0] for r in folded.where("ways > 1").select("column").distinct().collect()}
+        # two hashes of 96 bits tell the values of a folded one apart, in buffers of fixed size
+        folded = hist.groupBy("column", _name(F.upper("v"))).agg(*[f(h("v")).alias(f"{f.__name__}_{h.__name__}") for h in (F.xxhash64, F.hash) for f in (F.min, F.max)])
+        several = folded.where("min_xxhash64 <> max_xxhash64 OR min_hash <> max_hash")
+        merged = {r[0] for r in several.select("column").distinct().collect()}
     for c in columns:
         r = shares.get(c)
         if r is None:
@@ -471,7 +496,7 @@ def _detect(df: DataFrame, tokens, hist: DataFrame | None, columns: list[str]) -
 
 def _staged_histograms(df: DataFrame) -> tuple[DataFrame | None, list[str]]:
     columns = text_columns(df)
-    return (spread(stage(histograms(df, columns))) if columns else None), columns
+    return (histograms(df, columns) if columns else None), columns
 
 
 def detect(df: DataFrame, tokens=MISSING) -> list[Action]:
@@ -483,8 +508,8 @@ def detect(df: DataFrame, tokens=MISSING) -> list[Action]:
 def cln_detect(df: DataFrame, tokens=MISSING) -> DataFrame:
     """The plan: one row per action with the rows it affects and what it loses.
 
-    The table is scanned once for all its text columns; readings and losses come from the staged
-    value counts.
+    The table is scanned once for all its short text values; readings and losses come from the staged
+    value counts, and from long values where they are read.
     """
     hist, columns = _staged_histograms(df)
     actions = _detect(df, tokens, hist, columns)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.aggs import FLOATING, INTEGRAL, NUMERIC, TEMPORAL, finite, is_kind, non_finite_count
 from ..functions.quantiles import grouped
-from ..functions.staging import stage
+from ..functions.staging import spread, stage
 from ..functions.words import IDENTIFIER, MISSING, snake
 from .periods import islands, spine
 
@@ -269,25 +269,17 @@ def judged(c: Column, tokens=MISSING) -> Column:
 def prof_type_reading(df: DataFrame, columns: list[str] | None = None, tokens=MISSING) -> DataFrame:
     """Share of text values that read as each type; the narrowest best one.
 
-    A cast depends on the value alone, so each distinct value is tried once and weighted.
+    Values are judged where they are read, all columns in one pass: no text is moved.
     """
-    parts = []
-    for c in columns or text_columns(df):
-        v = F.col("v")
-        hist = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).where(judged(v, tokens))
-        n = F.col("n")
-
-        def weight(cond: Column) -> Column:
-            return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
-
-        money = F.regexp_replace(v, r"[₹$€£¥,\s]", "").try_cast("double").isNotNull()
-        parts.append(hist.agg(
-            F.coalesce(F.sum(n), F.lit(0)).alias("considered"),
-            *[weight(reads_as(v, k)).alias(k) for k in READINGS],
-            weight(v.rlike("^[+-]?0[0-9]")).alias("leading_zero"),
-            weight(v.rlike("[₹$€£¥,]") & money).alias("currency")).select(
-            F.lit(c).alias("column"), "*"))
-    out = reduce(DataFrame.unionAll, parts)
+    columns = columns or text_columns(df)
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.col(f"v{i}")
+        money = F.when(v.rlike("[₹$€£¥,]"), F.regexp_replace(v, r"[₹$€£¥,\s]", "")).try_cast("double").isNotNull()
+        aggs += [F.count(v).alias(f"considered__{i}"), *[F.count_if(reads_as(v, k)).alias(f"{k}__{i}") for k in READINGS],
+                 F.count_if(v.rlike("^[+-]?0[0-9]")).alias(f"leading_zero__{i}"), F.count_if(money).alias(f"currency__{i}")]
+    read = spread(df.select(*columns)).select(*[F.when(judged(F.col(c), tokens), F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    out = as_rows(read.agg(*aggs), columns, ["considered", *READINGS, "leading_zero", "currency"])
     top = F.greatest(*[F.col(k) for k in READINGS])
     best = F.lit(None).cast("string")
     for k in reversed(READINGS):
