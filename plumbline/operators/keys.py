@@ -19,6 +19,8 @@ from .scope import compared
 #: Pairs of columns counted in one pass.
 PAIR_BATCH = 100
 KEY_ROLES = ("identifier", "dimension", "date", "flag")
+#: One value in so many is looked at first: a repeat among them proves a pair no key, none proves nothing.
+SLICES = 64
 KEY_SCHEMA = "columns string, distinct long, rows long, null_bearing string, caution boolean"
 
 
@@ -27,7 +29,7 @@ def key_candidates(df: DataFrame, columns: list[Column_] | None = None,
     """Single columns and pairs of columns that are unique over the whole table.
 
     Pairs are pruned by role, minimality and by distinct_a * distinct_b >= rows. All others are tested,
-    ``batch`` at a time: approximate counts refute most, the near-unique ones are counted exactly.
+    ``batch`` at a time: two rows of one value among a slice of the values refute most, all others are counted whole.
     """
     ev = columns or evidence(df)
     n = ev[0].rows if ev else 0
@@ -39,11 +41,13 @@ def key_candidates(df: DataFrame, columns: list[Column_] | None = None,
                               min(c.distinct for c in p)))
     for at in range(0, len(pairs) if n else 0, batch):
         some = pairs[at:at + batch]
-        both = [F.struct(F.col(a.name), F.col(b.name)) for a, b in some]
-        near = df.agg(*[F.approx_count_distinct(s, 0.02).alias(f"p{i}")
-                        for i, s in enumerate(both)]).first()
-        # five standard errors below the row count cannot be unique
-        kept = [p for i, p in enumerate(some) if near[i] >= 0.9 * n]
+        sliced = []
+        for i, (a, b) in enumerate(some):
+            values = [F.col(a.name), F.col(b.name)]
+            part = df.select(*values).where(F.pmod(F.xxhash64(*values), F.lit(SLICES)) == 0)
+            sliced.append(part.groupBy(*values).count().agg(F.max("count").alias("most")).select(F.lit(i).alias("i"), "most"))
+        most = {r["i"]: r["most"] for r in reduce(DataFrame.unionAll, sliced).collect()}
+        kept = [p for i, p in enumerate(some) if (most[i] or 0) <= 1]
         if kept:
             parts = [df.select(F.col(a.name), F.col(b.name)).distinct().agg(
                 F.count("*").alias("d")).select(F.lit(i).alias("i"), "d")

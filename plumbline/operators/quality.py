@@ -10,7 +10,7 @@ import itertools
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,16 +209,29 @@ def dq_coordinates(df: DataFrame) -> DataFrame:
                                   for i, (c, _, kind) in enumerate(checks)])
 
 
-def dq_spellings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Values that differ only in case or padding, with the rows they cover."""
+def spelling_forms(df: DataFrame, column: str) -> DataFrame:
+    """k, v, n: every written form of the values that differ only in case or padding, one row each, however many."""
+    per = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    forms = per.withColumn("k", F.lower(F.trim("v")))
+    several = forms.groupBy("k").agg(F.count("*").alias("ways")).where("ways > 1").select("k")
+    return forms.join(several, "k").select("k", "v", "n")
+
+
+def dq_spellings(df: DataFrame, columns: list[str] | None = None, most: int = 50) -> DataFrame:
+    """Values that differ only in case or padding, with the rows they cover.
+
+    ``detail`` names the ``most`` frequent forms and how many more there are; ``spelling_forms`` has all.
+    """
     parts = []
     for c in columns or [e.name for e in evidence(df) if e.text and e.distinct > 1]:
-        per = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        folded = per.groupBy(F.lower(F.trim("v")).alias("k")).agg(
-            F.sum("n").alias("rows"), F.count("*").alias("ways"),
-            F.array_join(F.array_sort(F.collect_list("v")), " / ").alias("detail"))
-        parts.append(folded.where(F.col("ways") > 1).select(
-            F.lit("M8").alias("rule"), F.lit(c).alias("column"), "rows", "detail"))
+        forms = spelling_forms(df, c)
+        nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "v"))
+        shown = forms.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("k").agg(
+            F.array_join(F.array_sort(F.collect_list("v")), " / ").alias("named"))
+        folded = forms.groupBy("k").agg(F.sum("n").alias("rows"), F.count("*").alias("ways")).join(shown, "k")
+        more = F.when(F.col("ways") > most, F.concat(F.lit(" / +"), F.col("ways") - most)).otherwise("")
+        parts.append(folded.select(
+            F.lit("M8").alias("rule"), F.lit(c).alias("column"), "rows", F.concat("named", more).alias("detail")))
     return _union(df, parts)
 
 
