@@ -54,8 +54,18 @@ def additive_needed(m: Measure) -> str:
     return m.agg
 
 
-def declared(m: Measure, where: Column | None = None) -> Column:
-    """The measure's own aggregate, optionally over the rows ``where`` holds for.
+def steady_sum(c: Column) -> Column:
+    """A sum of doubles in which the order of the rows does not show, so that equal groups tie.
+
+    Six decimals are added exactly; what a value has beyond them, and values without them (10 ** 15 on), are added as doubles.
+    """
+    exact = F.when(F.abs(c) < F.lit(1e15), c.cast("decimal(38,6)"))
+    rest = F.when(exact.isNull(), c).otherwise(c - exact.cast("double"))
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
+
+
+def declared(m: Measure, where: Column | None = None, floating: bool = False) -> Column:
+    """The measure's own aggregate, optionally over the rows ``where`` holds for; ``floating``: of doubles, by steady sums.
 
     ``median`` is left out on purpose: it goes through functions.quantiles, which checks how many
     distinct values a group can hold first.
@@ -68,6 +78,10 @@ def declared(m: Measure, where: Column | None = None) -> Column:
     c = F.col(m.name)
     if m.of_sums:
         return F.try_divide(F.sum(keep(c["n"])), F.sum(keep(c["d"])))
+    if floating and agg == "sum":
+        return steady_sum(keep(c))
+    if floating and agg == "mean":
+        return F.try_divide(steady_sum(keep(c)), F.count(keep(c)))
     table = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max,
              "count": F.count, "count_distinct": F.count_distinct}
     if agg not in table:

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from ..contract import ADDITIVE
 from ..errors import Refused
-from ..functions.aggs import (INTEGRAL, declared, finite, is_kind, non_finite_count,
+from ..functions.aggs import (FLOATING, INTEGRAL, declared, finite, is_kind, non_finite_count,
                               row_values_needed, text_of, total_needed)
 from ..functions.quantiles import grouped
 from ..functions.staging import ranked, running, stage
 from .scope import Scope, in_window
 
 def group_totals(scope: Scope, keys: list[str], measure: str, extra: list[Column] = ()) -> DataFrame:
-    """``keys, total, rows`` with the declared aggregate, medians included."""
+    """``keys, total, rows`` with the declared aggregate, medians included; groups are put in order by it, so sums are steady."""
     m = scope.contract.measure(measure)
     total_needed(m)
     aggs = [F.count("*").alias("rows"), *extra]
     if m.agg == "median":
         return grouped(scope.df, keys, aggs, {"total": (measure, 0.5)})
-    return scope.df.groupBy(*keys).agg(declared(m).alias("total"), *aggs)
+    floating = not m.of_sums and isinstance(scope.df.schema[m.name].dataType, FLOATING)
+    return scope.df.groupBy(*keys).agg(declared(m, floating=floating).alias("total"), *aggs)
 
 
 def summary_stats(scope: Scope) -> DataFrame:
