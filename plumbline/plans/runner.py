@@ -1,6 +1,7 @@
 """Presets: a declared list of analyses over columns bound to business concepts.
 
-Each step becomes an independent lazy frame; nothing here scans a table by itself.
+Each step becomes an independent frame. Rows that come from a join or another dear plan are written once, as every step and
+every quantile in it reads them again.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from ..contract import Contract, Measure, Window
 from ..errors import Refused
 from ..functions.aggs import NUMERIC
+from ..functions.staging import settled
 from ..operators import describe, growth, infer, keywords, people, presets_filters, relate, temporal
 from ..operators.scope import Scope
 
@@ -190,6 +192,7 @@ def run_preset(name: str, r: Request) -> list[StepResult]:
         raise Refused("CONCEPT_NOT_BOUND", ", ".join(missing))
     contract = contract_of(r)
     measures = {m.name for m in contract.measures}
+    df = settled(r.df)
     out = []
     for step in preset["steps"]:
         analysis = next(k for k in step if k not in ("title", "optional", "filter"))
@@ -198,7 +201,7 @@ def run_preset(name: str, r: Request) -> list[StepResult]:
             used = {v for v in args.values() if isinstance(v, str)}
             if "focus" in preset:
                 used.add(resolve(preset["focus"]["measure"], r, preset, measures))
-            scope = Scope.of(r.df, contract)
+            scope = Scope.of(df, contract)
             keep = (_validity(r, preset, used, measures) + _filters(preset.get("keep"), r, preset, measures))
             scope = Scope(presets_filters.filtered(scope.df, keep), contract)
             scope = _focused(scope, preset, r, measures)
