@@ -95,19 +95,26 @@ def val_reference(df: DataFrame, parent: DataFrame, key: ForeignKey, show: list[
                   ) -> DataFrame:
     """Rows pointing at no parent; a row with a NULL part is not checked.
 
-    References are counted first, so the join runs on distinct values and a hot reference is one
-    row of it.
+    References and parents are grouped together, so nothing is joined or sorted and a hot reference is one row. Where their
+    types differ, they are compared as a join compares them.
     """
     cols = list(key.columns)
     null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-    refs = df.groupBy(*cols).agg(F.count("*").alias("__n"))
-    parents = parent.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(key.parent_columns)]
-                            ).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(cols)])
-    lost = refs.where(~null).join(parents, same, "left_anti")
-    counts = refs.agg(F.sum("__n").alias("rows"), F.sum(F.when(null, F.col("__n"))).alias("not_checked"))
-    failed = lost.agg(F.coalesce(F.sum("__n"), F.lit(0)))
-    counts = counts.withColumn("failed", failed.scalar())
+    if [df.schema[c].dataType for c in cols] == [parent.schema[p].dataType for p in key.parent_columns]:
+        child = df.select(*cols, F.lit(1).cast("long").alias("__n"), F.lit(False).alias("__known"))
+        known = parent.select(*[F.col(p).alias(c) for p, c in zip(key.parent_columns, cols, strict=True)],
+                              F.lit(0).cast("long").alias("__n"), F.lit(True).alias("__known"))
+        refs = child.unionAll(known).groupBy(*cols).agg(F.sum("__n").alias("__n"), F.max("__known").alias("__known")).where("__n > 0")
+    else:
+        refs = df.groupBy(*cols).agg(F.count("*").alias("__n"))
+        parents = parent.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(key.parent_columns)]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(cols)])
+        # several parents may equal one reference after a cast, so they only mark it
+        refs = (refs.join(parents, same, "left_semi").withColumn("__known", F.lit(True))
+                .unionAll(refs.join(parents, same, "left_anti").withColumn("__known", F.lit(False))))
+    lost = refs.where(~null & ~F.col("__known"))
+    counts = refs.agg(F.sum("__n").alias("rows"), F.sum(F.when(null, F.col("__n"))).alias("not_checked"),
+                      F.coalesce(F.sum(F.when(~null & ~F.col("__known"), F.col("__n"))), F.lit(0)).alias("failed"))
     return _result(counts, "reference", f"{' + '.join(cols)} -> {key.parent}", _first(lost, show or cols))
 
 
