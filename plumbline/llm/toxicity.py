@@ -28,7 +28,9 @@ NGRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 FEATURES = 1 << 13
 #: Texts of so many code points are hashed at once; one longer text is a piece of its own.
-CHARS = 1 << 20
+CHARS = 1 << 18
+#: Counted buckets that a task hands on at a time.
+ROWS = 1 << 16
 PENALTY, ROUNDS = 1e-4, 500
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -98,8 +100,10 @@ def _presence(batches):
             label = toxic[first + pair // BUCKETS]
             for k in (0, 1):
                 counts[k] += np.bincount(pair[label == k] % BUCKETS, minlength=BUCKETS)
-    used = np.flatnonzero(counts.sum(0))
-    yield pd.DataFrame({"bucket": used, "toxic": counts[1, used], "clean": counts[0, used]})
+    used = np.flatnonzero(counts[0] + counts[1])
+    for at in range(0, len(used), ROWS):
+        some = used[at:at + ROWS]
+        yield pd.DataFrame({"bucket": some, "toxic": counts[1, some], "clean": counts[0, some]})
 
 
 def _rates(at: np.ndarray):
@@ -136,8 +140,9 @@ def fit(rows: DataFrame) -> Model:
     if not toxic or not clean:
         share = 1.0 - 1e-9 if toxic else 1e-9
         return Model(np.full(BUCKETS, -1, np.int32), np.zeros(1), float(np.log(share / (1 - share))))
-    counts = rows.mapInPandas(_presence, "bucket long, toxic long, clean long").groupBy("bucket").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 3")
+    # a row per bucket at most, read twice
+    counts = stage(rows.mapInPandas(_presence, "bucket long, toxic long, clean long").groupBy("bucket").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 3"))
     held = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     ratio = F.log((F.col("toxic") + 1) / F.lit((held["t"] or 0) + BUCKETS)) - F.log((F.col("clean") + 1) / F.lit((held["c"] or 0) + BUCKETS))
     gain = F.col("ratio") * (F.col("toxic") / F.lit(toxic) - F.col("clean") / F.lit(clean))
