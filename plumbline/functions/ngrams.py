@@ -88,18 +88,18 @@ class _Runs:
 
 
 def bucket_sums(n: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From text and worth: each bucket's sum of worth over the rows with a run in it, once per row."""
+    """From text and worth: each bucket's sum of worth over the rows with a run in it, once per row, and its runs."""
     def run(batches):
-        most, seen, kept = np.zeros(buckets), np.zeros(buckets, bool), {}
+        most, held, kept = np.zeros(buckets), np.zeros(buckets, np.int64), {}
         for batch in batches:
             worth = batch.column(1).to_numpy(zero_copy_only=False)
             for low, high, raw, row_ends in _slices(batch.column(0)):
                 runs = _Runs(raw, row_ends, n, buckets, kept)
                 row, bucket = np.divmod(_distinct(runs.row * buckets + runs.bucket), buckets)
                 most += np.bincount(bucket, worth[low:high][row], buckets)
-                seen[bucket] = True
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(most[at])], ["bucket", "most"])
+                held += np.bincount(runs.bucket, minlength=buckets)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(most[at]), pa.array(held[at])], ["bucket", "most", "held"])
 
     return run
 

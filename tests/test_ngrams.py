@@ -1,6 +1,7 @@
 """N-grams are counted bucket by bucket, with the totals of counting every one."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -76,3 +77,27 @@ def test_a_task_holds_buckets_not_ngrams(spark, monkeypatch):
     top = growth.text_ngrams(_scope(df), "text", "v", 2, 1, buckets=256, fullest=3).collect()
     assert [tuple(r) for r in top] == [("the end", 5000.0, 5000)]
     assert kept == [256, 1] and listed == [3]
+
+
+def test_where_all_ngrams_differ_a_task_has_a_share_of_them(spark, monkeypatch):
+    """20,000 n-grams of equal worth, so that no bucket can be left out: no task lists nearly all of its partition."""
+    rows = [(f"w{i} w{i}x w{i}y", 1) for i in range(10_000)] + [("last one", None)]
+    df = spark.createDataFrame(rows, "text string, v long").coalesce(1)
+    monkeypatch.setattr(growth, "TOGETHER", 1000, raising=False)
+    runs_in = growth.runs_in
+
+    def few_in(n, buckets, wanted):
+        def run(batches):
+            listed = 0
+            for part in runs_in(n, buckets, wanted)(batches):
+                listed += part.num_rows
+                assert listed < 2000, listed
+                yield part
+        return run
+
+    monkeypatch.setattr(growth, "runs_in", few_in)
+    monkeypatch.setattr(growth, "spread", lambda frame: frame)
+    out = growth.text_ngrams(_scope(df), "text", "v", 2, 20, buckets=256, fullest=3)
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in _plainly(df, 2, 20).collect()]
+    shares = re.findall(r"hashpartitioning\(ngram#\d+, (\d+)\)", out._jdf.queryExecution().toString())
+    assert shares and min(map(int, shares)) >= 20
