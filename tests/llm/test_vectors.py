@@ -156,6 +156,19 @@ def test_queries_meet_all_rows_where_the_search_fails(spark, monkeypatch):
     assert len(out) == 180 and missed(out, x, range(0, len(x), 50)) == 0
 
 
+def test_estimates_do_not_grow_with_the_hops(spark):
+    """A query that walks along a chain: sizes that each hop's joins multiply took the driver's memory and time."""
+    n = 12
+    codes = spark.createDataFrame([(i, np.array([i, 0], dtype=ann.CODE).tobytes()) for i in range(n)], "id long, code binary")
+    edges = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < n]) for i in range(n)], "id long, others array<bigint>")
+    start = codes.where("id = 0").select(
+        F.col("id").alias("query"), "code", F.array("id").alias("ids"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(False)).alias("done"),
+        F.array("id").alias("seen"), F.array("id").alias("front"), F.lit(1).alias("open"))
+    out = ann.walk(start, edges, codes, width=2 * n, beam=1, k=3, settle=False)
+    assert [sorted(r["ids"]) for r in out.collect()] == [list(range(n))]
+    assert len(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
+
+
 def turned(r, angle_cosine, dim=32):
     """Two unit vectors with that cosine."""
     a = r.standard_normal(dim)
